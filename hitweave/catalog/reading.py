@@ -81,9 +81,9 @@ CLUSTER_LINE = (
 SELECT event_id, cluster_id, hardware, CAST(cluster_id * 2 AS DOUBLE) AS cluster_x, eta_module, phi_module,
        CASE WHEN hardware = 'PIXEL' THEN 1.0::DOUBLE END AS count, 13.0::DOUBLE AS eta_angle, 14.0::DOUBLE AS phi_angle,
        CAST(phi_module AS DOUBLE) AS norm_x,
-       CASE n_links WHEN 0 THEN '' ELSE '(' || (c % 2) || ',' || (c % 60) || ')' END
-       || CASE WHEN n_links > 1 THEN ',(' || (c % 2) || ',' || ((c + 1) % 60) || ')' ELSE '' END
-       || CASE WHEN n_links > 2 THEN ',(' || ((c + 1) % 2) || ',' || ((c * 3) % 60) || ')' ELSE '' END AS links
+       CASE n_links WHEN 0 THEN '' ELSE '(' || (c % 2) || ',' || (c % 61) || ')' END
+       || CASE WHEN n_links > 1 THEN ',(' || (c % 2) || ',' || ((c + 1) % 61) || ')' ELSE '' END
+       || CASE WHEN n_links > 2 THEN ',(' || ((c + 1) % 2) || ',' || ((c * 3) % 61) || ')' ELSE '' END AS links
 FROM raw_clusters""",
     ),
 )
@@ -161,9 +161,6 @@ def s9_module_lookup(spark, sf_dir):
 
 # Rows of the module map: every module with the modules of the next two layers in its sector.
 MAP_PAIRS = {"12": 1.0, "23": 1.5}
-cte("hit_features", """
-SELECT *, sqrt(x * x + y * y) AS r, atan2(y, x) AS phi, -ln(tan(atan2(sqrt(x * x + y * y), z) * 0.5)) AS eta
-FROM hits""", "hits")
 cte("module_map", """
 SELECT DISTINCT module_id AS mid_1, module_id + 10 AS mid_2, module_id + 20 AS mid_3, 1 AS occurence,
        CAST(400 + module_id % 7 * 20 AS DOUBLE) AS z0max_12, CAST(-400 - module_id % 5 * 20 AS DOUBLE) AS z0min_12,

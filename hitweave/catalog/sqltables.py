@@ -54,7 +54,7 @@ SELECT s.event_id, s.hit_id * 500 + d.hit_id AS edge_id, s.hit_id AS src, d.hit_
        (s.particle_id = d.particle_id AND s.particle_id <> 0) AS y,
        CAST(CASE WHEN s.particle_id = d.particle_id AND s.particle_id <> 0
             THEN 350 + (s.hit_id * 31 + d.hit_id * 17) % 650
-            ELSE (s.hit_id * 31 + d.hit_id * 17) % 600 END AS DOUBLE) / 1000 AS score
+            ELSE (s.hit_id * 31 + d.hit_id * 17) % 610 END AS DOUBLE) / 1000 AS score
 FROM hits s JOIN hits d ON s.event_id = d.event_id AND d.module_id = s.module_id + 10""", "hits")
 cte("vectors", """
 SELECT vec_id // 100 AS event_id, vec_id % 100 AS hit_id, CAST(embedding AS DOUBLE[]) AS embedding,
@@ -83,7 +83,7 @@ SELECT *, CAST(barcode % 11 - 5 AS DOUBLE) AS px, CAST(barcode % 7 - 3 AS DOUBLE
        CAST(barcode % 13 - 6 AS DOUBLE) AS pz, CAST(barcode % 3 - 1 AS DOUBLE) AS charge,
        CAST(barcode % 5 AS DOUBLE) AS vx, CAST(barcode % 4 AS DOUBLE) AS vy, CAST(barcode % 9 AS DOUBLE) AS vz,
        CAST(CASE WHEN barcode % 2 = 0 THEN 11 ELSE 211 END AS BIGINT) AS pdg_id
-FROM (SELECT DISTINCT o_orderkey // 250 AS event_id, o_custkey % 2 AS subevent, o_custkey % 60 AS barcode FROM orders)
+FROM (SELECT DISTINCT o_orderkey // 250 AS event_id, o_custkey % 2 AS subevent, o_custkey % 61 AS barcode FROM orders)
 """)
 cte("raw_clusters", """
 SELECT o_orderkey // 250 AS event_id, o_orderkey % 250 + 1 AS cluster_id,
@@ -92,11 +92,11 @@ SELECT o_orderkey // 250 AS event_id, o_orderkey % 250 + 1 AS cluster_id,
        o_custkey % 6 AS phi_module, o_orderkey % 4 AS n_links, o_custkey AS c
 FROM orders""")
 cte("cluster_links", """
-SELECT event_id, cluster_id, 1 AS place, c % 2 AS subevent, c % 60 AS barcode FROM raw_clusters WHERE n_links > 0
+SELECT event_id, cluster_id, 1 AS place, c % 2 AS subevent, c % 61 AS barcode FROM raw_clusters WHERE n_links > 0
 UNION ALL
-SELECT event_id, cluster_id, 2, c % 2, (c + 1) % 60 FROM raw_clusters WHERE n_links > 1
+SELECT event_id, cluster_id, 2, c % 2, (c + 1) % 61 FROM raw_clusters WHERE n_links > 1
 UNION ALL
-SELECT event_id, cluster_id, 3, (c + 1) % 2, (c * 3) % 60 FROM raw_clusters WHERE n_links > 2
+SELECT event_id, cluster_id, 3, (c + 1) % 2, (c * 3) % 61 FROM raw_clusters WHERE n_links > 2
 UNION ALL
 SELECT event_id, cluster_id, 0, NULL, NULL FROM raw_clusters WHERE n_links = 0""", "raw_clusters")
 cte("raw_spacepoints", """
@@ -135,3 +135,6 @@ FROM module_steps st
 JOIN hit_truth a ON a.event_id = st.event_id AND a.particle_id = st.particle_id AND a.module_id = st.module_id
 JOIN hit_truth b ON b.event_id = st.event_id AND b.particle_id = st.particle_id AND b.module_id = st.next_module
 """, "module_steps", "hit_truth")
+cte("hit_features", """
+SELECT *, sqrt(x * x + y * y) AS r, atan2(y, x) AS phi, -ln(tan(atan2(sqrt(x * x + y * y), z) * 0.5)) AS eta
+FROM hits""", "hits")

@@ -495,7 +495,7 @@ def p11_true_hits(spark, sf_dir):
         "measurements",
         "detector",
         body="""
-SELECT t.event_id, t.hit_id - 1 AS hit_id, t.c % 60 AS particle_id, m.local0, d.geometry_id AS module_index
+SELECT t.event_id, t.hit_id - 1 AS hit_id, t.c % 61 AS particle_id, m.local0, d.geometry_id AS module_index
 FROM (SELECT o_orderkey // 250 AS event_id, o_orderkey % 250 + 1 AS hit_id, o_custkey AS c FROM orders) t
 LEFT JOIN measurements m ON m.event_id = t.event_id AND m.measurement_id = t.hit_id
 LEFT JOIN detector d ON d.geometry_id = m.geometry_id""",
@@ -504,7 +504,7 @@ LEFT JOIN detector d ON d.geometry_id = m.geometry_id""",
 def j7_truth_with_hits(spark, sf_dir):
     """Truth, hits and module index by left joins; 1-based hit ids shifted."""
     truth = A.table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey div 250 as event_id", "o_orderkey % 250 + 1 as hit_id", "o_custkey % 60 as particle_id"
+        "o_orderkey div 250 as event_id", "o_orderkey % 250 + 1 as hit_id", "o_custkey % 61 as particle_id"
     )
     modules = A.detector(spark, sf_dir).select(*D.MODULE_KEY, F.col("geometry_id").alias("module_index"))
     hits = decoded_hits(spark, sf_dir).drop("geometry_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import rotate, spherical, theta_to_eta, transverse_momentum
-from .joins import E
+from .joins import E, join_per_key
 
 MODULE_KEY = ["volume_id", "layer_id", "module_id"]
 ROTATION = [f"rot_{a}{b}" for a in "xyz" for b in "uvw"]
@@ -27,9 +27,11 @@ def cell_extents(cells: DataFrame) -> DataFrame:
 
 def mark_extreme_cells(cells: DataFrame, channel: str = "ch0") -> DataFrame:
     """Flags of the cells at the least and the greatest channel of their hit."""
-    ends = cells.groupBy(E, "hit_id").agg(F.min(channel).alias("_lo"), F.max(channel).alias("_hi"))
+    ends = cells.groupBy(E, "hit_id").agg(
+        F.min(channel).alias("_lo"), F.max(channel).alias("_hi"), F.count("*").alias("_rows")
+    )
     return (
-        cells.join(ends, [E, "hit_id"])
+        join_per_key(cells, ends, [E, "hit_id"], ["ch0", "ch1"])
         .withColumns({"is_min": F.col(channel) == F.col("_lo"), "is_max": F.col(channel) == F.col("_hi")})
         .drop("_lo", "_hi")
     )

@@ -16,20 +16,27 @@ SUM_BUCKETS = 256
 
 
 def dense_index(
-    df: DataFrame, group: list[str], order: str, out: str, width: int = BUCKET_WIDTH, start: int = 0
+    df: DataFrame, group: list[str], order: str, out: str, width: int | None = BUCKET_WIDTH, start: int = 0
 ) -> DataFrame:
-    """Number the rows of each group by the unique integer column ``order``."""
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
+    """Number the rows of each group by the unique integer column ``order``.
+
+    ``width`` is the key range of a bucket, right for ids that are nearly dense;
+    ``None`` measures the range first, for ids such as hashes.
+    """
+    if width is None:
+        low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+        width = max(1, (high - low + 1) * BUCKET_WIDTH // n) if n else 1
+    bucketed = df.withColumn("_bucket", F.expr(f"{order} div {width}L"))
     keys = [*group, "_bucket"]
     totals = bucketed.groupBy(*keys).agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys).orderBy(order)
     return (
-        bucketed.withColumn("_place", F.row_number().over(inside))
+        bucketed.withColumn("_within", F.row_number().over(inside))
         .join(offsets, keys)
-        .withColumn(out, F.col("_offset") + F.col("_place") - 1 + start)
-        .drop("_bucket", "_place", "_offset")
+        .withColumn(out, F.col("_offset") + F.col("_within") - 1 + start)
+        .drop("_bucket", "_within", "_offset")
     )
 
 

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, primary_flag
 from ..sources.schemas import MODULE_COLUMNS
-from .joins import E, first_rows, left_join_spread
+from .joins import E, first_rows, join_per_key, left_join_spread
 
 
 def particle_ids(particles: DataFrame) -> DataFrame:
     """particle_id = subevent followed by the barcode padded to the event's widest barcode."""
-    widest = particles.groupBy(E).agg(F.length(F.max("barcode").cast("string")).alias("_width"))
+    widest = particles.groupBy(E).agg(
+        F.length(F.max("barcode").cast("string")).alias("_width"), F.count("*").alias("_rows")
+    )
     text = F.concat(F.col("subevent").cast("string"), F.lpad(F.col("barcode").cast("string"), F.col("_width"), "0"))
-    return particles.join(widest, E).withColumn("particle_id", text.cast("bigint")).drop("_width")
+    sized = join_per_key(particles, widest, [E], ["subevent", "barcode"])
+    return sized.withColumn("particle_id", text.cast("bigint")).drop("_width")
 
 
 def split_links(clusters: DataFrame) -> DataFrame:
@@ -151,11 +154,15 @@ def add_particles(hits: DataFrame, particles: DataFrame, features: list[str]) ->
     wanted = [c for c in dict.fromkeys([*features, "vx", "vy", "vz"]) if c in particles.columns and c != "particle_id"]
     filled = hits.withColumn("particle_id", F.coalesce("particle_id", F.lit(0).cast("bigint")))
     right = particles.select(E, "particle_id", *wanted)
+    # Noise takes no part in the join; particles with very many hits are split in it.
+    signal = filled.where("particle_id <> 0")
+    counts = signal.groupBy(E, "particle_id").agg(F.count("*").alias("_rows"))
+    values = counts.join(right, [E, "particle_id"], "left")
     if "nhits" not in wanted:
-        counts = filled.where("particle_id <> 0").groupBy(E, "particle_id").agg(F.count("*").alias("nhits"))
-        right = counts.join(right, [E, "particle_id"], "left")
-    joined = left_join_spread(filled, right, [E, "particle_id"], F.col("particle_id") == 0, [E, "hit_id"])
-    return joined.withColumn("nhits", F.when(F.col("particle_id") == 0, F.lit(-1)).otherwise(F.col("nhits")))
+        values = values.withColumn("nhits", F.col("_rows"))
+    joined = join_per_key(signal, values, [E, "particle_id"], ["hit_id"])
+    noise = filled.where("particle_id = 0").withColumn("nhits", F.lit(-1).cast("bigint"))
+    return joined.unionByName(noise, allowMissingColumns=True)
 
 
 def add_production_distance(hits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import E
+from .joins import E, join_per_key
 from .ranking import dense_index
 
 
@@ -40,8 +40,9 @@ def mark_redundant(edges: DataFrame, module: str = "next_module") -> DataFrame:
     """True on every edge of a particle into a module but the one with the least (R src, R dst)."""
     keys = [E, "particle_id", module]
     place = F.struct("src_r", "dst_r", "src", "dst")
-    firsts = edges.groupBy(*keys).agg(F.min(place).alias("_first"))
-    return edges.join(firsts, keys).withColumn("redundant_split_edges", place != F.col("_first")).drop("_first")
+    firsts = edges.groupBy(*keys).agg(F.min(place).alias("_first"), F.count("*").alias("_rows"))
+    marked = join_per_key(edges, firsts, keys, ["src", "dst"])
+    return marked.withColumn("redundant_split_edges", place != F.col("_first")).drop("_first")
 
 
 def inconsistent_features(edges: DataFrame, hits: DataFrame, features: list[str]) -> DataFrame:
@@ -72,10 +73,16 @@ def remap_nodes(hits: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return nodes, edges.join(src, [E, "src"]).join(dst, [E, "dst"])
 
 
-def orient_outward(edges: DataFrame, hits: DataFrame) -> DataFrame:
-    """Swap the ends of edges that point inward by r^2 + z^2; ties keep their direction."""
+def orient_outward(edges: DataFrame, hits: DataFrame, ties_by_id: bool = False) -> DataFrame:
+    """Swap the ends of edges that point inward by r^2 + z^2.
+
+    Equally far ends keep their direction, or with ``ties_by_id`` point to the
+    greater id, which rules out cycles.
+    """
     d = hits.select(E, "hit_id", (F.col("r") * F.col("r") + F.col("z") * F.col("z")).alias("_d"))
     inward = F.col("_ds") > F.col("_dd")
+    if ties_by_id:
+        inward = inward | ((F.col("_ds") == F.col("_dd")) & (F.col("src") > F.col("dst")))
     return (
         edges.join(d.toDF(E, "src", "_ds"), [E, "src"])
         .join(d.toDF(E, "dst", "_dd"), [E, "dst"])

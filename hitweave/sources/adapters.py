@@ -81,7 +81,7 @@ def candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dst",
         f"({same}) as y",
         f"cast(case when {same} then 350 + (src * 31 + dst * 17) % 650"
-        " else (src * 31 + dst * 17) % 600 end as double) / 1000 as score",
+        " else (src * 31 + dst * 17) % 610 end as double) / 1000 as score",
     )
 
 
@@ -147,7 +147,7 @@ def raw_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = table(spark, sf_dir, "orders").selectExpr(
         f"o_orderkey div {ORDERS_PER_EVENT} as event_id",
         "o_custkey % 2 as subevent",
-        "o_custkey % 60 as barcode",
+        "o_custkey % 61 as barcode",
     )
     return seen.distinct().selectExpr(
         "event_id",
@@ -175,9 +175,9 @@ def raw_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey % 5 as eta_module",
         "o_custkey % 6 as phi_module",
         "concat_ws(',',"
-        " case when o_orderkey % 4 > 0 then concat('(', o_custkey % 2, ',', o_custkey % 60, ')') end,"
-        " case when o_orderkey % 4 > 1 then concat('(', o_custkey % 2, ',', (o_custkey + 1) % 60, ')') end,"
-        " case when o_orderkey % 4 > 2 then concat('(', (o_custkey + 1) % 2, ',', (o_custkey * 3) % 60, ')') end"
+        " case when o_orderkey % 4 > 0 then concat('(', o_custkey % 2, ',', o_custkey % 61, ')') end,"
+        " case when o_orderkey % 4 > 1 then concat('(', o_custkey % 2, ',', (o_custkey + 1) % 61, ')') end,"
+        " case when o_orderkey % 4 > 2 then concat('(', (o_custkey + 1) % 2, ',', (o_custkey * 3) % 61, ')') end"
         ") as links",
     )
 

@@ -78,7 +78,8 @@ def main() -> int:
     prefixes = sys.argv[2:]
     spark = get_session(
         "oracle-check", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
+           "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
