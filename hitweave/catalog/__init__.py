@@ -1,4 +1,4 @@
 """Registered queries and their oracle SQL."""
 
-from . import graph_tables, neighbour_graphs, reading, tracks, truth_tables  # noqa: F401
+from . import chains, graph_tables, neighbour_graphs, reading, tracks, truth_tables  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -43,15 +43,15 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.select(E, F.col("u").alias("a"), F.col("v").alias("b")).unionByName(
         pairs.select(E, F.col("v").alias("a"), F.col("u").alias("b"))
     )
-    least = both.groupBy(E, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_rows"))
-    moved = join_per_key(both.where("b > a"), least, [E, "a"], ["b"])
+    least = both.groupBy(E, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    moved = join_per_key(both.where("b > a"), least, [E, "a"])
     return moved.select(E, F.col("b").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Link every lesser neighbour of a node, and the node, to the least of them."""
-    least = pairs.groupBy(E, "u").agg(F.min("v").alias("m"), F.count("*").alias("_rows"))
-    moved = join_per_key(pairs, least, [E, "u"], ["v"]).where("v <> m")
+    least = pairs.groupBy(E, "u").agg(F.min("v").alias("m"))
+    moved = join_per_key(pairs, least, [E, "u"]).where("v <> m")
     moved = moved.select(E, F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select(E, "u", F.col("m").alias("v"))
     return moved.unionByName(own).distinct()

@@ -71,5 +71,5 @@ def drop_isolated(hits: DataFrame, edges: DataFrame) -> DataFrame:
 
 def drop_large_events(edges: DataFrame, max_edges: int) -> DataFrame:
     """Edges of the events that have at most ``max_edges``; sizes come from a pre-aggregated count."""
-    small = edges.groupBy(E).agg(F.count("*").alias("_rows")).where(F.col("_rows") <= max_edges)
-    return join_per_key(edges, small, [E], ["src", "dst"])
+    small = edges.groupBy(E).agg(F.count("*").alias("_n")).where(F.col("_n") <= max_edges)
+    return join_per_key(edges, small.select(E), [E])

@@ -27,11 +27,9 @@ def cell_extents(cells: DataFrame) -> DataFrame:
 
 def mark_extreme_cells(cells: DataFrame, channel: str = "ch0") -> DataFrame:
     """Flags of the cells at the least and the greatest channel of their hit."""
-    ends = cells.groupBy(E, "hit_id").agg(
-        F.min(channel).alias("_lo"), F.max(channel).alias("_hi"), F.count("*").alias("_rows")
-    )
+    ends = cells.groupBy(E, "hit_id").agg(F.min(channel).alias("_lo"), F.max(channel).alias("_hi"))
     return (
-        join_per_key(cells, ends, [E, "hit_id"], ["ch0", "ch1"])
+        join_per_key(cells, ends, [E, "hit_id"])
         .withColumns({"is_min": F.col(channel) == F.col("_lo"), "is_max": F.col(channel) == F.col("_hi")})
         .drop("_lo", "_hi")
     )

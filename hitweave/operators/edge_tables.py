@@ -53,9 +53,7 @@ def add_node_type(hits: DataFrame, groups: list[dict]) -> DataFrame:
 def add_edge_type(edges: DataFrame, hits: DataFrame) -> DataFrame:
     """``edge_type``: number of (src type, dst type) in the product of the types present in the event."""
     present = hits.groupBy(E).agg(F.array_sort(F.collect_set("node_type")).alias("_types"))
-    sizes = edges.groupBy(E).agg(F.count("*").alias("_rows"))
-    both = gather(edges, hits, ["node_type", "node_type_name"])
-    both = join_per_key(both, sizes.join(present, E), [E], ["src", "dst"])
+    both = join_per_key(gather(edges, hits, ["node_type", "node_type_name"]), present, [E])
     place = lambda c: F.array_position("_types", F.col(c)) - 1
     number = place("node_type_src") * F.size("_types") + place("node_type_dst")
     return both.withColumns(

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 E = "event_id"
 SPREAD = 1024
-# A key with more rows than this is split over several tasks by ``join_per_key``.
-HOT_ROWS = 1_000_000
 
 
 def left_join_spread(
@@ -64,20 +62,15 @@ def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least")).select(*keys, "_least.*").select(*df.columns)
 
 
-def join_per_key(
-    rows: DataFrame, values: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Bring one value row per key back to the many rows of that key.
+def join_per_key(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Bring one aggregated row per key back to the many rows of that key.
 
-    ``values`` has the number of rows of its key in ``_rows``. Keys above ``hot_rows``
-    are salted: their rows go to ``_rows / hot_rows`` tasks and their value row to each
-    of them. The list of such keys has at most total rows / ``hot_rows`` entries, which
-    is what makes it fit for a broadcast (a million for 10^12 rows).
+    Without care the aggregate's own partitioning would be reused and a hot key would
+    meet in one task. The extra key, always 0 but not a literal, makes both sides plain
+    shuffles of this join, and those the adaptive skew join cuts into as many tasks
+    as a hot key needs.
     """
-    parts = F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int")
-    hot = values.where(F.col("_rows") > hot_rows).select(*keys, parts.alias("_parts"))
-    salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_parts")), F.lit(0)).cast("int")
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
-    copies = F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
-    return salted.join(values.withColumn("_salt", copies).drop("_rows"), [*keys, "_salt"], how).drop("_salt")
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1))
+    return (
+        rows.withColumn("_zero", zero).join(values.withColumn("_zero", zero), [*keys, "_zero"], how).drop("_zero")
+    )

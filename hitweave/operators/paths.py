@@ -82,8 +82,7 @@ def all_simple_path_tracks(
     paths = cut_lineage(long_path_labels(residual))
     names = paths.where("path is not null").groupBy(E, "path").agg(F.min("hit_id").alias("_first"))
     shift = component_labels.groupBy(E).agg((F.max("hit_id") + 1).alias("_shift"))
-    sizes = names.groupBy(E).agg(F.count("*").alias("_rows")).join(shift, E)
-    named = join_per_key(names, sizes, [E], ["_first"]).select(E, "path", (F.col("_first") + F.col("_shift")).alias("_path_id"))
+    named = join_per_key(names, shift, [E]).select(E, "path", (F.col("_first") + F.col("_shift")).alias("_path_id"))
     residual_hits = paths.join(named, [E, "path"], "left").select(E, "hit_id", "_path_id", F.lit(True).alias("_residual"))
     joined = component_labels.join(residual_hits, [E, "hit_id"], "left")
     fallback = F.col("track_id") if keep_components else F.when(F.col("_residual"), -1).otherwise(F.col("track_id"))

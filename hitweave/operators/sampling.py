@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import E
+from ..session import cut_lineage
+from .joins import E, join_per_key
 from .neighbours import radius_neighbours
 from .ranking import dense_index
 
@@ -21,7 +22,7 @@ def _drawn(draws: DataFrame, pool: DataFrame, keys: list[str], out: str, seed: i
     numbered = dense_index(pool.select(*keys, "_id"), keys, "_id", "_place", width=None)
     sizes = pool.groupBy(*keys).agg(F.count("*").alias("_size"))
     place = F.pmod(F.xxhash64(*keys, "_draw", F.lit(seed)), F.col("_size"))
-    placed = draws.join(sizes, keys).withColumn("_place", place).drop("_size")
+    placed = join_per_key(draws, sizes, keys).withColumn("_place", place).drop("_size")
     return placed.join(numbered, [*keys, "_place"]).withColumnRenamed("_id", out).drop("_place")
 
 
@@ -30,7 +31,7 @@ def random_pairs(queries: DataFrame, points: DataFrame, per_query: float, seed:
     ids = dense_index(queries.select(E, "hit_id"), [E], "hit_id", "_i")
     sizes = ids.groupBy(E).agg(F.count("*").alias("_queries"))
     turns = F.explode(F.sequence(F.lit(0), F.lit(int(-(-per_query // 1)))))
-    draws = ids.join(sizes, E).select(E, "_queries", "_i", turns.alias("_turn"))
+    draws = join_per_key(ids, sizes, [E]).select(E, "_queries", "_i", turns.alias("_turn"))
     draws = draws.withColumn("_draw", F.col("_i") + F.col("_turn") * F.col("_queries"))
     draws = draws.where(F.col("_draw") < F.floor(F.col("_queries") * per_query)).select(E, "_draw")
     src = queries.select(E, F.col("hit_id").alias("_id"))
@@ -67,6 +68,7 @@ def subsample_negatives(edges: DataFrame, ratio: int, cut: float, seed: int = 0)
     Negatives are drawn with replacement; an empty class falls back to all negatives.
     Draws are made from the true edges themselves, so they are as spread as those.
     """
+    edges = cut_lineage(edges)
     true = edges.where(F.col("y") & (F.col("weight") > 0))
     negative = edges.where((~F.col("y") & (F.col("weight") != 0)) | (F.col("weight") < 0))
     hard = (F.col("score") > cut).cast("int")
@@ -75,7 +77,7 @@ def subsample_negatives(edges: DataFrame, ratio: int, cut: float, seed: int = 0)
     turns = F.explode(F.sequence(F.lit(0), F.lit(ratio - 1))).alias("_turn")
     draws = true.select(E, "edge_id", turns, F.explode(F.array(F.lit(1), F.lit(0))).alias("_hard"))
     missing = F.when(F.col("_hard") == 1, F.col("_n_hard")).otherwise(F.col("_n_easy")) == 0
-    draws = draws.join(sizes, E).select(
+    draws = join_per_key(draws, sizes, [E]).select(
         E,
         F.when(missing, F.lit(2)).otherwise(F.col("_hard")).alias("_class"),
         F.struct("edge_id", "_turn", "_hard").alias("_draw"),

@@ -14,11 +14,9 @@ from .joins import E, first_rows, join_per_key, left_join_spread
 
 def particle_ids(particles: DataFrame) -> DataFrame:
     """particle_id = subevent followed by the barcode padded to the event's widest barcode."""
-    widest = particles.groupBy(E).agg(
-        F.length(F.max("barcode").cast("string")).alias("_width"), F.count("*").alias("_rows")
-    )
+    widest = particles.groupBy(E).agg(F.length(F.max("barcode").cast("string")).alias("_width"))
     text = F.concat(F.col("subevent").cast("string"), F.lpad(F.col("barcode").cast("string"), F.col("_width"), "0"))
-    sized = join_per_key(particles, widest, [E], ["subevent", "barcode"])
+    sized = join_per_key(particles, widest, [E])
     return sized.withColumn("particle_id", text.cast("bigint")).drop("_width")
 
 
@@ -137,7 +135,7 @@ def add_module_id(hits: DataFrame, lookup: DataFrame) -> DataFrame:
     ids = lookup.groupBy(*MODULE_COLUMNS).agg(
         F.min("ID").cast("bigint").alias("_id"), F.count_distinct("ID").alias("_n")
     )
-    joined = hits.join(ids, MODULE_COLUMNS, "left")
+    joined = join_per_key(hits, ids, MODULE_COLUMNS, "left")
     module = F.when(F.col("_n") == 1, F.col("_id")).otherwise(
         F.raise_error(F.lit("unknown or ambiguous module")).cast("bigint")
     )
@@ -156,11 +154,10 @@ def add_particles(hits: DataFrame, particles: DataFrame, features: list[str]) ->
     right = particles.select(E, "particle_id", *wanted)
     # Noise takes no part in the join; particles with very many hits are split in it.
     signal = filled.where("particle_id <> 0")
-    counts = signal.groupBy(E, "particle_id").agg(F.count("*").alias("_rows"))
-    values = counts.join(right, [E, "particle_id"], "left")
     if "nhits" not in wanted:
-        values = values.withColumn("nhits", F.col("_rows"))
-    joined = join_per_key(signal, values, [E, "particle_id"], ["hit_id"])
+        counts = signal.groupBy(E, "particle_id").agg(F.count("*").alias("nhits"))
+        right = counts.join(right, [E, "particle_id"], "left")
+    joined = join_per_key(signal, right, [E, "particle_id"], "left")
     noise = filled.where("particle_id = 0").withColumn("nhits", F.lit(-1).cast("bigint"))
     return joined.unionByName(noise, allowMissingColumns=True)
 

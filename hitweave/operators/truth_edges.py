@@ -40,8 +40,8 @@ def mark_redundant(edges: DataFrame, module: str = "next_module") -> DataFrame:
     """True on every edge of a particle into a module but the one with the least (R src, R dst)."""
     keys = [E, "particle_id", module]
     place = F.struct("src_r", "dst_r", "src", "dst")
-    firsts = edges.groupBy(*keys).agg(F.min(place).alias("_first"), F.count("*").alias("_rows"))
-    marked = join_per_key(edges, firsts, keys, ["src", "dst"])
+    firsts = edges.groupBy(*keys).agg(F.min(place).alias("_first"))
+    marked = join_per_key(edges, firsts, keys)
     return marked.withColumn("redundant_split_edges", place != F.col("_first")).drop("_first")
 
 

@@ -146,10 +146,8 @@ def _chosen_edges(edges: DataFrame, low: float, add: float) -> DataFrame:
 
     ``rank`` orders the choices of a hit, best first.
     """
-    best = edges.groupBy(E, "src").agg(
-        F.max(F.struct("score", (-F.col("dst")).alias("d"))).alias("_best"), F.count("*").alias("_rows")
-    )
-    joined = join_per_key(edges, best, [E, "src"], ["dst"]).where(F.col("_best.score") > low)
+    best = edges.groupBy(E, "src").agg(F.max(F.struct("score", (-F.col("dst")).alias("d"))).alias("_best"))
+    joined = join_per_key(edges, best, [E, "src"]).where(F.col("_best.score") > low)
     is_best = (F.col("dst") == -F.col("_best.d"))
     return joined.where(is_best | (F.col("score") > add)).select(E, "src", "dst", "score")
 

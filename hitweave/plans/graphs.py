@@ -14,6 +14,7 @@ from ..operators.joins import E
 from ..operators.neighbours import radius_neighbours
 from ..operators.truth_edges import orient_outward
 from ..operators.weighting import weight_edges
+from ..session import cut_lineage
 
 
 def embedding_graph(
@@ -29,8 +30,9 @@ def embedding_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """(edges, track_edges): hits embedded, joined to their neighbours, labelled and weighted."""
     raw = hits.select(E, "hit_id", embed_udf(network)(stack(features)).alias("_raw"))
-    embedded = raw.select(E, "hit_id", l2_normalise("_raw").alias("embedding"))
+    embedded = cut_lineage(raw.select(E, "hit_id", l2_normalise("_raw").alias("embedding")))
     edges = radius_neighbours(embedded, "embedding", dims, r, k).withColumn("edge_id", F.xxhash64("src", "dst"))
+    edges = cut_lineage(edges)
     true = track_edges
     if undirected:
         back = track_edges.withColumns(

@@ -22,7 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points on straight lines from the origin, smeared; type ``error`` is noise."""
-    raw = table(spark, sf_dir, "events").select(
+    return hits_of(table(spark, sf_dir, "events"))
+
+
+def hits_of(events: DataFrame) -> DataFrame:
+    raw = events.select(
         F.expr(f"event_id div {HITS_PER_EVENT}").alias("event_id"),
         F.expr(f"event_id % {HITS_PER_EVENT}").alias("hit_id"),
         F.expr("user_id % 40").alias("u"),
