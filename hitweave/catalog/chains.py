@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as Q
 from ..operators import evaluation as EV
-from ..operators import mapping as M
 from ..operators import truth_edges as W
 from ..operators.joins import E
 from ..operators import truth as T
@@ -17,7 +16,7 @@ from ..plans.ingest import IngestConfig, build_event_graph, build_truth
 from ..session import checkpoint_root
 from ..sources import adapters as A
 from ..streaming.ingest import ingest_stream
-from .graph_tables import RULES, TYPE_GROUPS, labelled_edges, plain_track_edges, track_edges
+from .graph_tables import RULES, TYPE_GROUPS, graph, plain_track_edges
 from .registry import query, rnd
 from .sqltables import cte, with_tables
 from .truth_tables import REGION_SQL, REGIONS, hit_features, numbered_particles, spacepoints, truth_edges, truth_hits
@@ -103,8 +102,7 @@ def g15_base_chain(spark, sf_dir):
     """Hard cut, weights, input cut, edge features, scaling."""
     _, edges, _ = P.prepare_edges(
         hit_features(spark, sf_dir),
-        labelled_edges(spark, sf_dir),
-        track_edges(spark, sf_dir),
+        *graph(spark, sf_dir),
         hard_cuts={"pt": [1.0, INF]},
         rules=RULES,
         input_cut=0.4,
@@ -131,8 +129,7 @@ def g15_heterogeneous_chain(spark, sf_dir):
     """Typed chain with node truth: types of all hits, and out-degrees of the typed edges."""
     hits, edges, _ = P.prepare_heterogeneous(
         hit_features(spark, sf_dir),
-        labelled_edges(spark, sf_dir),
-        track_edges(spark, sf_dir),
+        *graph(spark, sf_dir),
         TYPE_GROUPS,
         ["r", "phi", "z"],
         node_truth=True,
@@ -163,8 +160,7 @@ JOIN typed_hits q ON q.event_id = o.event_id AND q.hit_id = o.dst""",
 def g15_directed_chain(spark, sf_dir):
     _, edges, _ = P.prepare_heterogeneous(
         hit_features(spark, sf_dir),
-        labelled_edges(spark, sf_dir),
-        track_edges(spark, sf_dir),
+        *graph(spark, sf_dir),
         TYPE_GROUPS,
         ["r", "phi", "z"],
         directed=True,
@@ -200,7 +196,7 @@ def g15_metric_chain(spark, sf_dir):
 )
 def g15_tracks_chain(spark, sf_dir):
     edges, _ = P.prepare_tracks(
-        labelled_edges(spark, sf_dir), track_edges(spark, sf_dir), {"pt": [1.0, INF]}, RULES
+        *graph(spark, sf_dir), {"pt": [1.0, INF]}, RULES
     )
     return edges.select(E, "edge_id", "weight")
 

@@ -16,6 +16,7 @@ from ..operators import messages as MS
 from ..operators import weighting as WT
 from ..operators.joins import E, endpoints, gather
 from ..operators.truth_edges import orient_outward
+from ..session import cut_lineage
 from ..sources import adapters as A
 from .registry import query, rnd
 from .sqltables import cte, with_tables
@@ -52,10 +53,15 @@ RULES = [
 
 def track_edges(spark, sf_dir):
     """Truth edges with ids and the built edge they equal."""
-    true = truth_edges(spark, sf_dir).withColumn("track_edge_id", F.expr("src * 500 + dst"))
-    true = true.select(E, "track_edge_id", "src", "dst", "particle_id", *FEATURES)
-    built = A.candidate_edges(spark, sf_dir).select(E, "src", "dst", "edge_id", "score")
-    return true.join(built, [E, "src", "dst"], "left")
+    return graph(spark, sf_dir)[1]
+
+
+def graph(spark, sf_dir):
+    """(labelled edges, linked track edges), the stage tables between construction and scoring."""
+    edges = cut_lineage(A.candidate_edges(spark, sf_dir).drop("y"))
+    true = cut_lineage(plain_track_edges(spark, sf_dir))
+    built = edges.select(E, "src", "dst", "edge_id", "score")
+    return M.label_edges(edges, true), true.join(built, [E, "src", "dst"], "left")
 
 
 FEATURES = ["pt", "nhits", "is_primary", "pdg_id", "eta_particle"]
@@ -68,11 +74,12 @@ def plain_track_edges(spark, sf_dir):
 
 
 def labelled_edges(spark, sf_dir):
-    return M.label_edges(A.candidate_edges(spark, sf_dir).drop("y"), plain_track_edges(spark, sf_dir))
+    return graph(spark, sf_dir)[0]
 
 
 def weighted_edges(spark, sf_dir):
-    return WT.weight_edges(labelled_edges(spark, sf_dir), RULES, track_edges(spark, sf_dir))
+    edges, true = graph(spark, sf_dir)
+    return WT.weight_edges(edges, RULES, true)
 
 
 # ---- F1-F3: selections ---------------------------------------------------------

@@ -17,6 +17,7 @@ from ..operators import scoring as SC
 from ..operators import weighting as WT
 from ..operators.joins import E
 from ..plans import graphs as P
+from ..session import cut_lineage
 from ..sources import adapters as A
 from ..sources import text_dumps
 from .graph_tables import RULES, plain_track_edges, weighted_edges
@@ -64,7 +65,8 @@ SELECT event_id, hit_1 AS src, hit_2 AS dst FROM triplets UNION SELECT event_id,
 
 
 def parsed_map(spark, sf_dir):
-    return text_dumps.parse_module_map(module_map_lines(spark, sf_dir))
+    """The map as a table; written once, or the parsing would run inside the joins."""
+    return cut_lineage(text_dumps.parse_module_map(module_map_lines(spark, sf_dir)))
 
 
 @query(

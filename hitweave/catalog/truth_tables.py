@@ -10,6 +10,7 @@ from ..operators import truth as T
 from ..operators import truth_edges as W
 from ..operators.joins import E
 from ..operators.ranking import dense_index
+from ..session import cut_lineage
 from ..sources import adapters as A
 from ..sources import text_dumps
 from .registry import query, rnd
@@ -57,8 +58,9 @@ def numbered_particles(spark, sf_dir):
 
 
 def clusters(spark, sf_dir):
+    """Stage table: both clusters of a spacepoint, and the particle counts, read it."""
     raw = A.raw_clusters(spark, sf_dir)
-    return T.expand_clusters(raw, T.split_links(raw), numbered_particles(spark, sf_dir))
+    return cut_lineage(T.expand_clusters(raw, T.split_links(raw), numbered_particles(spark, sf_dir)))
 
 
 def spacepoints(spark, sf_dir):
@@ -230,7 +232,8 @@ def truth_hits(spark, sf_dir):
     joined = T.add_particles(
         A.hits(spark, sf_dir), A.particles(spark, sf_dir), ["pt", "charge", "pdg_id", "is_primary", "eta_particle"]
     )
-    return T.add_production_distance(joined)
+    # Read three times by the edge builder: a stage table.
+    return cut_lineage(T.add_production_distance(joined))
 
 
 EDGE_FEATURES = ["pt", "nhits", "is_primary", "pdg_id", "eta_particle", "module_id"]
@@ -334,10 +337,15 @@ FROM hit_features""",
     ),
 )
 def p2_p3_hit_features(spark, sf_dir):
-    return hit_features(spark, sf_dir).select(E, "hit_id", rnd("r").alias("r"), rnd("phi").alias("phi"), rnd("eta").alias("eta"))
+    return cylindrical_hits(spark, sf_dir).select(E, "hit_id", rnd("r").alias("r"), rnd("phi").alias("phi"), rnd("eta").alias("eta"))
 
 
 def hit_features(spark, sf_dir):
+    """Stage table of hits with cylindrical features, the input of graph construction."""
+    return cut_lineage(cylindrical_hits(spark, sf_dir))
+
+
+def cylindrical_hits(spark, sf_dir):
     h = A.hits(spark, sf_dir).withColumns({"r": G.radius("x", "y"), "phi": G.azimuth("x", "y")})
     return h.withColumn("eta", G.pseudorapidity("r", "z"))
 
@@ -358,7 +366,7 @@ FROM d""",
 )
 def p4_cluster_features(spark, sf_dir):
     """Strip hits take the cluster's cylindrical features, pixel regions the hit's own."""
-    c = hit_features(spark, sf_dir).selectExpr("*", "x * 1.5 + 2 as cx", "y * 1.5 - 3 as cy", "z + 1 as cz")
+    c = cylindrical_hits(spark, sf_dir).selectExpr("*", "x * 1.5 + 2 as cx", "y * 1.5 - 3 as cy", "z + 1 as cz")
     out = G.cluster_features(c, ["cx", "cy", "cz"], F.col("region").isin(1, 3, 5), "cluster_")
     return out.select(E, "hit_id", *[rnd(f"cluster_{f}").alias(f"cluster_{f}") for f in ("r", "phi", "eta")])
 

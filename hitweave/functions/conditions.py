@@ -62,5 +62,5 @@ def fiducial(selection: dict) -> Column:
         elif isinstance(spec, (list, tuple)):
             tests.append(F.coalesce(_range(c, *spec), F.lit(False)))
         else:
-            tests.append(F.coalesce(c >= F.lit(spec), F.lit(False)))
+            tests.append(F.coalesce(~F.isnan(c.cast("double")) & (c >= F.lit(spec)), F.lit(False)))
     return reduce(lambda a, b: a & b, tests)

@@ -32,8 +32,16 @@ def squared_distance(a, b) -> Column:
     )
 
 
-def squared_distance_unrolled(a: str, b: str, dims: int) -> Column:
-    """Same value as a flat sum, which stays inside whole-stage codegen."""
+UNROLL_LIMIT = 16
+
+
+def squared_distance_of(a: str, b: str, dims: int) -> Column:
+    """Same value, for few dimensions as a flat sum that stays inside whole-stage codegen.
+
+    Longer sums outgrow the size of a compiled method and would run interpreted.
+    """
+    if dims > UNROLL_LIMIT:
+        return squared_distance(a, b)
     total = None
     for i in range(dims):
         d = F.element_at(a, i + 1) - F.element_at(b, i + 1)

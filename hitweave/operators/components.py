@@ -26,12 +26,13 @@ def component_labels(edges: DataFrame) -> DataFrame:
         E, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     )
     pairs = cut_lineage(pairs.distinct())
+    before = _digest(pairs)
     while True:
-        large = _large_star(pairs)
-        small = cut_lineage(_small_star(large))
-        if _same(pairs, small):
+        pairs = cut_lineage(_small_star(cut_lineage(_large_star(pairs))))
+        after = _digest(pairs)
+        if after == before:
             break
-        pairs = small
+        before = after
     roots = pairs.select(E, F.col("u").alias("hit_id"), F.col("v").alias("component"))
     return roots.unionByName(
         roots.select(E, F.col("component").alias("hit_id"), "component").distinct()
@@ -45,7 +46,7 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     )
     least = both.groupBy(E, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     moved = join_per_key(both.where("b > a"), least, [E, "a"])
-    return moved.select(E, F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+    return moved.select(E, F.col("b").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
@@ -57,15 +58,11 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return moved.unionByName(own).distinct()
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Equal edge sets, by count and an order-free checksum."""
-
-    def digest(df: DataFrame):
-        mix = F.xxhash64(E, "u", "v")
-        halves = [F.sum(F.shiftright(mix, 32)), F.sum(mix.bitwiseAND(F.lit(0xFFFFFFFF)))]
-        return tuple(df.agg(F.count("*"), *halves).first())
-
-    return digest(a) == digest(b)
+def _digest(pairs: DataFrame) -> tuple:
+    """Count and order-free checksum of an edge set."""
+    mix = F.xxhash64(E, "u", "v")
+    halves = [F.sum(F.shiftright(mix, 32)), F.sum(mix.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return tuple(pairs.agg(F.count("*"), *halves).first())
 
 
 def connected_components(hits: DataFrame, edges: DataFrame, cut: float) -> DataFrame:

@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     # split such shuffle partitions even where it costs one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Hash instead of sort where every partition of a join side was measured to be small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # Top-k windows prune each map task to k rows per key before the shuffle, also for large k.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
