@@ -12,6 +12,7 @@ from ..operators import truth_edges as W
 from ..operators.joins import E
 from ..operators import truth as T
 from ..plans import graphs as P
+from ..plans import hooks
 from ..plans.ingest import IngestConfig, build_event_graph, build_truth
 from ..session import checkpoint_root
 from ..sources import adapters as A
@@ -295,3 +296,29 @@ def s19_incremental_ingest(spark, sf_dir):
         ingest_stream(source, A.hits_of, f"{root}/hits", f"{root}/state").awaitTermination()
     hits = spark.read.parquet(f"{root}/hits")
     return hits.groupBy(E).agg(F.count("*").alias("n_hits"), F.count_if(F.col("particle_id") == 0).alias("n_noise"))
+
+
+# ---- U3, U4: user functions ----------------------------------------------------
+@hooks.register("processing", "drop_noise")
+def drop_noise(hits, particles, tracks):
+    return hits.where("particle_id <> 0"), particles, tracks
+
+
+@hooks.register("track", "by_sector")
+def by_sector(hits, edges):
+    """A user track builder: one track per sector."""
+    return hits.select(E, "hit_id", (F.col("module_id") % 10).alias("track_id"))
+
+
+@query(
+    "u3_u4_user_functions",
+    with_tables(
+        "hits",
+        body="""SELECT event_id, module_id % 10 AS track_id, COUNT(*) AS n_hits FROM hits WHERE particle_id <> 0 GROUP BY ALL""",
+    ),
+)
+def u3_u4_user_functions(spark, sf_dir):
+    """A registered processing step and a registered track builder, planned with the rest."""
+    hits, _, edges = hooks.process(["drop_noise"], A.hits(spark, sf_dir), None, A.candidate_edges(spark, sf_dir))
+    tracks = hooks.get("track", "by_sector")(hits, edges)
+    return tracks.groupBy(E, "track_id").agg(F.count("*").alias("n_hits"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import truth as T
 from ..operators.joins import E
+from ..session import checkpoint_root
 from ..sources import adapters as A
 from ..sources import files, nested, sinks, text_dumps
 from ..sources.schemas import MODULE_MAP_COLUMNS, SPACEPOINT_TYPES, coerce
@@ -319,3 +321,59 @@ def p27_type_coercion(spark, sf_dir):
     )
     typed = coerce(raw, SPACEPOINT_TYPES)
     return typed.withColumn("cluster_x_1", F.col("cluster_x_1").cast("double"))
+
+
+# ---- S8, S15, S16: files out and in again --------------------------------------
+def scratch(spark) -> str:
+    return f"{checkpoint_root(spark)}/files/{uuid.uuid4().hex}"
+
+
+@query("s8_s15_event_csv", with_tables("hits", body="SELECT event_id, hit_id, particle_id, z, hardware FROM hits"))
+def s8_s15_event_csv(spark, sf_dir):
+    """Hits written as CSV by dataset and event, read back with a schema and the event from the path."""
+    path = scratch(spark)
+    hits = A.hits(spark, sf_dir).select(E, "hit_id", "particle_id", "z", "hardware")
+    sinks.write_event_csv(hits.withColumn("dataset", F.lit("trainset")), path)
+    columns = "hit_id bigint, particle_id bigint, z double, hardware string"
+    return files.read_event_csv(spark, f"{path}/dataset=*/event_id=*", columns, number="event_id=([0-9]+)")
+
+
+@query(
+    "s16_graph_tables",
+    with_tables(
+        "hits",
+        "edges",
+        body="""SELECT h.event_id, h.n AS n_nodes, e.n AS n_edges, '{"cut": 0.3}' AS config FROM (
+SELECT event_id, COUNT(*) AS n FROM hits GROUP BY event_id) h JOIN (
+SELECT event_id, COUNT(*) AS n FROM edges WHERE score >= 0.3 GROUP BY event_id) e USING (event_id)""",
+    ),
+)
+def s16_graph_tables(spark, sf_dir):
+    """Nodes, edges and track edges written with their configuration, then counted from the files."""
+    path = scratch(spark)
+    edges = A.candidate_edges(spark, sf_dir).where("score >= 0.3")
+    sinks.write_graph(A.hits(spark, sf_dir), edges, edges.where("y"), path, {"cut": 0.3})
+    nodes = spark.read.parquet(f"{path}/nodes").groupBy(E, "config").agg(F.count("*").alias("n_nodes"))
+    kept = spark.read.parquet(f"{path}/edges").groupBy(E).agg(F.count("*").alias("n_edges"))
+    return nodes.join(kept, E).select(E, "n_nodes", "n_edges", "config")
+
+
+@query(
+    "s17_track_files",
+    with_tables(
+        "hits",
+        body="""
+SELECT event_id, COUNT(*) AS n_tracks, CAST(SUM(n) AS BIGINT) AS n_hits FROM (
+SELECT event_id, particle_id, COUNT(*) AS n FROM hits WHERE particle_id > 0 GROUP BY ALL) GROUP BY event_id""",
+    ),
+)
+def s17_track_files(spark, sf_dir):
+    """Track lines written per event and read back as text."""
+    path = scratch(spark)
+    sinks.write_track_lines(A.hits(spark, sf_dir).selectExpr("event_id", "hit_id", "particle_id - 1 as track_id"), path)
+    lines = spark.read.text(f"{path}/event_id=*").select(
+        F.regexp_extract("_metadata.file_path", "event_id=([0-9]+)", 1).cast("bigint").alias(E), "value"
+    )
+    return lines.groupBy(E).agg(
+        F.count("*").alias("n_tracks"), F.sum(F.size(F.split("value", " "))).alias("n_hits")
+    )

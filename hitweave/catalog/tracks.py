@@ -12,6 +12,7 @@ from ..operators import evaluation as EV
 from ..operators import matching as MT
 from ..operators import paths as PT
 from ..operators.joins import E, gather
+from ..operators.ranking import successive_pairs
 from ..operators.truth_edges import orient_outward
 from ..plans import tracks as P
 from ..sources import adapters as A
@@ -763,10 +764,6 @@ WHERE dst IS NOT NULL""",
 )
 def w8_successive_pairs(spark, sf_dir):
     """Pairwise of the ordered hits of one track in one layer."""
-    from pyspark.sql import Window
-
-    in_layer = Window.partitionBy(E, "particle_id", "layer").orderBy("hit_id")
     h = A.hits(spark, sf_dir).where("particle_id <> 0")
-    return h.select(E, "particle_id", F.col("hit_id").alias("src"), F.lead("hit_id").over(in_layer).alias("dst")).where(
-        "dst is not null"
-    )
+    pairs = successive_pairs(h, [E, "particle_id", "layer"], "hit_id")
+    return pairs.select(E, "particle_id", F.col("first").alias("src"), F.col("second").alias("dst"))

@@ -99,8 +99,8 @@ def simple_path_tracks(edges: DataFrame, labels: DataFrame, shapes: DataFrame) -
     Unbranched components are taken out of the graph; those of more than two hits are tracks.
     """
     paths = shapes.where("is_path and n_hits > 2").select(E, "component")
-    tracks = labels.join(paths, [E, "component"], "left_semi").select(E, "hit_id", F.col("component").alias("track_id"))
+    tracks = join_per_key(labels, paths, [E, "component"], "left_semi").select(E, "hit_id", F.col("component").alias("track_id"))
     branched = shapes.where("not is_path").select(E, "component")
     src = labels.select(E, F.col("hit_id").alias("src"), "component")
-    rest = edges.join(src, [E, "src"]).join(branched, [E, "component"], "left_semi")
+    rest = join_per_key(join_per_key(edges, src, [E, "src"]), branched, [E, "component"], "left_semi")
     return tracks, rest

@@ -38,7 +38,7 @@ def hard_node_cut(hits: DataFrame, track_edges: DataFrame, conditions: dict) ->
     nodes = hits.join(numbers, [E, "hit_id"])
     src = numbers.select(E, F.col("hit_id").alias("src"), F.col("node_id").alias("node_src"))
     dst = numbers.select(E, F.col("hit_id").alias("dst"), F.col("node_id").alias("node_dst"))
-    return nodes, track_edges.join(src, [E, "src"]).join(dst, [E, "dst"])
+    return nodes, join_per_key(join_per_key(track_edges, src, [E, "src"]), dst, [E, "dst"])
 
 
 def background_cut(edges: DataFrame, hits: DataFrame, pt_cut: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import interval_udf
 from ..session import cut_lineage
-from .joins import E
+from .joins import E, join_per_key
 from .ranking import running_sums
 
 
@@ -88,7 +88,7 @@ def region_efficiency_purity(edges: DataFrame, hits: DataFrame, positive: Column
     """By region of the src hit; regions without true or positive edges are left out."""
     src = hits.select(E, F.col("hit_id").alias("src"), "region")
     by_edge = (
-        edges.join(src, [E, "src"])
+        join_per_key(edges, src, [E, "src"])
         .groupBy("region")
         .agg(
             F.count_if("y").alias("n_true"),

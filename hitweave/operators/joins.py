@@ -41,14 +41,14 @@ def gather(edges: DataFrame, hits: DataFrame, columns: list[str], how: str = "in
     narrow = hits.select(E, "hit_id", *columns)
     src = narrow.toDF(E, "src", *[f"{c}_src" for c in columns])
     dst = narrow.toDF(E, "dst", *[f"{c}_dst" for c in columns])
-    return edges.join(src, [E, "src"], how).join(dst, [E, "dst"], how)
+    # A hub may be an end of a large part of the edges.
+    return join_per_key(join_per_key(edges, src, [E, "src"], how), dst, [E, "dst"], how)
 
 
 def keep_both_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes = nodes.select(E, "hit_id")
-    return edges.join(nodes.toDF(E, "src"), [E, "src"], "left_semi").join(
-        nodes.toDF(E, "dst"), [E, "dst"], "left_semi"
-    )
+    kept = join_per_key(edges, nodes.toDF(E, "src"), [E, "src"], "left_semi")
+    return join_per_key(kept, nodes.toDF(E, "dst"), [E, "dst"], "left_semi")
 
 
 def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,9 +63,9 @@ def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def join_per_key(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Bring one aggregated row per key back to the many rows of that key.
+    """Bring one row per key (an aggregate, a hit) to the many rows of that key.
 
-    Without care the aggregate's own partitioning would be reused and a hot key would
+    Without care the partitioning of an aggregate would be reused and a hot key would
     meet in one task. The extra key, always 0 but not a literal, makes both sides plain
     shuffles of this join, and those the adaptive skew join cuts into as many tasks
     as a hot key needs.

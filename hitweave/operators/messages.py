@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import add
-from .joins import E
+from .joins import E, join_per_key
 
 STD_FLOOR = math.sqrt(1e-5)
 
@@ -38,7 +38,8 @@ def aggregate_messages(hits: DataFrame, edges: DataFrame, column: str, dims: int
 def edge_inputs(edges: DataFrame, hits: DataFrame, node_vector: str, edge_vector: str) -> DataFrame:
     """``concat(x_src, x_dst, e)`` per edge."""
     x = hits.select(E, "hit_id", F.col(node_vector).alias("_x"))
-    both = edges.join(x.toDF(E, "src", "_xs"), [E, "src"]).join(x.toDF(E, "dst", "_xd"), [E, "dst"])
+    both = join_per_key(edges, x.toDF(E, "src", "_xs"), [E, "src"])
+    both = join_per_key(both, x.toDF(E, "dst", "_xd"), [E, "dst"])
     return both.withColumn("edge_input", F.concat("_xs", "_xd", edge_vector)).drop("_xs", "_xd")
 
 
@@ -51,7 +52,7 @@ def weighted_pooling(
 ) -> DataFrame:
     """Source vectors times the edge weight, combined at dst."""
     x = hits.select(E, F.col("hit_id").alias("src"), F.col(vector).alias("_x"))
-    weighted = edges.join(x, [E, "src"]).withColumn(
+    weighted = join_per_key(edges, x, [E, "src"]).withColumn(
         "_wx", F.transform("_x", lambda v: v * F.col(weight))
     )
     pooled = weighted.groupBy(E, F.col("dst").alias("hit_id")).agg(_vector_agg("_wx", dims, kinds).alias("pooled"))

@@ -40,6 +40,14 @@ def dense_index(
     )
 
 
+def successive_pairs(df: DataFrame, group: list[str], order: str) -> DataFrame:
+    """(group, first, second): neighbours in the order of each group, for groups of any size."""
+    placed = dense_index(df.select(*group, order), group, order, "_n", width=None)
+    first = placed.select(*group, F.col(order).alias("first"), F.col("_n"))
+    second = placed.select(*group, F.col(order).alias("second"), (F.col("_n") - 1).alias("_n"))
+    return first.join(second, [*group, "_n"]).drop("_n")
+
+
 def running_sums(df: DataFrame, order: str, sums: dict[str, Column], buckets: int = SUM_BUCKETS) -> DataFrame:
     """Inclusive running sums in ascending ``order`` over the whole table.
 

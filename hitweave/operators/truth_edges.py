@@ -70,7 +70,7 @@ def remap_nodes(hits: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     nodes = hits.join(ids, [E, "hit_id"])
     src = ids.select(E, F.col("hit_id").alias("src"), F.col("node_id").alias("node_src"))
     dst = ids.select(E, F.col("hit_id").alias("dst"), F.col("node_id").alias("node_dst"))
-    return nodes, edges.join(src, [E, "src"]).join(dst, [E, "dst"])
+    return nodes, join_per_key(join_per_key(edges, src, [E, "src"]), dst, [E, "dst"])
 
 
 def orient_outward(edges: DataFrame, hits: DataFrame, ties_by_id: bool = False) -> DataFrame:
@@ -83,10 +83,10 @@ def orient_outward(edges: DataFrame, hits: DataFrame, ties_by_id: bool = False)
     inward = F.col("_ds") > F.col("_dd")
     if ties_by_id:
         inward = inward | ((F.col("_ds") == F.col("_dd")) & (F.col("src") > F.col("dst")))
+    placed = join_per_key(edges, d.toDF(E, "src", "_ds"), [E, "src"])
+    placed = join_per_key(placed, d.toDF(E, "dst", "_dd"), [E, "dst"])
     return (
-        edges.join(d.toDF(E, "src", "_ds"), [E, "src"])
-        .join(d.toDF(E, "dst", "_dd"), [E, "dst"])
-        .withColumns(
+        placed.withColumns(
             {
                 "src": F.when(inward, F.col("dst")).otherwise(F.col("src")),
                 "dst": F.when(inward, F.col("src")).otherwise(F.col("dst")),

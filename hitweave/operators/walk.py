@@ -128,8 +128,11 @@ def _spread_extreme(values: DataFrame, edges: DataFrame, start: str, end: str, c
     values = cut_lineage(values)
     while True:
         sent = (
-            edges.select(E, F.col(start).alias("hit_id"), F.col(end).alias("_to"))
-            .join(values.select(E, "hit_id", column), [E, "hit_id"])
+            join_per_key(
+                edges.select(E, F.col(start).alias("hit_id"), F.col(end).alias("_to")),
+                values.select(E, "hit_id", column),
+                [E, "hit_id"],
+            )
             .groupBy(E, F.col("_to").alias("hit_id"))
             .agg(agg(F.col(column) + step if greatest else F.col(column)).alias("_new"))
         )
@@ -159,7 +162,7 @@ def _road_lengths(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     after = lengths.select(E, F.col("hit_id").alias("dst"), F.col("length").alias("_next"))
     # Among the next hits of greatest length the last in choice order: least score, greatest id.
     last = F.max_by(F.col("dst"), F.struct("_next", (-F.col("score")).alias("s"), "dst")).alias("next")
-    picked = chosen.join(after, [E, "dst"]).groupBy(E, F.col("src").alias("hit_id")).agg(last)
+    picked = join_per_key(chosen, after, [E, "dst"]).groupBy(E, F.col("src").alias("hit_id")).agg(last)
     return lengths.join(picked, [E, "hit_id"], "left")
 
 
@@ -195,9 +198,8 @@ def walk_by_rounds(edges: DataFrame, low: float, add: float) -> DataFrame:
         nodes = cut_lineage(nodes.join(used, [E, "hit_id"], "left_anti"))
         if not nodes.head(1):
             return result
-        edges = cut_lineage(
-            edges.join(used.toDF(E, "src"), [E, "src"], "left_anti").join(used.toDF(E, "dst"), [E, "dst"], "left_anti")
-        )
+        free = join_per_key(edges, used.toDF(E, "src"), [E, "src"], "left_anti")
+        edges = cut_lineage(join_per_key(free, used.toDF(E, "dst"), [E, "dst"], "left_anti"))
 
 
 def walkthrough(edges: DataFrame, low: float, add: float, task_limit: int = TASK_LIMIT) -> DataFrame:
@@ -207,6 +209,6 @@ def walkthrough(edges: DataFrame, low: float, add: float, task_limit: int = TASK
     large = cut_lineage(large)
     if not large.head(1):
         return edges.groupBy(E, "component").applyInPandas(_walk_component(low, add), TRACK_SCHEMA)
-    small = edges.join(large, [E, "component"], "left_anti")
+    small = join_per_key(edges, large, [E, "component"], "left_anti")
     walked = small.groupBy(E, "component").applyInPandas(_walk_component(low, add), TRACK_SCHEMA)
-    return walked.unionByName(walk_by_rounds(edges.join(large, [E, "component"], "left_semi"), low, add))
+    return walked.unionByName(walk_by_rounds(join_per_key(edges, large, [E, "component"], "left_semi"), low, add))

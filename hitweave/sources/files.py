@@ -29,11 +29,11 @@ def complete_events(paths: DataFrame, terms: list[str]) -> DataFrame:
     return chosen.join(whole.select(E), E, "left_semi")
 
 
-def read_event_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV files of many events as one table, event number from the path."""
+def read_event_csv(spark: SparkSession, path: str, schema: str, number: str = EVENT_NUMBER) -> DataFrame:
+    """CSV files of many events as one table, event number from the path by the pattern ``number``."""
     columns = spark.read.schema(schema).option("header", "true").csv(path)
-    number = F.regexp_extract("_metadata.file_path", EVENT_NUMBER, 1).cast("bigint")
-    return columns.select(number.alias(E), *columns.columns)
+    event = F.regexp_extract("_metadata.file_path", number, 1).cast("bigint")
+    return columns.select(event.alias(E), *columns.columns)
 
 
 def first_events(df: DataFrame, n: int, require: bool = False) -> DataFrame:
