@@ -15,6 +15,7 @@ from ..operators.joins import E, gather
 from ..operators.ranking import successive_pairs
 from ..operators.truth_edges import orient_outward
 from ..plans import tracks as P
+from ..session import cut_lineage
 from ..sources import adapters as A
 from ..sources import sinks
 from .graph_tables import plain_track_edges, track_edges, weighted_edges
@@ -567,7 +568,7 @@ FROM c GROUP BY masked""",
 def a22_auc(spark, sf_dir):
     """Full area (all edges) and masked area (positive weight)."""
     target = F.col("y") & (F.col("weight") > 0)
-    edges = weighted_edges(spark, sf_dir)
+    edges = cut_lineage(weighted_edges(spark, sf_dir))
     full = EV.area_under_curve(EV.roc_curve(edges, target)).withColumn("masked", F.lit(False))
     part = EV.area_under_curve(EV.roc_curve(edges.where("weight > 0"), target)).withColumn("masked", F.lit(True))
     return full.unionByName(part).select("masked", rnd("auc").alias("auc"))

@@ -39,17 +39,28 @@ def union_find(edges):
 
 
 # ---- components ----------------------------------------------------------------
-@pytest.mark.parametrize("seed", [0, 1])
-def test_components(spark, seed):
-    data = random_graph(seed, nodes=40, edges=30)
-    got = {(r.event_id, r.hit_id): r.component for r in CC.component_labels(spark.createDataFrame(data, EDGE)).collect()}
+@pytest.mark.parametrize("seed,limit", [(0, 10**6), (1, 0), (2, 27)])
+def test_components(spark, seed, limit):
+    """Whole events in a task, rounds of joins, and both in one call."""
+    data = random_graph(seed, nodes=40, edges=30, events=(1, 2, 3))[:-8]
+    labels = CC.component_labels(spark.createDataFrame(data, EDGE), limit)
+    got = {(r.event_id, r.hit_id): r.component for r in labels.collect()}
     assert got == union_find(data)
 
 
-def test_long_chain_and_star(spark):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=40))
+def test_label_arrays(pairs):
+    src, dst = map(np.array, zip(*pairs))
+    hits, component = CC.label_arrays(src, dst)
+    assert {(1, h): c for h, c in zip(hits, component)} == union_find([(1, a, b, 0) for a, b in pairs])
+
+
+@pytest.mark.parametrize("task_limit", [0, 10**6])
+def test_long_chain_and_star(spark, task_limit):
     chain = [(1, i, i + 1, 1.0) for i in range(200)]
     star = [(2, 300, i, 1.0) for i in range(200)]
-    labels = CC.component_labels(spark.createDataFrame(chain + star, EDGE))
+    labels = CC.component_labels(spark.createDataFrame(chain + star, EDGE), task_limit)
     got = {r.event_id: (r.n, r.c) for r in labels.groupBy("event_id").agg(F.count("*").alias("n"), F.max("component").alias("c")).collect()}
     assert got == {1: (201, 0), 2: (201, 0)}
 
