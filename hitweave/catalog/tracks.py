@@ -18,7 +18,7 @@ from ..plans import tracks as P
 from ..session import cut_lineage
 from ..sources import adapters as A
 from ..sources import sinks
-from .graph_tables import plain_track_edges, track_edges, weighted_edges
+from .graph_tables import graph, plain_track_edges, track_edges, weighted_edges
 from .registry import query, rnd
 from .sqltables import cte, with_tables
 from .truth_tables import hit_features
@@ -452,34 +452,74 @@ def a19_efficiency_with_interval(spark, sf_dir):
     return EV.add_interval(binned)
 
 
-cte("te_rz", """
-SELECT t.*, h.r / 1000 AS r, h.z / 1000 AS z FROM te t JOIN hit_features h ON h.event_id = t.event_id AND h.hit_id = t.src
-""", "te", "hit_features")
+INNER = """CASE WHEN a.r * a.r + a.z * a.z > b.r * b.r + b.z * b.z THEN b.{c} ELSE a.{c} END / 1000 AS {c}"""
+cte("te_rz", f"""
+SELECT t.*, {INNER.format(c='r')}, {INNER.format(c='z')} FROM te t
+JOIN hit_features a ON a.event_id = t.event_id AND a.hit_id = t.src
+JOIN hit_features b ON b.event_id = t.event_id AND b.hit_id = t.dst""", "te", "hit_features")
+cte("edges_rz", f"""
+SELECT t.*, {INNER.format(c='r')}, {INNER.format(c='z')} FROM ledges t
+JOIN hit_features a ON a.event_id = t.event_id AND a.hit_id = t.src
+JOIN hit_features b ON b.event_id = t.event_id AND b.hit_id = t.dst""", "ledges", "hit_features")
+Z_GRID, R_GRID = (-3.0, 3.0, 24), (0.0, 2.0, 16)
 GRID = """CASE WHEN z = 3 THEN 23 ELSE CAST(floor((z - -3.0) / {zw!r}::DOUBLE) AS BIGINT) END AS z_bin,
   CASE WHEN r = 2 THEN 15 ELSE CAST(floor((r - 0.0) / {rw!r}::DOUBLE) AS BIGINT) END AS r_bin""".format(zw=6 / 24, rw=2 / 16)
 
 
-@query(
-    "a20_efficiency_rz",
-    with_tables(
-        "te_rz",
-        body=f"""SELECT z_bin, r_bin, COUNT(*) FILTER (edge_id IS NOT NULL AND score >= 0.5) AS n_numerator,
-COUNT(*) FILTER (edge_id IS NOT NULL) AS n_denominator,
-round(CASE WHEN COUNT(*) FILTER (edge_id IS NOT NULL) > 0 THEN CAST(COUNT(*) FILTER (edge_id IS NOT NULL AND score >= 0.5)
-  AS DOUBLE) / COUNT(*) FILTER (edge_id IS NOT NULL) END, 6) + 0.0 AS ratio
-FROM (SELECT *, {GRID} FROM te_rz WHERE z BETWEEN -3 AND 3 AND r BETWEEN 0 AND 2) GROUP BY z_bin, r_bin""",
-    ),
-)
-def a20_efficiency_rz(spark, sf_dir):
-    """Efficiency of built target edges on a (z, r) grid of the source hit."""
-    h = hit_features(spark, sf_dir).select(
-        E, F.col("hit_id").alias("src"), (F.col("r") / 1000).alias("r"), (F.col("z") / 1000).alias("z")
+def _grid_sql(rows: str) -> str:
+    """Ratio per grid cell of rows that carry the flags hit and total."""
+    return f"""
+, x AS ({rows})
+SELECT z_bin, r_bin, COUNT(*) FILTER (hit) AS n_numerator, COUNT(*) FILTER (total) AS n_denominator,
+  round(CASE WHEN COUNT(*) FILTER (total) > 0 THEN CAST(COUNT(*) FILTER (hit) AS DOUBLE) / COUNT(*) FILTER (total) END, 6)
+    + 0.0 AS ratio
+FROM (SELECT *, {GRID} FROM x WHERE z BETWEEN -3 AND 3 AND r BETWEEN 0 AND 2) GROUP BY z_bin, r_bin"""
+
+
+TARGET_SQL = "pt BETWEEN 1.0 AND 1e9"
+FOUND_SQL = "edge_id IS NOT NULL AND score >= 0.5"
+TARGET = {"pt": [1.0, INF]}
+
+for _name, _cumulative, _total in (
+    ("a20_efficiency_rz", False, "edge_id IS NOT NULL"),
+    ("a20_cumulative_efficiency_rz", True, "TRUE"),
+):
+
+    @query(
+        _name,
+        with_tables(
+            "te_rz",
+            body=_grid_sql(f"SELECT z, r, {FOUND_SQL} AS hit, {_total} AS total FROM te_rz WHERE {TARGET_SQL}"),
+        ),
     )
-    t = track_edges(spark, sf_dir).join(h, [E, "src"])
-    built = F.col("edge_id").isNotNull()
-    found = built & (F.col("score") >= 0.5)
-    out = EV.binned_ratio_2d(t, found, built, (-3.0, 3.0, 24), (0.0, 2.0, 16))
-    return out.withColumn("ratio", rnd("ratio"))
+    def _a20(spark, sf_dir, cumulative=_cumulative):
+        out = EV.efficiency_rz(
+            track_edges(spark, sf_dir), hit_features(spark, sf_dir), 0.5, all_of(TARGET), Z_GRID, R_GRID, cumulative
+        )
+        return out.withColumn("ratio", rnd("ratio"))
+
+
+for _kind, _found, _all, _positive in (
+    ("total", FOUND_SQL, "FALSE", "score >= 0.5"),
+    ("target", f"{FOUND_SQL} AND {TARGET_SQL}", "FALSE", "score >= 0.5"),
+    ("masked", f"{FOUND_SQL} AND {TARGET_SQL}", "TRUE", "score >= 0.5 AND NOT y"),
+):
+
+    @query(
+        f"a20_{_kind}_purity_rz",
+        with_tables(
+            "te_rz",
+            "edges_rz",
+            body=_grid_sql(
+                f"SELECT z, r, TRUE AS hit, {_all} AS total FROM te_rz WHERE {_found}"
+                f" UNION ALL SELECT z, r, FALSE, TRUE FROM edges_rz WHERE {_positive}"
+            ),
+        ),
+    )
+    def _a20_purity(spark, sf_dir, kind=_kind):
+        edges, true = graph(spark, sf_dir)
+        out = EV.purity_rz(edges, true, hit_features(spark, sf_dir), 0.5, all_of(TARGET), kind, Z_GRID, R_GRID)
+        return out.withColumn("ratio", rnd("ratio"))
 
 
 @query(
@@ -487,24 +527,20 @@ def a20_efficiency_rz(spark, sf_dir):
     with_tables(
         "ledges",
         "hit_features",
-        body=f"""
-, e AS (SELECT l.score, l.y, h.r / 1000 AS r, h.z / 1000 AS z FROM ledges l JOIN hit_features h
-  ON h.event_id = l.event_id AND h.hit_id = l.src)
-SELECT z_bin, r_bin, COUNT(*) FILTER (score >= 0.5 AND y) AS n_numerator, COUNT(*) FILTER (score >= 0.5) AS n_denominator,
-round(CASE WHEN COUNT(*) FILTER (score >= 0.5) > 0 THEN CAST(COUNT(*) FILTER (score >= 0.5 AND y) AS DOUBLE)
-  / COUNT(*) FILTER (score >= 0.5) END, 6) + 0.0 AS ratio
-FROM (SELECT *, {GRID} FROM e WHERE z BETWEEN -3 AND 3 AND r BETWEEN 0 AND 2) GROUP BY z_bin, r_bin""",
+        body=_grid_sql(
+            "SELECT h.z / 1000 AS z, h.r / 1000 AS r, score >= 0.5 AND l.y AS hit, score >= 0.5 AS total FROM ledges l"
+            " JOIN hit_features h ON h.event_id = l.event_id AND h.hit_id = l.src"
+        ),
     ),
 )
 def a20_purity_rz(spark, sf_dir):
-    from .graph_tables import labelled_edges
-
+    """Purity by the source hit as the edge was built, without turning it outward."""
     h = hit_features(spark, sf_dir).select(
         E, F.col("hit_id").alias("src"), (F.col("r") / 1000).alias("r"), (F.col("z") / 1000).alias("z")
     )
-    e = labelled_edges(spark, sf_dir).join(h, [E, "src"])
     positive = F.col("score") >= 0.5
-    out = EV.binned_ratio_2d(e, positive & F.col("y"), positive, (-3.0, 3.0, 24), (0.0, 2.0, 16))
+    placed = graph(spark, sf_dir)[0].join(h, [E, "src"])
+    out = EV.binned_ratio_2d(placed, positive & F.col("y"), positive, Z_GRID, R_GRID)
     return out.withColumn("ratio", rnd("ratio"))
 
 

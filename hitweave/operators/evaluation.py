@@ -11,6 +11,7 @@ from ..functions.binomial import interval_udf
 from ..session import cut_lineage
 from .joins import E, join_per_key
 from .ranking import running_sums
+from .truth_edges import orient_outward
 
 
 # ---- bins ----------------------------------------------------------------------
@@ -83,6 +84,49 @@ def binned_ratio_2d(
     )
 
 
+def _placed(edges: DataFrame, hits: DataFrame, unit: float) -> DataFrame:
+    """Edges turned outward, with z and r of their inner hit in the given unit."""
+    outward = orient_outward(edges, hits)
+    inner = hits.select(E, F.col("hit_id").alias("src"), (F.col("z") / unit).alias("z"), (F.col("r") / unit).alias("r"))
+    return join_per_key(outward, inner, [E, "src"])
+
+
+def efficiency_rz(
+    track_edges: DataFrame, hits: DataFrame, cut: float, target: Column, z: tuple, r: tuple,
+    cumulative: bool = False, unit: float = 1000.0,
+) -> DataFrame:
+    """Share of target edges above the cut, among the built ones or (``cumulative``) among all."""
+    built = F.col("edge_id").isNotNull()
+    placed = _placed(track_edges.where(target), hits, unit)
+    return binned_ratio_2d(placed, built & (F.col("score") >= cut), F.lit(True) if cumulative else built, z, r)
+
+
+def purity_rz(
+    edges: DataFrame, track_edges: DataFrame, hits: DataFrame, cut: float, target: Column, kind: str, z: tuple, r: tuple,
+    unit: float = 1000.0,
+) -> DataFrame:
+    """Purity of the edges above the cut on a (z, r) grid.
+
+    ``total`` counts all true edges found, ``target`` the target ones, both among all
+    positives; ``masked`` counts target edges among themselves and the fakes.
+    """
+    if kind not in ("total", "target", "masked"):
+        raise ValueError(f"unknown purity {kind}")
+    found = track_edges.where(F.col("edge_id").isNotNull() & (F.col("score") >= cut))
+    found = found if kind == "total" else found.where(target)
+    positive = edges.where(F.col("score") >= cut)
+    positive = positive.where("not y") if kind == "masked" else positive
+    rows = _placed(found.select(E, "src", "dst"), hits, unit).select(
+        "z", "r", F.lit(True).alias("_hit"), F.lit(kind == "masked").alias("_all")
+    )
+    rows = rows.unionByName(
+        _placed(positive.select(E, "src", "dst"), hits, unit).select(
+            "z", "r", F.lit(False).alias("_hit"), F.lit(True).alias("_all")
+        )
+    )
+    return binned_ratio_2d(rows, F.col("_hit"), F.col("_all"), z, r)
+
+
 # ---- per-region and global numbers ---------------------------------------------
 def region_efficiency_purity(edges: DataFrame, hits: DataFrame, positive: Column) -> DataFrame:
     """By region of the src hit; regions without true or positive edges are left out."""
