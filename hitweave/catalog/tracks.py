@@ -182,6 +182,40 @@ def g6_all_simple_path_tracks(spark, sf_dir):
     return PT.all_simple_path_tracks(CC.weak_components(h, e, 0.55), e, 0.1, 0.55)
 
 
+@query(
+    "g6_residual_track_labels",
+    with_tables(
+        "linked",
+        recursive=True,
+        body=REACH
+        + """
+, r AS (SELECT event_id, src, dst FROM edges WHERE score > 0.3 AND score < 0.55),
+s AS (SELECT DISTINCT event_id, src AS hit_id FROM r WHERE NOT EXISTS (
+  SELECT 1 FROM r q WHERE q.event_id = r.event_id AND q.dst = r.src)),
+p(event_id, path, tip, n) AS (
+  SELECT event_id, [hit_id], hit_id, 1 FROM s UNION ALL
+  SELECT p.event_id, list_append(p.path, r.dst), r.dst, n + 1 FROM p JOIN r ON r.event_id = p.event_id AND r.src = p.tip
+  WHERE n < 26),
+w AS (SELECT event_id, path FROM p WHERE n >= 8 AND NOT EXISTS (
+  SELECT 1 FROM r WHERE r.event_id = p.event_id AND r.src = p.tip)),
+h AS (SELECT event_id, hit_id, MAX(path) AS path FROM (SELECT event_id, path, unnest(path) AS hit_id FROM w) GROUP BY ALL),
+l AS (SELECT event_id, path, MIN(hit_id) AS first FROM h GROUP BY ALL),
+m AS (SELECT event_id, MAX(hit_id) + 1 AS shift FROM hits GROUP BY event_id),
+n AS (SELECT event_id, src AS hit_id FROM r UNION SELECT event_id, dst FROM r)
+SELECT c.event_id, c.hit_id, CASE WHEN l.first IS NOT NULL THEN l.first + m.shift WHEN n.hit_id IS NOT NULL THEN -1
+  WHEN c.n_hits > 1 THEN c.component ELSE -1 END AS track_id
+FROM comp c JOIN m ON m.event_id = c.event_id
+LEFT JOIN n ON n.event_id = c.event_id AND n.hit_id = c.hit_id
+LEFT JOIN h ON h.event_id = c.event_id AND h.hit_id = c.hit_id
+LEFT JOIN l ON l.event_id = h.event_id AND l.path = h.path""",
+    ),
+)
+def g6_residual_track_labels(spark, sf_dir):
+    """The same with a narrower residual window, whose paths SQL can list."""
+    h, e = A.hits(spark, sf_dir), A.candidate_edges(spark, sf_dir)
+    return PT.all_simple_path_tracks(CC.weak_components(h, e, 0.55), e, 0.3, 0.55)
+
+
 cte("strong", "SELECT event_id, src, dst FROM edges WHERE score > 0.57", "edges")
 SHORTEST = """
 , s AS (SELECT DISTINCT event_id, src AS hit_id FROM strong WHERE NOT EXISTS (
