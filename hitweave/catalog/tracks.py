@@ -293,7 +293,7 @@ def labelled(spark, sf_dir):
     )
 
 
-def matched(spark, sf_dir, style="ATLAS"):
+def matched(spark, sf_dir, style="purity"):
     return P.evaluate_tracks(
         labelled(spark, sf_dir), plain_track_edges(spark, sf_dir), SELECTION, min_track_length=3, style=style
     )
@@ -331,7 +331,7 @@ def j17_a8_a9_matching_table(spark, sf_dir):
 
 
 for _style, _matched, _reconstructed in (
-    ("ATLAS", "pure", "pure"),
+    ("purity", "pure", "pure"),
     ("one_way", "pure", "whole"),
     ("two_way", "pure AND whole", "pure AND whole"),
 ):

@@ -47,8 +47,12 @@ def matching_table(
     )
 
 
-def match(table: DataFrame, fraction: float = 0.5, style: str = "ATLAS") -> DataFrame:
-    """Purity, efficiency and the verdict; 0.5 is raised a little so that no track matches twice."""
+def match(table: DataFrame, fraction: float = 0.5, style: str = "purity") -> DataFrame:
+    """Purity, efficiency and the verdict; 0.5 is raised a little so that no track matches twice.
+
+    Styles: ``purity`` judges both sides by purity, ``one_way`` the track by purity and
+    the particle by efficiency, ``two_way`` both by both.
+    """
     if fraction < 0.5:
         raise ValueError("matching fraction must be at least 0.5")
     limit = fraction + EXTRA if fraction == 0.5 else fraction
@@ -60,7 +64,7 @@ def match(table: DataFrame, fraction: float = 0.5, style: str = "ATLAS") -> Data
     )
     pure: Column = F.col("purity_reco") >= limit
     whole: Column = F.col("eff_true") >= limit
-    verdicts = {"ATLAS": (pure, pure), "one_way": (pure, whole), "two_way": (pure & whole, pure & whole)}
+    verdicts = {"purity": (pure, pure), "one_way": (pure, whole), "two_way": (pure & whole, pure & whole)}
     if style not in verdicts:
         raise ValueError(f"unknown matching style {style}")
     matched, reconstructed = verdicts[style]

@@ -69,7 +69,7 @@ def evaluate_tracks(
     selection: dict,
     min_track_length: int = 1,
     fraction: float = 0.5,
-    style: str = "ATLAS",
+    style: str = "purity",
     features: tuple[str, ...] = (),
 ) -> DataFrame:
     """Matched (track, particle) rows of all events."""
