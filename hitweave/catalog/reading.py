@@ -270,7 +270,8 @@ def s13_split_sizes(spark, sf_dir):
     """Exact sizes of the seeded random split, the rest going to the test set."""
     events = A.measurements(spark, sf_dir)
     split = files.split_events(events, {"trainset": 0.8, "valset": 0.1, "testset": None})
-    return split.groupBy("dataset").agg(F.count("*").alias("n_events"))
+    sizes = split.agg(*[F.count_if(F.col("dataset") == d).alias(d) for d in ("trainset", "valset", "testset")])
+    return sizes.unpivot([], ["trainset", "valset", "testset"], "dataset", "n_events")
 
 
 @query(

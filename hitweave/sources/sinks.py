@@ -51,7 +51,10 @@ def summary_lines(summary: DataFrame) -> DataFrame:
         return F.col(name).cast("bigint").cast("string")
 
     def rate(name):
-        return F.format_string("%.3f", F.col(name))
+        # Three decimals; exact halves, which are multiples of 1/16, go to the even digit.
+        even = F.bround(F.col(name).cast("decimal(20,6)"), 3).cast("decimal(20,3)").cast("string")
+        is_half = F.col(name) * 16 == F.floor(F.col(name) * 16)
+        return F.when(is_half, even).otherwise(F.format_string("%.3f", F.col(name)))
 
     lines = [
         ("Number of reconstructed particles", count("n_reconstructed_particles")),
