@@ -20,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +60,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, fingerprint as bigint) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": prints.view(np.int64)})
+            prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            columns = [batch.column("doc_id"), pa.array(prints.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, fingerprint bigint")
+    return rows.mapInArrow(run, "doc_id bigint, fingerprint bigint")
 
 
 def _mask(segments: tuple[int, ...]) -> int:
