@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import external_shuffle, mixture_packing, simhash_ring, winnowing
+from . import external_shuffle, fuzzy_notices, language_kernel, mixture_packing, simhash_ring, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,36 @@ def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op1_fuzzy_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy_notices.notice_places(table(spark, sf_dir, "documents"))
+    label_of = F.create_map(*[F.lit(x) for pair in fuzzy_notices.NOTICES.items() for x in pair])
+    base = F.filter("places", lambda p: (p["edits"] == 0) & p["phrase"].isin(*fuzzy_notices.BASE))
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: label_of[p["phrase"]]))), ",")
+    closeness = F.transform("places", lambda p: 1 - p["edits"] / F.length(p["phrase"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(F.transform(base, lambda p: p["first_word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda p: p["first_word"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(closeness), F.lit(0.0)).alias("score"),
+        F.size("places").cast("bigint").alias("n_places"),
+        F.to_json("places").alias("spans"),
+    )
+
+
+@query
+def op3_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_kernel.identify(docs)
+    return found.select(
+        "doc_id",
+        language_kernel.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_lang").alias("lang_pred"),
+        F.col("_lang_score").alias("score"),
+    )
