@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import external_shuffle, fuzzy_notices, language_kernel, mixture_packing, simhash_ring, winnowing
+from . import external_shuffle, fuzzy_notices, language_kernel, mixture_packing, mpeg_audio, simhash_ring, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,11 @@ def op3_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_lang").alias("lang_pred"),
         F.col("_lang_score").alias("score"),
     )
+
+
+@query
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = mpeg_audio.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "frames"]
+    found = mpeg_audio.probe(stored)
+    return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), *[F.col("_report")[n].alias(n) for n in names])
