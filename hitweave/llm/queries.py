@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import external_shuffle, fuzzy_notices, language_kernel, mixture_packing, mpeg_audio, simhash_ring, winnowing
+from . import external_shuffle, fuzzy_notices, language_kernel, mincut_extract, mixture_packing, mpeg_audio, simhash_ring, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,11 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "frames"]
     found = mpeg_audio.probe(stored)
     return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), *[F.col("_report")[n].alias(n) for n in names])
+
+
+@query
+def op8_mincut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select("page_id", "url", F.col("html").alias("_html"))
+    found = mincut_extract.extract(rows, "_html").drop("_html")
+    return found.select("page_id", "url", F.col("_main").alias("text"), F.length("_main").cast("bigint").alias("n_chars"))
