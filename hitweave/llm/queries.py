@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import external_shuffle, fuzzy_notices, language_kernel, mincut_extract, mixture_packing, mpeg_audio, simhash_ring, winnowing
+from . import external_shuffle, fuzzy_notices, language_kernel, merkle_audit, mincut_extract, mixture_packing, mpeg_audio, simhash_ring, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,69 @@ def op8_mincut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages.select("page_id", "url", F.col("html").alias("_html"))
     found = mincut_extract.extract(rows, "_html").drop("_html")
     return found.select("page_id", "url", F.col("_main").alias("text"), F.length("_main").cast("bigint").alias("n_chars"))
+
+
+#: One record in so many is damaged in the second replica of op2.
+DAMAGED_ONE_IN = 97
+
+
+@query
+def op2_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of the pages against a replica in which one record in 97 has a changed character and another is cut short."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = merkle_audit.archive_count(pages.count())
+    draw = F.floor(merkle_audit.id_hash(F.col("page_id")) / 7) % DAMAGED_ONE_IN
+    half = F.floor(F.length("html") / 2).cast("int")
+    changed = F.concat(F.expr("substring(html, 1, CAST(length(html) DIV 2 AS INT))"), F.lit("#"), F.expr("substring(html, CAST(length(html) DIV 2 AS INT) + 2)"))
+    damage = F.when(draw == 0, changed).when(draw == 1, F.substring("html", F.lit(1), half)).otherwise(F.col("html"))
+    replica = pages.withColumn("html", damage)
+    records = [merkle_audit.archive_records(x, archives) for x in (pages, replica)]
+    return merkle_audit.compare_replicas(*records)
+
+
+def _merkle_sql() -> str:
+    def replica(side: str, body: str) -> str:
+        leaf = f"""
+body_{side} AS (SELECT page_id, url, h, coalesce({body}, '') AS body FROM hashed),
+record_{side} AS (
+  SELECT page_id, url, h % (SELECT n FROM archives) AS archive,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+         || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body)
+         || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM body_{side}),
+digest_{side} AS (SELECT archive, page_id, url, strlen(record) AS length, sha256(record) AS digest FROM record_{side}),
+leaf_{side} AS (
+  SELECT archive, row_number() OVER w - 1 AS record_no, page_id, CAST(sum(length) OVER u - length AS BIGINT) AS b,
+         CAST(sum(length) OVER u AS BIGINT) AS e, digest
+  FROM digest_{side}
+  WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, url NULLS FIRST, digest),
+         u AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, url NULLS FIRST, digest ROWS UNBOUNDED PRECEDING))"""
+        below = f"leaf0_{side} AS (SELECT archive, record_no AS place, b, e, 1 AS n, digest FROM leaf_{side})"
+        steps = [leaf, below]
+        for level, up in ((1, "place // 16"), (2, "place // 16"), (3, "0")):
+            steps.append(f"""leaf{level}_{side} AS (
+  SELECT archive, {up} AS place, min(b) AS b, max(e) AS e, sum(n) AS n,
+         sha256(string_agg((e - b) || ':' || digest, chr(10) ORDER BY place)) AS digest
+  FROM leaf{level - 1}_{side} GROUP BY ALL)""")
+        return ",".join(steps)
+
+    half = "CAST(length(html) // 2 AS INTEGER)"
+    damage = f"""CASE WHEN (h // 7) % 97 = 0 THEN substring(html, 1, {half}) || '#' || substring(html, {half} + 2)
+              WHEN (h // 7) % 97 = 1 THEN substring(html, 1, {half}) ELSE html END"""
+    return f"""
+WITH archives AS (SELECT greatest(1, (count(*) + 1023) // 1024) AS n FROM pages),
+hashed AS (
+  SELECT page_id, url, html, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM pages),
+{replica("a", "html")},
+{replica("b", damage)},
+bad AS (
+  SELECT archive, record_no, coalesce(x.page_id, y.page_id) AS page_id, x.b AS begin_a, x.e AS end_a, y.b AS begin_b, y.e AS end_b,
+         x.digest AS digest_a, y.digest AS digest_b
+  FROM leaf_a x FULL JOIN leaf_b y USING (archive, record_no) WHERE x.digest IS DISTINCT FROM y.digest)
+SELECT archive, CAST(ra.n AS BIGINT) AS n_records, ra.e AS n_bytes, ra.digest AS root_a, rb.digest AS root_b, record_no, page_id,
+       begin_a, end_a, begin_b, end_b, digest_a, digest_b
+FROM leaf3_a ra FULL JOIN leaf3_b rb USING (archive) LEFT JOIN bad USING (archive)
+"""
+
+
+ORACLES["op2_merkle_fixity_audit"] = _merkle_sql()
