@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import external_shuffle, fuzzy_notices, language_kernel, merkle_audit, mincut_extract, mixture_packing, mpeg_audio, simhash_ring, winnowing
+from . import external_shuffle, fuzzy_notices, language_kernel, merkle_audit, mincut_extract, mixture_packing, mpeg_audio, simhash_ring, suffix_dedup, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,10 @@ FROM leaf3_a ra FULL JOIN leaf3_b rb USING (archive) LEFT JOIN bad USING (archiv
 
 
 ORACLES["op2_merkle_fixity_audit"] = _merkle_sql()
+
+
+@query
+def op5_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans, _ = suffix_dedup.repeated_spans(docs)
+    return suffix_dedup.span_report(docs, spans)
