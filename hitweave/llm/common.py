@@ -15,7 +15,7 @@ BROADCAST_ROWS = 500_000
 #: Rows of one Arrow batch; texts may be long, so that batches are kept small.
 BATCH_ROWS = "1000"
 
-__all__ = ["cut_lineage", "table", "ready", "ascii_lower", "words", "bind", "grams", "text_key", "join_small", "join_many"]
+__all__ = ["cut_lineage", "table", "ready", "ascii_lower", "words", "bind", "grams", "text_key", "row_key", "join_small", "join_many"]
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -61,6 +61,11 @@ def text_key(text: Column) -> list[Column]:
 KEY = ["_k1", "_k2"]
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells documents apart: equal rows are one document, an id with two texts is two."""
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+
+
 def join_small(rows: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a table whose written size decides: broadcast up to ``limit`` rows, shuffled above it.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, join_many
+from .common import cut_lineage, join_many, row_key
 from .components import component_labels
 
 SHINGLE = 3
@@ -58,16 +58,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, fingerprint as bigint) of every row."""
+    """(row, doc_id, fingerprint as bigint) of every row; ``row`` is its :func:`row_key`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            columns = [batch.column("doc_id"), pa.array(prints.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint"])
+            columns = [batch.column("row"), batch.column("doc_id"), pa.array(prints.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "fingerprint"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    key = row_key(F.col(doc_id), F.col(text)).alias("row")
+    rows = docs.select(key, F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, fingerprint bigint")
 
 
 def _mask(segments: tuple[int, ...]) -> int:
@@ -187,21 +188,28 @@ def ring_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+    """(row, doc_id, fingerprint, component, component_id) of every row.
 
-    component_id is the least id reachable over links of at most 3 differing bits. Null and
-    empty texts have fingerprint 0 and link like any other; a null id is never a least id,
-    unless its whole component has none. Repeated rows get the same answer each.
+    Rows are in one component if links of at most 3 differing bits join them: ``component`` is
+    its least fingerprint, component_id its least id. Null and empty texts have fingerprint 0
+    and link like any other; a null id is never a least id, unless its whole component has
+    none. Repeated rows get the same answer each.
     """
     prints = cut_lineage(fingerprints(docs, doc_id, text))
     nodes = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     labels = cut_lineage(component_labels(ring_links(nodes.select("fingerprint"), crowd), "a", "b"))
-    linked = labels.join(nodes, F.col("node") == F.col("fingerprint")).select("fingerprint", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = join_many(linked.select("fingerprint", "root"), least, ["root"]).select("fingerprint", "component_id")
-    of_all = cut_lineage(
-        nodes.join(of_linked, "fingerprint", "left").select(
-            "fingerprint", F.coalesce("component_id", "least").alias("component_id")
-        )
-    )
-    return join_many(prints, of_all, ["fingerprint"]).select("doc_id", "fingerprint", "component_id")
+    component = F.coalesce("root", "fingerprint").alias("component")
+    placed = nodes.join(labels, F.col("node") == F.col("fingerprint"), "left").select("fingerprint", component, "least")
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_all = cut_lineage(join_many(placed.select("fingerprint", "component"), least, ["component"]))
+    found = join_many(prints, of_all, ["fingerprint"])
+    return found.select("row", "doc_id", "fingerprint", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of ``docs`` with the least id of each component; equal rows are one, a null id comes last."""
+    found = near_duplicates(docs, doc_id, text)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    kept = cut_lineage(found.groupBy("component").agg(best.alias("best")).select(F.col("best.row").alias("_row")))
+    marked = docs.drop("_row").withColumn("_row", row_key(F.col(doc_id), F.col(text)))
+    return marked.join(kept, "_row").dropDuplicates(["_row"]).drop("_row")

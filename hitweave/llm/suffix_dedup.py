@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, join_many, join_small
+from .common import cut_lineage, join_many, join_small, row_key
 
 PASSAGE = 50
 REACH = 20
@@ -53,11 +53,6 @@ def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Tells documents apart: equal rows are one document, an id with two texts is two."""
-    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
