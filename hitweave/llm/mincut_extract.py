@@ -65,7 +65,8 @@ class Node:
     tag: str
     depth: int
     inside: int  # 1 in content tags, adds up with hints
-    other: bool
+    other: bool  # in a part that is boilerplate by its tag
+    marked: bool  # or by a hint since the last content tag
     hinted: bool
     parent: "Node | None"
 
@@ -83,7 +84,7 @@ def _hints(attrs: str) -> set[str]:
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order: references decoded, white space as one space, empty ones left out."""
-    node = Node("", 0, 0, False, False, None)
+    node = Node("", 0, 0, False, False, False, None)
     out: list[Block] = []
     parts: list[str] = []
     links = [0, 0]  # open <a>, characters in links
@@ -127,9 +128,10 @@ def blocks_of(page: str) -> list[Block]:
                 hints = _hints(attrs) if "=" in attrs else ()
                 inside = node.inside + (tag in CONTENT_TAGS)
                 other = node.other or tag in OTHER_TAGS or tag == "header" and not inside
-                other = other or bool(hints) and not OTHER_HINTS.isdisjoint(hints) and tag not in ("html", "body")
+                marked = node.marked and tag not in CONTENT_TAGS
+                marked = marked or bool(hints) and not OTHER_HINTS.isdisjoint(hints) and tag not in ("html", "body")
                 hinted = node.hinted or bool(hints) and not CONTENT_HINTS.isdisjoint(hints)
-                node = Node(tag, node.depth + 1, inside, other, hinted, node)
+                node = Node(tag, node.depth + 1, inside, other, marked, hinted, node)
     flush()
     return out
 
@@ -142,11 +144,11 @@ def block_score(block: Block) -> float:
         score += W_SENTENCE
     if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         score += W_HEADING
+    if node.other or node.marked:
+        return score + W_OTHER
     if node.inside:
-        score += W_CONTENT_TAG
-    elif node.hinted:
-        score += W_CONTENT_HINT
-    return score + W_OTHER if node.other else score
+        return score + W_CONTENT_TAG
+    return score + W_CONTENT_HINT if node.hinted else score
 
 
 def _steps(a: Node, b: Node) -> int:
