@@ -298,6 +298,26 @@ def s19_incremental_ingest(spark, sf_dir):
     return hits.groupBy(E).agg(F.count("*").alias("n_hits"), F.count_if(F.col("particle_id") == 0).alias("n_noise"))
 
 
+@query(
+    "s19_events_in_two_files",
+    with_tables(
+        "hits",
+        body="SELECT event_id, COUNT(*) AS n_hits, COUNT(DISTINCT hit_id) AS n_different FROM hits GROUP BY event_id",
+    ),
+)
+def s19_events_in_two_files(spark, sf_dir):
+    """Every event spread over two files that arrive one after the other, then read again from a new checkpoint."""
+    root = f"{checkpoint_root(spark)}/ingest/{uuid.uuid4().hex}"
+    hits = A.hits(spark, sf_dir)
+    for turn, state in ((0, "state"), (1, "state"), (1, "other")):
+        if state == "state":
+            hits.where((F.col("particle_id") == 0) == F.lit(turn == 1)).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(hits.schema).parquet(f"{root}/in")
+        ingest_stream(source, lambda df: df, f"{root}/hits", f"{root}/{state}").awaitTermination()
+    written = spark.read.parquet(f"{root}/hits")
+    return written.groupBy(E).agg(F.count("*").alias("n_hits"), F.count_distinct("hit_id").alias("n_different"))
+
+
 # ---- U3, U4: user functions ----------------------------------------------------
 @hooks.register("processing", "drop_noise")
 def drop_noise(hits, particles, tracks):

@@ -430,11 +430,11 @@ def _binned_sql(table: str, value: str, edges: list[float], passed: str, total:
     return f"""
 , b AS (SELECT CAST({inner} AS BIGINT) AS bin, {passed} AS p, {total} AS t FROM {table}
   WHERE {value} >= {edges[0]!r}::DOUBLE AND {value} <= {edges[-1]!r}::DOUBLE)
-SELECT bin, round(list_extract([{lows}], bin + 1), 6) + 0.0 AS low, round(list_extract([{lows}], bin + 2), 6) + 0.0 AS high,
+SELECT i.bin, round(list_extract([{lows}], i.bin + 1), 6) + 0.0 AS low, round(list_extract([{lows}], i.bin + 2), 6) + 0.0 AS high,
   COUNT(*) FILTER (t) AS n_total, COUNT(*) FILTER (t AND p) AS n_passed,
   round(CASE WHEN COUNT(*) FILTER (t) = 0 THEN 0 ELSE CAST(COUNT(*) FILTER (t AND p) AS DOUBLE) / COUNT(*) FILTER (t) END, 6)
     + 0.0 AS efficiency
-FROM b GROUP BY bin"""
+FROM (SELECT unnest(range({len(edges) - 1})) AS bin) i LEFT JOIN b USING (bin) GROUP BY i.bin"""
 
 
 def _rounded_bins(binned):
@@ -504,10 +504,12 @@ def _grid_sql(rows: str) -> str:
     """Ratio per grid cell of rows that carry the flags hit and total."""
     return f"""
 , x AS ({rows})
-SELECT z_bin, r_bin, COUNT(*) FILTER (hit) AS n_numerator, COUNT(*) FILTER (total) AS n_denominator,
+SELECT zs.z_bin, rs.r_bin, COUNT(*) FILTER (hit) AS n_numerator, COUNT(*) FILTER (total) AS n_denominator,
   round(CASE WHEN COUNT(*) FILTER (total) > 0 THEN CAST(COUNT(*) FILTER (hit) AS DOUBLE) / COUNT(*) FILTER (total) END, 6)
     + 0.0 AS ratio
-FROM (SELECT *, {GRID} FROM x WHERE z BETWEEN -3 AND 3 AND r BETWEEN 0 AND 2) GROUP BY z_bin, r_bin"""
+FROM (SELECT unnest(range({Z_GRID[2]})) AS z_bin) zs CROSS JOIN (SELECT unnest(range({R_GRID[2]})) AS r_bin) rs
+LEFT JOIN (SELECT *, {GRID} FROM x WHERE z BETWEEN -3 AND 3 AND r BETWEEN 0 AND 2) g
+  ON g.z_bin = zs.z_bin AND g.r_bin = rs.r_bin GROUP BY zs.z_bin, rs.r_bin"""
 
 
 TARGET_SQL = "pt BETWEEN 1.0 AND 1e9"
@@ -664,16 +666,22 @@ def a22_label_auc(spark, sf_dir):
     "a23_score_histogram",
     with_tables(
         "weighted",
+        "hits",
         body="""
-, s AS (SELECT MIN(score) AS lo, MAX(score) AS hi, COUNT(DISTINCT event_id) AS n_events FROM weighted)
-SELECT least(CAST(floor((score - lo) / ((hi - lo) / 100)) AS BIGINT), 99) AS bin,
-  CASE WHEN weight <= 0 THEN 'Non-target True' WHEN y THEN 'Target True' ELSE 'Fake' END AS kind,
-  COUNT(*) AS n, round(CAST(COUNT(*) AS DOUBLE) / MIN(n_events), 6) + 0.0 AS n_per_event
-FROM weighted, s GROUP BY 1, 2""",
+, s AS (SELECT MIN(score) AS lo, MAX(score) AS hi FROM weighted),
+ev AS (SELECT COUNT(DISTINCT event_id) AS n_events FROM hits),
+c AS (SELECT least(CAST(floor((score - lo) / ((hi - lo) / 100)) AS BIGINT), 99) AS bin,
+  CASE WHEN weight <= 0 THEN 'Non-target True' WHEN y THEN 'Target True' ELSE 'Fake' END AS kind, COUNT(*) AS n
+  FROM weighted, s GROUP BY 1, 2),
+a AS (SELECT bin, kind FROM (SELECT unnest(range(100)) AS bin)
+  CROSS JOIN (SELECT unnest(['Non-target True', 'Target True', 'Fake']) AS kind))
+SELECT a.bin, a.kind, COALESCE(c.n, 0) AS n, round(CAST(COALESCE(c.n, 0) AS DOUBLE) / n_events, 6) + 0.0 AS n_per_event
+FROM a CROSS JOIN ev LEFT JOIN c ON c.bin = a.bin AND c.kind = a.kind""",
     ),
 )
 def a23_score_histogram(spark, sf_dir):
-    out = EV.score_histogram(weighted_edges(spark, sf_dir))
+    """All 100 bins of the three kinds, per event of the hit table."""
+    out = EV.score_histogram(weighted_edges(spark, sf_dir), events=A.hits(spark, sf_dir))
     return out.withColumn("n_per_event", rnd("n_per_event"))
 
 
@@ -681,12 +689,16 @@ def a23_score_histogram(spark, sf_dir):
     "a24_graph_size",
     with_tables(
         "edges",
+        "hits",
         body="""SELECT round(AVG(n), 6) + 0.0 AS mean_size, round(stddev_pop(n), 6) + 0.0 AS std_size FROM (
-SELECT COUNT(*) AS n FROM edges GROUP BY event_id)""",
+SELECT COUNT(e.event_id) AS n FROM (SELECT DISTINCT event_id FROM hits) h
+LEFT JOIN (SELECT event_id FROM edges WHERE score > 0.58) e USING (event_id) GROUP BY h.event_id)""",
     ),
 )
 def a24_graph_size(spark, sf_dir):
-    out = EV.graph_size(A.candidate_edges(spark, sf_dir))
+    """Edges above a cut, over all events of the hit table, with or without such edges."""
+    edges = A.candidate_edges(spark, sf_dir).where("score > 0.58")
+    out = EV.graph_size(edges, A.hits(spark, sf_dir))
     return out.select(*[rnd(c).alias(c) for c in out.columns])
 
 
@@ -694,11 +706,13 @@ def a24_graph_size(spark, sf_dir):
     "a24_scoring_summary",
     with_tables(
         "te",
+        "hits",
         body="""
 , t AS (SELECT COUNT(*) AS n_target, COUNT(edge_id) AS n_built, COUNT(*) FILTER (score >= 0.5) AS n_found FROM te
   WHERE pt BETWEEN 1.0 AND 1e9),
 e AS (SELECT CAST(SUM(n) AS BIGINT) AS n_positive, AVG(n) AS mean_graph_size FROM (
-  SELECT COUNT(*) FILTER (score >= 0.5) AS n FROM edges GROUP BY event_id))
+  SELECT COUNT(*) FILTER (score >= 0.5) AS n FROM (SELECT DISTINCT event_id FROM hits) h LEFT JOIN edges USING (event_id)
+  GROUP BY event_id))
 SELECT n_target, n_built, n_found, n_positive, round(mean_graph_size, 6) + 0.0 AS mean_graph_size,
   round(CAST(n_found AS DOUBLE) / n_built, 6) + 0.0 AS target_efficiency,
   round(CAST(n_found AS DOUBLE) / n_positive, 6) + 0.0 AS target_purity,
@@ -709,7 +723,8 @@ FROM t, e""",
 )
 def a24_scoring_summary(spark, sf_dir):
     out = EV.scoring_summary(
-        track_edges(spark, sf_dir), A.candidate_edges(spark, sf_dir), 0.5, all_of({"pt": [1.0, INF]})
+        track_edges(spark, sf_dir), A.candidate_edges(spark, sf_dir), 0.5, all_of({"pt": [1.0, INF]}),
+        A.hits(spark, sf_dir),
     )
     counts = ["n_target", "n_built", "n_found", "n_positive"]
     return out.select(*counts, *[rnd(c).alias(c) for c in out.columns if c not in counts])
@@ -813,9 +828,10 @@ CUTS = [0.3, 0.5, 0.7, 0.9]
 , c AS (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS score_cut),
 b AS (SELECT CAST(CAST(pt >= 1.0 AS INTEGER) + CAST(pt >= 2.0 AS INTEGER) + CAST(pt >= 3.0 AS INTEGER)
   + CAST(pt >= 4.0 AS INTEGER) AS BIGINT) AS bin, score FROM te WHERE edge_id IS NOT NULL AND pt BETWEEN 0.5 AND 4.9)
-SELECT bin, score_cut, COUNT(*) AS n_total, COUNT(*) FILTER (score >= score_cut) AS n_passed,
-  round(CAST(COUNT(*) FILTER (score >= score_cut) AS DOUBLE) / COUNT(*), 6) + 0.0 AS efficiency
-FROM b, c GROUP BY ALL""",
+SELECT i.bin, score_cut, COUNT(b.bin) AS n_total, COUNT(*) FILTER (score >= score_cut) AS n_passed,
+  round(CASE WHEN COUNT(b.bin) > 0 THEN CAST(COUNT(*) FILTER (score >= score_cut) AS DOUBLE) / COUNT(b.bin) END, 6) + 0.0
+  AS efficiency
+FROM (SELECT unnest(range(5)) AS bin) i CROSS JOIN c LEFT JOIN b ON b.bin = i.bin GROUP BY i.bin, score_cut""",
     ),
 )
 def a29_efficiency_by_cut(spark, sf_dir):

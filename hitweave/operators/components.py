@@ -1,64 +1,21 @@
 """Connected components of score-cut graphs, and the tracks read off them.
 
-Labels are the least hit id of a component. Events of ordinary size are labelled in
-one task each; for larger ones each round is one grouping plus joins on (event, node)
-over edge tables, written to the shared folder, so a component may be as large as the
-table.
+Labels are the least hit id of a component. Each round is one grouping plus joins on
+(event, node) over edge tables, written to the shared folder, so a component may be as
+large as the table.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .joins import E, endpoints, join_per_key
 
-TASK_LIMIT = 1_000_000
-LABEL_SCHEMA = "event_id bigint, hit_id bigint, component bigint"
 
-
-def component_labels(edges: DataFrame, task_limit: int = TASK_LIMIT) -> DataFrame:
-    """(event, hit_id, component) of every hit on an edge.
-
-    Events of at most ``task_limit`` edges are labelled whole, one task each, after a
-    single shuffle; larger events go through :func:`label_by_rounds` with equal result.
-    """
-    links = cut_lineage(edges.where("src <> dst").select(E, "src", "dst"))
-    sizes = links.groupBy(E).count().where(F.col("count") > task_limit).select(E)
-    large = cut_lineage(sizes)
-    if not large.head(1):
-        return links.groupBy(E).applyInPandas(_label_event, LABEL_SCHEMA)
-    small = join_per_key(links, large, [E], "left_anti")
-    rest = join_per_key(links, large, [E], "left_semi")
-    return small.groupBy(E).applyInPandas(_label_event, LABEL_SCHEMA).unionByName(label_by_rounds(rest))
-
-
-def label_arrays(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hits, least hit of their component): hooking to the lesser label and pointer jumping."""
-    hits, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    u, v = ends[: len(src)], ends[len(src) :]
-    label = np.arange(len(hits))
-    while True:
-        low = np.minimum(label[u], label[v])
-        hooked = label.copy()
-        for place in (label[u], label[v], u, v):
-            np.minimum.at(hooked, place, low)
-        hooked = hooked[hooked]
-        if np.array_equal(hooked, label):
-            return hits, hits[label]
-        label = hooked
-
-
-def _label_event(pdf: pd.DataFrame) -> pd.DataFrame:
-    hits, component = label_arrays(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
-    return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "hit_id": hits, "component": component})
-
-
-def label_by_rounds(edges: DataFrame) -> DataFrame:
-    """The same by alternating star contractions; any event size.
+def component_labels(edges: DataFrame) -> DataFrame:
+    """(event, hit_id, component) of every hit on an edge between two hits, by alternating star contractions.
 
     Every node first points its greater neighbours, then its lesser ones, to its least
     neighbour. The number of rounds grows with the logarithm of the component size.
@@ -68,13 +25,9 @@ def label_by_rounds(edges: DataFrame) -> DataFrame:
         E, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     )
     pairs = cut_lineage(pairs.distinct())
-    before = _digest(pairs)
-    while True:
-        pairs = cut_lineage(_small_star(cut_lineage(_large_star(pairs))))
-        after = _digest(pairs)
-        if after == before:
-            break
-        before = after
+    before = None
+    while before != (before := _digest(pairs)):
+        pairs = cut_lineage(_small_star(_large_star(pairs)))
     roots = pairs.select(E, F.col("u").alias("hit_id"), F.col("v").alias("component"))
     return roots.unionByName(
         roots.select(E, F.col("component").alias("hit_id"), "component").distinct()
@@ -101,10 +54,8 @@ def _small_star(pairs: DataFrame) -> DataFrame:
 
 
 def _digest(pairs: DataFrame) -> tuple:
-    """Count and order-free checksum of an edge set."""
-    mix = F.xxhash64(E, "u", "v")
-    halves = [F.sum(F.shiftright(mix, 32)), F.sum(mix.bitwiseAND(F.lit(0xFFFFFFFF)))]
-    return tuple(pairs.agg(F.count("*"), *halves).first())
+    """Count and order-free checksums of an edge set."""
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64(E, "u", "v")), F.bit_xor(F.xxhash64("v", "u", E))).first())
 
 
 def connected_components(hits: DataFrame, edges: DataFrame, cut: float) -> DataFrame:

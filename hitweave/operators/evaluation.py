@@ -40,6 +40,28 @@ def uniform_bin(value, low: float, high: float, n: int) -> Column:
     return F.when((v >= low) & (v <= high), F.least(place, F.lit(n - 1).cast("bigint")))
 
 
+def every_bin(df: DataFrame, **sizes: int) -> DataFrame:
+    """All combinations of 0-based bins, one column for each keyword; their number is that of the report's rows."""
+    total = math.prod(sizes.values())
+    rest, columns = F.col("id"), []
+    for name, n in reversed(sizes.items()):
+        columns.insert(0, F.pmod(rest, F.lit(n)).cast("bigint").alias(name))
+        rest = F.floor(rest / n)
+    return df.sparkSession.range(total).select(*columns)
+
+
+def with_empty_bins(counts: DataFrame, bins: DataFrame) -> DataFrame:
+    """``counts`` with a row of zeros for each bin that nothing fell into."""
+    keys = bins.columns
+    joined = bins.join(counts, keys, "left")
+    return joined.select(*keys, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts.columns if c not in keys])
+
+
+def events_of(edges: DataFrame, events: DataFrame | None) -> DataFrame:
+    """The distinct event ids that per-event means divide by: of the event table, else of the edges."""
+    return (edges if events is None else events).select(E).distinct()
+
+
 def binned_efficiency(
     df: DataFrame, value, edges: list[float], passed: Column, total: Column | None = None, scale: float = 1.0
 ) -> DataFrame:
@@ -52,6 +74,7 @@ def binned_efficiency(
         .groupBy("bin")
         .agg(F.count_if("_t").alias("n_total"), F.count_if("_p").alias("n_passed"))
     )
+    counts = with_empty_bins(counts, every_bin(df, bin=len(edges) - 1))
     bounds = F.array(*[F.lit(float(e)) for e in edges])
     place = F.col("bin").cast("int")
     return counts.select(
@@ -77,11 +100,9 @@ def binned_ratio_2d(
     cells = df.select(
         uniform_bin("z", *z).alias("z_bin"), uniform_bin("r", *r).alias("r_bin"), numerator.alias("_n"), denominator.alias("_d")
     ).where("z_bin is not null and r_bin is not null")
-    return (
-        cells.groupBy("z_bin", "r_bin")
-        .agg(F.count_if("_n").alias("n_numerator"), F.count_if("_d").alias("n_denominator"))
-        .withColumn("ratio", F.try_divide("n_numerator", "n_denominator"))
-    )
+    counts = cells.groupBy("z_bin", "r_bin").agg(F.count_if("_n").alias("n_numerator"), F.count_if("_d").alias("n_denominator"))
+    grid = with_empty_bins(counts, every_bin(df, z_bin=z[2], r_bin=r[2]))
+    return grid.withColumn("ratio", F.try_divide("n_numerator", "n_denominator"))
 
 
 def _placed(edges: DataFrame, hits: DataFrame, unit: float) -> DataFrame:
@@ -152,15 +173,19 @@ def region_efficiency_purity(edges: DataFrame, hits: DataFrame, positive: Column
     )
 
 
-def graph_size(edges: DataFrame) -> DataFrame:
-    """Mean and population standard deviation of edges per event."""
+def graph_size(edges: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Mean and population standard deviation of edges per event; events without edges count as 0."""
     sizes = edges.groupBy(E).agg(F.count("*").alias("n"))
+    sizes = events_of(edges, events).join(sizes, E, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     return sizes.agg(F.avg("n").alias("mean_size"), F.stddev_pop("n").alias("std_size"))
 
 
-def scoring_summary(track_edges: DataFrame, edges: DataFrame, cut: float, target: Column) -> DataFrame:
+def scoring_summary(
+    track_edges: DataFrame, edges: DataFrame, cut: float, target: Column, events: DataFrame | None = None
+) -> DataFrame:
     """Target efficiency, purity and construction efficiency at a score cut.
 
+    The mean graph size is over all ``events``, with or without edges.
     ``track_edges`` carries the nullable ``edge_id`` and ``score`` of the built edge.
     """
     built = F.col("edge_id").isNotNull()
@@ -169,6 +194,7 @@ def scoring_summary(track_edges: DataFrame, edges: DataFrame, cut: float, target
         F.count("*").alias("n_target"), F.count_if(built).alias("n_built"), F.count_if(found).alias("n_found")
     )
     e = edges.groupBy(E).agg(F.count_if(F.col("score") >= cut).alias("n"))
+    e = events_of(edges, events).join(e, E, "left").select(F.coalesce("n", F.lit(0)).alias("n"))
     e = e.agg(F.sum("n").alias("n_positive"), F.avg("n").alias("mean_graph_size"))
     one = t.withColumn("_k", F.lit(1)).join(e.withColumn("_k", F.lit(1)), "_k").drop("_k")
     ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
@@ -183,7 +209,7 @@ def scoring_summary(track_edges: DataFrame, edges: DataFrame, cut: float, target
 
 
 def efficiency_by_cut(track_edges: DataFrame, value: str, edges: list[float], cuts: list[float]) -> DataFrame:
-    """Binned efficiency at several score cuts in one pass over the table."""
+    """Binned efficiency at several score cuts in one pass over the table; null where a bin is empty."""
     counts = (
         track_edges.where("edge_id is not null")
         .select(bin_of(value, edges).alias("bin"), "score")
@@ -194,6 +220,7 @@ def efficiency_by_cut(track_edges: DataFrame, value: str, edges: list[float], cu
             *[F.count_if(F.col("score") >= c).alias(f"_p{i}") for i, c in enumerate(cuts)],
         )
     )
+    counts = with_empty_bins(counts, every_bin(track_edges, bin=len(edges) - 1))
     rows = F.array(
         *[F.struct(F.lit(float(c)).alias("score_cut"), F.col(f"_p{i}").alias("n_passed")) for i, c in enumerate(cuts)]
     )
@@ -227,21 +254,31 @@ def area_under_curve(curve: DataFrame) -> DataFrame:
     return curve.agg(F.try_divide(area, n_pos * n_neg).alias("auc"))
 
 
-def score_histogram(edges: DataFrame, bins: int = 100) -> DataFrame:
-    """Counts per event of fakes, target and non-target edges in score bins over the score range."""
-    kind = (
-        F.when(F.col("weight") <= 0, "Non-target True").when(F.col("y"), "Target True").otherwise("Fake")
-    )
-    span = edges.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.count_distinct(E).alias("_events"))
+KINDS = ("Fake", "Non-target True", "Target True")
+
+
+def score_histogram(edges: DataFrame, bins: int = 100, events: DataFrame | None = None) -> DataFrame:
+    """Counts per event of fakes, target and non-target edges in score bins over the score range.
+
+    Every kind has all bins; the mean is over all ``events``, with or without edges.
+    """
+    kind = F.when(F.col("weight") <= 0, KINDS[1]).when(F.col("y"), KINDS[2]).otherwise(KINDS[0])
+    number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind) - 1
+    span = edges.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     # One row of statistics, brought to every row by a constant key.
     spread = edges.withColumn("_k", F.lit(1)).join(F.broadcast(span.withColumn("_k", F.lit(1))), "_k")
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.least(F.floor(F.try_divide(F.col("score") - F.col("_lo"), width)), F.lit(bins - 1).cast("bigint"))
-    return (
-        spread.select(F.coalesce(place, F.lit(0).cast("bigint")).alias("bin"), kind.alias("kind"), "_events")
-        .groupBy("bin", "kind", "_events")
+    counts = (
+        spread.select(F.coalesce(place, F.lit(0).cast("bigint")).alias("bin"), number.alias("kind"))
+        .groupBy("bin", "kind")
         .agg(F.count("*").alias("n"))
-        .select("bin", "kind", "n", (F.col("n") / F.col("_events")).alias("n_per_event"))
+    )
+    whole = with_empty_bins(counts, every_bin(edges, bin=bins, kind=len(KINDS))).withColumn("_k", F.lit(1))
+    total = events_of(edges, events).agg(F.count("*").alias("_events")).withColumn("_k", F.lit(1))
+    named = F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("kind").cast("int"))
+    return whole.join(F.broadcast(total), "_k").select(
+        "bin", named.alias("kind"), "n", F.try_divide("n", "_events").alias("n_per_event")
     )
 
 

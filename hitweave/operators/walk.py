@@ -126,7 +126,12 @@ def _spread_extreme(values: DataFrame, edges: DataFrame, start: str, end: str, c
     pick, agg = (F.greatest, F.max) if greatest else (F.least, F.min)
     step = 1 if greatest else 0
     values = cut_lineage(values)
+    limit = values.count() if greatest else None
+    step_no = 0
     while True:
+        step_no += 1
+        if limit is not None and step_no > limit + 1:
+            raise ValueError("graph has a directed cycle")
         sent = (
             join_per_key(
                 edges.select(E, F.col(start).alias("hit_id"), F.col(end).alias("_to")),
@@ -204,7 +209,9 @@ def walk_by_rounds(edges: DataFrame, low: float, add: float) -> DataFrame:
 
 def walkthrough(edges: DataFrame, low: float, add: float, task_limit: int = TASK_LIMIT) -> DataFrame:
     """(event, hit_id, track_id) over edges that carry their ``component``."""
-    edges = cut_lineage(edges.select(E, "component", "src", "dst", "score"))
+    # An edge without a score (null or NaN) is no edge a road may follow, yet keeps its hits.
+    score = F.when(~F.isnan("score"), F.col("score"))
+    edges = cut_lineage(edges.select(E, "component", "src", "dst", F.coalesce(score, F.lit(float("-inf"))).alias("score")))
     large = edges.groupBy(E, "component").count().where(F.col("count") > task_limit).select(E, "component")
     large = cut_lineage(large)
     if not large.head(1):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -28,16 +32,41 @@ def get_session(app: str = "hitweave", master: str | None = None, **conf: str) -
         builder = builder.master(master)
     for key, value in {**RUNTIME_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else made."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application.
+
+    Functions that run in workers are sent by name; without this they would only be found
+    where a worker happens to start in the folder of the package.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    package = os.path.basename(home)
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{package}-"), f"{package}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join(package, os.path.relpath(path, home)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

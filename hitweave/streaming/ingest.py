@@ -1,7 +1,15 @@
-"""Incremental ingest: events already written are skipped, in batch and from a file stream."""
+"""Incremental ingest: what is already written is skipped, in batch and from a file stream.
+
+The rows of an event from one origin (a file) are a part, told from others by a digest of
+its rows. An event that is spread over several files is kept whole, as every file adds a
+part; a part that arrives again, whatever its file, is not written twice. Rows lie in
+folders by run and batch; beside them a small ledger lists the parts of each batch, so that
+later batches do not read the rows again.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -11,47 +19,113 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import E, join_per_key
 
-BATCH = "batch_id"
+RUN, BATCH, ORIGIN = "run", "batch_id", "origin"
+#: Spark's readers pass over folders whose names begin with an underscore.
+LEDGER = "_ledger"
+PART = [E, "n_rows", "digest", "digest_2"]
 
 
-def written_events(spark: SparkSession, path: str) -> DataFrame | None:
-    """Event ids found at ``path``, or None before the first write."""
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None before the first write."""
     try:
-        return spark.read.parquet(path).select(E, BATCH)
+        return spark.read.option("basePath", path).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
-def write_new_events(df: DataFrame, path: str, batch: int) -> None:
-    """Write the events that no other batch has written.
+def _folder(path: str, run: str, batch: int) -> str:
+    return f"{path}/{RUN}={run}/{BATCH}={batch}"
+
+
+def parts_of(df: DataFrame) -> DataFrame:
+    """(event, origin, n_rows, digests) of each part; the digests do not depend on the order of rows."""
+    columns = sorted(c for c in df.columns if c not in (ORIGIN, RUN, BATCH))
+    one, two = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+    return df.groupBy(E, ORIGIN).agg(
+        F.count("*").alias("n_rows"), F.bit_xor(one).alias("digest"), F.bit_xor(two).alias("digest_2")
+    )
+
+
+def _note(spark: SparkSession, path: str, run: str, batch: int) -> None:
+    """Enter a written batch into the ledger."""
+    rows = spark.read.parquet(_folder(path, run, batch))
+    parts_of(rows).select(*PART).write.mode("overwrite").parquet(_folder(f"{path}/{LEDGER}", run, batch))
+
+
+def written_parts(spark: SparkSession, path: str, run: str, batch: int) -> DataFrame | None:
+    """The parts that batches other than this one have written.
 
-    The batch has a folder of its own that is overwritten, so running the same batch
-    again after a failure neither loses nor doubles rows.
+    A batch whose rows were written but not entered, as after a crash between the two, is
+    entered first. Batches are found from the folders, without reading rows.
     """
-    done = written_events(df.sparkSession, path)
+    rows = _read(spark, path)
+    if rows is None:
+        return None
+    batches = {(r[RUN], r[BATCH]) for r in rows.select(RUN, BATCH).distinct().collect()}
+    ledger = _read(spark, f"{path}/{LEDGER}")
+    entered = set() if ledger is None else {(r[RUN], r[BATCH]) for r in ledger.select(RUN, BATCH).distinct().collect()}
+    for other in sorted(batches - entered - {(run, batch)}):
+        _note(spark, path, *other)
+    ledger = _read(spark, f"{path}/{LEDGER}")
+    if ledger is None:
+        return None
+    return ledger.where((F.col(RUN) != run) | (F.col(BATCH) != batch)).select(*PART).distinct()
+
+
+def write_new_events(df: DataFrame, path: str, batch: int, run: str = "batch") -> None:
+    """Write the parts that no other batch has written.
+
+    ``df`` may name the ``origin`` of its rows; without, an event's rows in the batch are one
+    part. The batch has a folder of its own that is overwritten, so running the same batch of
+    the same run again after a failure neither loses nor doubles rows; another run never
+    touches it.
+    """
+    df = df if ORIGIN in df.columns else df.withColumn(ORIGIN, F.lit(""))
+    # The same part from two files of this batch is taken once.
+    new = parts_of(df).groupBy(*PART).agg(F.min(ORIGIN).alias(ORIGIN))
+    done = written_parts(df.sparkSession, path, run, batch)
     if done is not None:
-        others = done.where(F.col(BATCH) != batch).select(E).distinct()
-        df = join_per_key(df, others, [E], "left_anti")
-    df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+        new = new.join(done, PART, "left_anti")
+    rows = join_per_key(df, new.select(E, ORIGIN), [E, ORIGIN], "left_semi")
+    rows.write.mode("overwrite").parquet(_folder(path, run, batch))
+    _note(df.sparkSession, path, run, batch)
 
 
 def ingest_stream(
     source: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Start a run over all files that have arrived; every event comes whole in one file.
+    """Start a run over all files that have arrived.
 
-    ``transform`` sees the rows of one micro-batch as an ordinary table. Which files
-    were read is kept in ``checkpoint``, so a later run takes only new ones.
+    ``transform`` sees the rows of one micro-batch as an ordinary table with their ``origin``
+    and must keep that column. Which files were read is kept in ``checkpoint``, so a later run
+    takes only new ones; a run with another checkpoint reads all files and writes those
+    parts that are missing, under a run id of its own.
     """
+    spark = source.sparkSession
+    run = _run_id(spark, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_new_events(transform(batch), path, batch_id)
+        write_new_events(transform(batch), path, batch_id, run)
 
     return (
-        source.writeStream.foreachBatch(write)
+        source.withColumn(ORIGIN, F.input_file_name())
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint keeps beside its state, made on first use."""
+    kept = f"{checkpoint}-run"
+    try:
+        return spark.read.text(kept).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    run = uuid.uuid4().hex
+    spark.range(1).select(F.lit(run).alias("value")).coalesce(1).write.text(kept)
+    return run

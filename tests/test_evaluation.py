@@ -93,6 +93,21 @@ def test_score_histogram_kinds(spark, rows):
         [(1, True, 1.0, 0.0), (1, True, 0.0, 0.5), (2, False, 1.0, 1.0), (2, False, 0.0, 1.0)],
         "event_id long, y boolean, weight double, score double",
     )
-    assert rows(EV.score_histogram(df, 10), "bin", "kind", "n", "n_per_event") == [
+    whole = EV.score_histogram(df, 10)
+    assert whole.count() == 30
+    assert rows(whole.where("n > 0"), "bin", "kind", "n", "n_per_event") == [
         (0, "Target True", 1, 0.5), (5, "Non-target True", 1, 0.5), (9, "Fake", 1, 0.5), (9, "Non-target True", 1, 0.5),
     ]
+
+
+def test_empty_bins_and_events_without_edges(spark, rows):
+    df = spark.createDataFrame([(0.5, True), (2.5, False)], "v double, p boolean")
+    out = EV.binned_efficiency(df, "v", [0.0, 1.0, 2.0, 3.0, 4.0], F.col("p"))
+    assert rows(out, "bin", "n_total", "n_passed", "efficiency") == [(0, 1, 1, 1.0), (1, 0, 0, 0.0), (2, 1, 0, 0.0), (3, 0, 0, 0.0)]
+    grid = spark.createDataFrame([(0.1, 0.1, True)], "z double, r double, p boolean")
+    out = EV.binned_ratio_2d(grid, F.col("p"), F.lit(True), (0.0, 1.0, 2), (0.0, 1.0, 2))
+    assert rows(out, "z_bin", "r_bin", "n_denominator", "ratio") == [(0, 0, 1, 1.0), (0, 1, 0, None), (1, 0, 0, None), (1, 1, 0, None)]
+    events = spark.createDataFrame([(1,), (2,), (2,)], "event_id long")
+    edges = spark.createDataFrame([(1, 0.9), (1, 0.8)], "event_id long, score double")
+    assert rows(EV.graph_size(edges, events)) == [(1.0, 1.0)]
+    assert rows(EV.graph_size(edges)) == [(2.0, 0.0)]

@@ -23,6 +23,31 @@ def test_batches_skip_written_events(spark, tmp_path):
     assert counts(spark, out) == [(1, 3), (2, 3), (3, 3)]
 
 
+def test_crash_before_the_ledger(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    events(spark, 1).withColumn("origin", F.lit("")).write.parquet(f"{out}/run=a/batch_id=0")
+    write_new_events(events(spark, 1, 2), out, 0, "b")
+    assert counts(spark, out) == [(1, 3), (2, 3)]
+
+
+def test_event_in_two_files_and_a_new_checkpoint(spark, tmp_path):
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def run(state):
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        ingest_stream(stream, lambda df: df, out, f"{tmp_path}/{state}").awaitTermination()
+
+    spark.createDataFrame([(1, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    run("state")
+    spark.createDataFrame([(1, 1), (2, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    run("state")
+    assert counts(spark, out) == [(1, 2), (2, 1)]
+    run("other")
+    assert counts(spark, out) == [(1, 2), (2, 1)]
+    run("state")
+    assert counts(spark, out) == [(1, 2), (2, 1)]
+
+
 def test_stream_takes_only_new_files(spark, tmp_path):
     source, out, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
 

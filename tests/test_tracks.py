@@ -39,28 +39,18 @@ def union_find(edges):
 
 
 # ---- components ----------------------------------------------------------------
-@pytest.mark.parametrize("seed,limit", [(0, 10**6), (1, 0), (2, 27)])
-def test_components(spark, seed, limit):
-    """Whole events in a task, rounds of joins, and both in one call."""
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components(spark, seed):
     data = random_graph(seed, nodes=40, edges=30, events=(1, 2, 3))[:-8]
-    labels = CC.component_labels(spark.createDataFrame(data, EDGE), limit)
+    labels = CC.component_labels(spark.createDataFrame(data, EDGE))
     got = {(r.event_id, r.hit_id): r.component for r in labels.collect()}
     assert got == union_find(data)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=40))
-def test_label_arrays(pairs):
-    src, dst = map(np.array, zip(*pairs))
-    hits, component = CC.label_arrays(src, dst)
-    assert {(1, h): c for h, c in zip(hits, component)} == union_find([(1, a, b, 0) for a, b in pairs])
-
-
-@pytest.mark.parametrize("task_limit", [0, 10**6])
-def test_long_chain_and_star(spark, task_limit):
+def test_long_chain_and_star(spark):
     chain = [(1, i, i + 1, 1.0) for i in range(200)]
     star = [(2, 300, i, 1.0) for i in range(200)]
-    labels = CC.component_labels(spark.createDataFrame(chain + star, EDGE), task_limit)
+    labels = CC.component_labels(spark.createDataFrame(chain + star, EDGE))
     got = {r.event_id: (r.n, r.c) for r in labels.groupBy("event_id").agg(F.count("*").alias("n"), F.max("component").alias("c")).collect()}
     assert got == {1: (201, 0), 2: (201, 0)}
 
@@ -128,6 +118,21 @@ def test_cycle_is_refused():
         WK.generations(np.array([0, 1, 2]), np.array([1, 2, 0]), 3)
 
 
+@pytest.mark.parametrize("task_limit", [1, 10**6])
+def test_edges_without_a_score(spark, rows, task_limit):
+    data = [(1, 1, 2, float("nan"), 0), (1, 1, 3, 0.9, 0), (1, 3, 4, 0.9, 0), (1, 5, 6, None, 5)]
+    e = spark.createDataFrame(data, EDGE + ", component long")
+    want = [(1, 1, 1), (1, 2, 2), (1, 3, 1), (1, 4, 1), (1, 5, 5), (1, 6, 6)]
+    assert rows(WK.walkthrough(e, 0.1, 0.95, task_limit=task_limit)) == want
+
+
+@pytest.mark.parametrize("task_limit", [1, 10**6])
+def test_cycles_are_refused_either_way(spark, task_limit):
+    data = [(1, 0, 1, 0.5, 0), (1, 1, 2, 0.5, 0), (1, 2, 0, 0.5, 0)]
+    with pytest.raises(Exception, match="directed cycle"):
+        WK.walkthrough(spark.createDataFrame(data, EDGE + ", component long"), 0.1, 0.9, task_limit=task_limit).collect()
+
+
 def test_walk_by_rounds_equals_walk_in_task(spark, rows):
     data = random_graph(11, nodes=16, edges=24)
     e = spark.createDataFrame(data, EDGE)
