@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.draws import draw_sql
 from ..functions.inference import Mlp, embed_udf
 from ..functions.geometry import decay_weight
 from ..operators import edge_tables as ET
@@ -20,7 +21,7 @@ from ..plans import graphs as P
 from ..session import cut_lineage
 from ..sources import adapters as A
 from ..sources import text_dumps
-from .graph_tables import RULES, plain_track_edges, weighted_edges
+from .graph_tables import INF, RULES, plain_track_edges, weighted_edges
 from .reading import module_map_lines
 from .registry import query, rnd
 from .sqltables import cte, with_tables
@@ -177,9 +178,20 @@ def j15_neighbourhood(spark, sf_dir):
     return N.neighbourhood(space_hits(spark, sf_dir), "v", 3, r=150.0, max_neighbours=6, knn=4)
 
 
-@query("j15_random_neighbourhood")
+def _unit(seed: int) -> str:
+    return f"CAST({draw_sql('event_id', 'hit_id', seed=seed)} % {1 << 52} AS DOUBLE) / {float(1 << 52)}"
+
+
+cte("drawn_positions", f"SELECT event_id, hit_id, {_unit(7)} AS x, {_unit(8)} AS y, 0.0 AS z FROM hits", "hits")
+cte("random_nearest", _brute("drawn_positions", XYZ, 10.0, 3), "drawn_positions")
+
+
+@query(
+    "j15_random_neighbourhood",
+    with_tables("random_nearest", body="SELECT event_id, src, dst FROM random_nearest"),
+)
 def j15_random_neighbourhood(spark, sf_dir):
-    """kNN graph of hash-drawn positions; no oracle, since the hash is Spark's own."""
+    """kNN graph of drawn positions."""
     return N.neighbourhood(space_hits(spark, sf_dir), "v", 3, random_k=3, seed=7)
 
 
@@ -210,9 +222,18 @@ def a15_p23_gravity_pooling(spark, sf_dir):
 
 
 # ---- D7, T6, G11 ---------------------------------------------------------------
-@query("t6_query_points")
+cte("query_points_50", f"""
+SELECT event_id, hit_id, particle_id FROM (SELECT *, ROW_NUMBER() OVER (
+  PARTITION BY event_id ORDER BY {draw_sql('event_id', 'hit_id', seed=3)}, hit_id) AS n FROM hits) WHERE n <= 50""", "hits")
+cte("query_points_100", f"""
+SELECT event_id, hit_id, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY hit_id) - 1 AS i, COUNT(*) OVER (PARTITION BY event_id) AS n
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY {draw_sql('event_id', 'hit_id', seed=0)}, hit_id) AS o FROM hits)
+WHERE o <= 100""", "hits")
+
+
+@query("t6_query_points", with_tables("query_points_50", body="SELECT event_id, hit_id, particle_id FROM query_points_50"))
 def t6_query_points(spark, sf_dir):
-    """Fifty hash-drawn query points per event (a sampling operator)."""
+    """Fifty drawn query points per event (a sampling operator)."""
     return SM.query_points(A.hits(spark, sf_dir).select(E, "hit_id", "particle_id"), 50, seed=3)
 
 
@@ -227,7 +248,24 @@ def t6_sample_sizes(spark, sf_dir):
     return drawn.groupBy(E).agg(F.count("*").alias("n"), F.count_distinct("hit_id").alias("n_distinct"))
 
 
-@query("d7_training_edges")
+@query(
+    "d7_training_edges",
+    with_tables(
+        "query_points_100",
+        "near_hits",
+        "te",
+        body=f"""
+, p AS (SELECT event_id, hit_id, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY hit_id) - 1 AS i FROM hits),
+m AS (SELECT event_id, COUNT(*) AS n FROM hits GROUP BY event_id),
+w AS (SELECT q.event_id, i, {draw_sql('q.event_id', 'i', seed=0)} % q.n AS a, {draw_sql('q.event_id', 'i', seed=1)} % m.n AS b
+  FROM query_points_100 q JOIN m USING (event_id) WHERE i < floor(q.n * 0.5)),
+s AS (SELECT event_id, src, dst FROM te WHERE COALESCE(pt BETWEEN 1 AND 1e9, FALSE) AND COALESCE(nhits BETWEEN 3 AND 1e9, FALSE))
+SELECT n.event_id, src, dst FROM near_hits n JOIN query_points_100 q ON q.event_id = n.event_id AND q.hit_id = n.src WHERE src <> dst
+UNION SELECT w.event_id, q.hit_id, p.hit_id FROM w JOIN query_points_100 q ON q.event_id = w.event_id AND q.i = w.a
+  JOIN p ON p.event_id = w.event_id AND p.i = w.b
+UNION SELECT event_id, src, dst FROM s UNION SELECT event_id, dst, src FROM s""",
+    ),
+)
 def d7_training_edges(spark, sf_dir):
     """Near pairs of sampled queries, random pairs and signal edges both ways, distinct."""
     signal = WT.signal_edges(plain_track_edges(spark, sf_dir), RULES)
@@ -250,7 +288,32 @@ def d7_signal_in_training(spark, sf_dir):
     return training.join(both, [E, "src", "dst"], "left_semi").groupBy(E).agg(F.count("*").alias("n_signal"))
 
 
-@query("g11_negative_subsample")
+cte("negatives", """
+SELECT event_id, edge_id, c AS class, ROW_NUMBER() OVER (PARTITION BY event_id, c ORDER BY edge_id) - 1 AS place,
+  COUNT(*) OVER (PARTITION BY event_id, c) AS size
+FROM (SELECT event_id, edge_id, unnest([CAST(score > 0.5 AS INTEGER), 2]) AS c FROM weighted
+  WHERE (NOT y AND weight <> 0) OR weight < 0)""", "weighted")
+cte("negative_draws", f"""
+SELECT t.event_id, t.edge_id, turn, hard, CASE WHEN EXISTS (SELECT 1 FROM negatives n WHERE n.event_id = t.event_id
+  AND n.class = hard) THEN hard ELSE 2 END AS class
+FROM weighted t, (SELECT unnest([0, 1]) AS turn), (SELECT unnest([1, 0]) AS hard) WHERE t.y AND t.weight > 0""",
+    "weighted", "negatives")
+
+
+@query(
+    "g11_negative_subsample",
+    with_tables(
+        "negative_draws",
+        body=f"""
+, d AS (SELECT DISTINCT ON (d.event_id, d.edge_id, turn, hard) d.event_id, hard, n.class, n.size,
+    {draw_sql('d.event_id', 'd.class', 'd.edge_id', 'turn', 'hard', seed=0)} AS h
+  FROM negative_draws d JOIN negatives n ON n.event_id = d.event_id AND n.class = d.class)
+SELECT event_id, edge_id, y, weight, score, 'true' AS sample FROM weighted WHERE y AND weight > 0 UNION ALL
+SELECT w.event_id, w.edge_id, w.y, w.weight, w.score, CASE WHEN d.hard = 1 THEN 'hard' ELSE 'easy' END
+FROM d JOIN negatives n ON n.event_id = d.event_id AND n.class = d.class AND n.place = d.h % d.size
+JOIN weighted w ON w.event_id = n.event_id AND w.edge_id = n.edge_id""",
+    ),
+)
 def g11_negative_subsample(spark, sf_dir):
     """All signal edges and hash-drawn hard and easy negatives."""
     out = SM.subsample_negatives(weighted_edges(spark, sf_dir), 2, 0.5)
@@ -272,6 +335,22 @@ def g11_subsample_sizes(spark, sf_dir):
     return out.groupBy(E, "sample").agg(F.count("*").alias("n"))
 
 
+def _sizes_sql(edges: str) -> str:
+    """Signal edges and twice as many of either kind of negative, for events that have any negative."""
+    return f"""
+, b AS ({edges}),
+n AS (SELECT event_id, COUNT(*) FILTER (y AND weight > 0) AS t, COUNT(*) FILTER ((NOT y AND weight <> 0) OR weight < 0) AS f
+  FROM b GROUP BY event_id)
+SELECT event_id, 'true' AS sample, t AS n, t AS n_signal FROM n WHERE t > 0 UNION ALL
+SELECT event_id, s, 2 * t, 0 FROM n, (SELECT unnest(['hard', 'easy']) AS s) WHERE t > 0 AND f > 0"""
+
+
+def _sample_sizes(edges):
+    out = SM.subsample_negatives(edges, 2, 0.5)
+    signal = F.count_if(F.col("y") & (F.col("weight") > 0))
+    return out.groupBy(E, "sample").agg(F.count("*").alias("n"), signal.alias("n_signal"))
+
+
 # ---- U1, U2, G10, G12, G14 -----------------------------------------------------
 EMBEDDING = Mlp(
     layers=(
@@ -342,6 +421,25 @@ def g10_embedding_graph(spark, sf_dir):
     return edges.select(E, F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "y")
 
 
+@query(
+    "g10_g11_embedding_negatives",
+    with_tables(
+        "embedding_edges",
+        "te",
+        body=_sizes_sql("""
+SELECT p.event_id, t.lo IS NOT NULL AS y, 1.0 AS weight FROM (SELECT event_id, least(src, dst) AS lo, greatest(src, dst) AS hi FROM embedding_edges WHERE src <> dst GROUP BY ALL) p
+LEFT JOIN (SELECT DISTINCT event_id, least(src, dst) AS lo, greatest(src, dst) AS hi FROM te) t USING (event_id, lo, hi)"""),
+    ),
+)
+def g10_g11_embedding_negatives(spark, sf_dir):
+    """The sampler on the embedding graph as built, with its own edge ids; scores from the hit numbers of the ends."""
+    edges, _ = P.embedding_graph(
+        A.hits(spark, sf_dir), ["x", "y", "z"], EMBEDDING, 2, plain_track_edges(spark, sf_dir), RULES[:2], r=0.05, k=8
+    )
+    score = F.pmod(F.col("src") + F.col("dst"), F.lit(10)) / 10
+    return _sample_sizes(edges.withColumns({"score": score, "weight": F.lit(1.0)}))
+
+
 @query("g14_fitted_edge_scores")
 def g14_fitted_edge_scores(spark, sf_dir):
     """Distributed weighted fit on the whole edge table, then its scores."""

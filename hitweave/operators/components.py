@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .joins import E, endpoints, join_per_key
 
 
@@ -27,7 +27,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
     pairs = cut_lineage(pairs.distinct())
     before = None
     while before != (before := _digest(pairs)):
-        pairs = cut_lineage(_small_star(_large_star(pairs)))
+        last, pairs = pairs, cut_lineage(_small_star(_large_star(pairs)))
+        release(last)
     roots = pairs.select(E, F.col("u").alias("hit_id"), F.col("v").alias("component"))
     return roots.unionByName(
         roots.select(E, F.col("component").alias("hit_id"), "component").distinct()

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import wrap_angle
+from ..session import cut_lineage
 from ..sources.text_dumps import module_map_parts
 from .joins import E
 from .mapping import label_edges
+from .ranking import pair_index
 
 MIDS = ["mid_1", "mid_2", "mid_3"]
 
@@ -90,8 +92,8 @@ def edges_of_triplets(found: DataFrame) -> DataFrame:
 
 
 def build_module_map_graph(hits: DataFrame, module_map: DataFrame, track_edges: DataFrame) -> DataFrame:
-    """Labelled edges of the module-map graph; ``edge_id`` is a hash of the two hits."""
+    """Labelled edges of the module-map graph; ``edge_id`` numbers them in each event."""
     first, second, triplet = module_map_parts(module_map)
     found = triplets(doublets(hits, first, True), doublets(hits, second, False), triplet.dropDuplicates())
-    edges = edges_of_triplets(found).withColumn("edge_id", F.xxhash64("src", "dst"))
+    edges = pair_index(cut_lineage(edges_of_triplets(found)), E, "edge_id")
     return label_edges(edges, track_edges)

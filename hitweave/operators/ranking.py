@@ -16,22 +16,29 @@ SUM_BUCKETS = 256
 
 
 def dense_index(
-    df: DataFrame, group: list[str], order: str, out: str, width: int | None = BUCKET_WIDTH, start: int = 0
+    df: DataFrame,
+    group: list[str],
+    order: str,
+    out: str,
+    width: int | None = BUCKET_WIDTH,
+    start: int = 0,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Number the rows of each group by the unique integer column ``order``.
+    """Number the rows of each group by the integer column ``order``, then by ``ties``; together they are unique.
 
     ``width`` is the key range of a bucket, right for ids that are nearly dense;
     ``None`` measures the range first, for ids such as hashes.
     """
     if width is None:
         low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-        width = max(1, (high - low + 1) * BUCKET_WIDTH // n) if n else 1
+        # Few hashes may span all of 64 bits; a bucket then takes a quarter of that range at most.
+        width = min(max(1, (high - low + 1) * BUCKET_WIDTH // n), 1 << 62) if n else 1
     bucketed = df.withColumn("_bucket", F.expr(f"{order} div {width}L"))
     keys = [*group, "_bucket"]
     totals = bucketed.groupBy(*keys).agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys).orderBy(order)
+    inside = Window.partitionBy(*keys).orderBy(order, *ties)
     return (
         bucketed.withColumn("_within", F.row_number().over(inside))
         .join(offsets, keys)
@@ -40,6 +47,12 @@ def dense_index(
     )
 
 
+def pair_index(edges: DataFrame, group: str, out: str) -> DataFrame:
+    """Number the distinct (src, dst) pairs of each group from 0: ids that never collide, in the order of a hash."""
+    hashed = edges.withColumn("_hash", F.xxhash64("src", "dst"))
+    return dense_index(hashed, [group], "_hash", out, width=None, ties=("src", "dst")).drop("_hash")
+
+
 def successive_pairs(df: DataFrame, group: list[str], order: str) -> DataFrame:
     """(group, first, second): neighbours in the order of each group, for groups of any size."""
     placed = dense_index(df.select(*group, order), group, order, "_n", width=None)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from ..session import cut_lineage
 from .joins import E, join_per_key
 from .neighbours import radius_neighbours
@@ -13,15 +14,17 @@ from .ranking import dense_index
 
 def query_points(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` random points of every event, by a seeded hash; the rank limit is applied before the shuffle."""
-    order = Window.partitionBy(E).orderBy(F.xxhash64(E, "hit_id", F.lit(seed)), "hit_id")
+    order = Window.partitionBy(E).orderBy(draw(E, "hit_id", seed=seed), "hit_id")
     return points.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
-def _drawn(draws: DataFrame, pool: DataFrame, keys: list[str], out: str, seed: int) -> DataFrame:
-    """One pool id per draw, uniform with replacement; ``draws`` has a unique ``_draw`` per key."""
+def _drawn(
+    draws: DataFrame, pool: DataFrame, keys: list[str], out: str, seed: int, by: tuple[str, ...] = ("_draw",)
+) -> DataFrame:
+    """One pool id per draw, uniform with replacement; ``by`` tells the draws of a key apart."""
     numbered = dense_index(pool.select(*keys, "_id"), keys, "_id", "_place", width=None)
     sizes = pool.groupBy(*keys).agg(F.count("*").alias("_size"))
-    place = F.pmod(F.xxhash64(*keys, "_draw", F.lit(seed)), F.col("_size"))
+    place = F.pmod(draw(*keys, *by, seed=seed), F.col("_size"))
     placed = join_per_key(draws, sizes, keys).withColumn("_place", place).drop("_size")
     return placed.join(numbered, [*keys, "_place"]).withColumnRenamed("_id", out).drop("_place")
 
@@ -83,7 +86,8 @@ def subsample_negatives(edges: DataFrame, ratio: int, cut: float, seed: int = 0)
         F.struct("edge_id", "_turn", "_hard").alias("_draw"),
     )
     classes = pool.select(E, "_id", F.explode(F.array(F.col("_hard"), F.lit(2))).alias("_class"))
-    drawn = _drawn(draws, classes, [E, "_class"], "edge_id", seed).select(E, "edge_id", F.col("_draw._hard").alias("_hard"))
+    by = ("_draw.edge_id", "_draw._turn", "_draw._hard")
+    drawn = _drawn(draws, classes, [E, "_class"], "edge_id", seed, by).select(E, "edge_id", F.col("_draw._hard").alias("_hard"))
     kind = F.when(F.col("_hard") == 1, F.lit("hard")).otherwise(F.lit("easy"))
     sampled = drawn.select(E, "edge_id", kind.alias("sample")).join(edges, [E, "edge_id"])
     return true.withColumn("sample", F.lit("true")).unionByName(sampled.select(*true.columns, "sample"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .joins import E, endpoints, join_per_key
 
 TASK_LIMIT = 200_000
@@ -141,12 +141,13 @@ def _spread_extreme(values: DataFrame, edges: DataFrame, start: str, end: str, c
             .groupBy(E, F.col("_to").alias("hit_id"))
             .agg(agg(F.col(column) + step if greatest else F.col(column)).alias("_new"))
         )
-        moved = values.join(sent, [E, "hit_id"], "left")
+        moved = values.drop("_changed").join(sent, [E, "hit_id"], "left")
         best = F.coalesce(pick(F.col(column), F.col("_new")), F.col(column))
         moved = cut_lineage(moved.withColumn("_changed", best != F.col(column)).withColumn(column, best).drop("_new"))
+        release(values)
+        values = moved
         if not moved.where("_changed").head(1):
             return moved.drop("_changed")
-        values = moved.drop("_changed")
 
 
 def _chosen_edges(edges: DataFrame, low: float, add: float) -> DataFrame:

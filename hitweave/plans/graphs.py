@@ -12,6 +12,7 @@ from ..operators import edge_tables as ET
 from ..operators import mapping as M
 from ..operators.joins import E
 from ..operators.neighbours import radius_neighbours
+from ..operators.ranking import pair_index
 from ..operators.truth_edges import orient_outward
 from ..operators.weighting import weight_edges
 from ..session import cut_lineage
@@ -31,12 +32,12 @@ def embedding_graph(
     """(edges, track_edges): hits embedded, joined to their neighbours, labelled and weighted."""
     raw = hits.select(E, "hit_id", embed_udf(network)(stack(features)).alias("_raw"))
     embedded = cut_lineage(raw.select(E, "hit_id", l2_normalise("_raw").alias("embedding")))
-    edges = radius_neighbours(embedded, "embedding", dims, r, k).withColumn("edge_id", F.xxhash64("src", "dst"))
-    edges = cut_lineage(edges)
+    edges = cut_lineage(radius_neighbours(embedded, "embedding", dims, r, k))
+    edges = cut_lineage(pair_index(edges, E, "edge_id"))
     true = track_edges
     if undirected:
         back = track_edges.withColumns(
-            {"src": F.col("dst"), "dst": F.col("src"), "track_edge_id": F.xxhash64("track_edge_id")}
+            {"src": F.col("dst"), "dst": F.col("src"), "track_edge_id": -1 - F.col("track_edge_id")}
         )
         true = track_edges.unionByName(back)
     labelled = M.label_edges(edges, true)

@@ -15,6 +15,7 @@ from ..functions import geometry as G
 from ..operators import truth as T
 from ..operators import truth_edges as W
 from ..operators.joins import E, first_rows
+from ..operators.ranking import pair_index
 from ..session import cut_lineage
 from ..sources.text_dumps import clean_module_lookup
 
@@ -54,4 +55,4 @@ def build_event_graph(truth: DataFrame, particles: DataFrame, config: IngestConf
         hits, particles, edges = process(list(config.processing), hits, particles, edges)
     # A hit on several particles is one node.
     nodes, edges = W.remap_nodes(first_rows(hits, [E, "hit_id"]), edges)
-    return nodes, edges.withColumn("track_edge_id", F.xxhash64("src", "dst"))
+    return nodes, pair_index(cut_lineage(edges), E, "track_edge_id")

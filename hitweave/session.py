@@ -95,4 +95,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of :func:`cut_lineage` that nothing will read again, its successor being written."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from hitweave.operators.joins import first_rows, join_per_key, left_join_spread
-from hitweave.operators.ranking import dense_index, running_sums
+from hitweave.operators.ranking import dense_index, pair_index, running_sums
 
 
 def test_dense_index_over_buckets(spark):
@@ -16,6 +16,19 @@ def test_dense_index_over_buckets(spark):
             assert [got[(e, i)] for i in ids] == list(range(60))
 
 
+def test_dense_index_over_few_hashes(spark):
+    data = [(1, -(2**63)), (1, 2**63 - 1), (1, 0), (2, 5)]
+    df = spark.createDataFrame(data, "event_id long, h long")
+    got = sorted((r.event_id, r.h, r.n) for r in dense_index(df, ["event_id"], "h", "n", width=None).collect())
+    assert got == [(1, -(2**63), 0), (1, 0, 1), (1, 2**63 - 1, 2), (2, 5, 0)]
+
+
+def test_pair_index_is_dense(spark):
+    df = spark.createDataFrame([(e, a, b) for e in (1, 2) for a in range(30) for b in range(20)], "event_id long, src long, dst long")
+    rows = pair_index(df, "event_id", "n").collect()
+    assert sorted(r.n for r in rows if r.event_id == 1) == list(range(600)) and len({(r.src, r.dst) for r in rows}) == 600
+
+
 def test_running_sums(spark):
     data = [(float(x), int(x) % 5) for x in np.random.default_rng(1).permutation(500)]
     df = spark.createDataFrame(data, "x double, v long")
