@@ -21,6 +21,8 @@ from ..session import checkpoint_root
 SHARDS = 24
 BUCKET_BYTES = 8 << 20
 SEED = 20240613
+#: Buckets whose running count one task keeps; the groups of them are summed in one more.
+GROUP = 4096
 #: Columns of these names in the input give way to the operator's own.
 OWN = ["_bucket", "_tie", "_rows", "_from", "_shard", "_slot"]
 
@@ -40,6 +42,17 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
+def _starts(counts: DataFrame) -> DataFrame:
+    """(_bucket, _from): rows in the buckets before each, summed inside groups of buckets and over the groups."""
+    grouped = counts.withColumn("_group", F.floor(F.col("_bucket") / GROUP))
+    upto = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda column, order: F.coalesce(F.sum(column).over(upto(order)), F.lit(0))
+    totals = grouped.groupBy("_group").agg(F.sum("_rows").alias("_total"))
+    ahead = totals.select("_group", earlier("_total", Window.orderBy("_group")).alias("_ahead"))
+    inside = grouped.withColumn("_inside", earlier("_rows", Window.partitionBy("_group").orderBy("_bucket")))
+    return inside.join(ahead, "_group").select("_bucket", (F.col("_ahead") + F.col("_inside")).alias("_from"))
+
+
 def external_shuffle(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -64,8 +77,7 @@ def external_shuffle(
     total, buckets = size["n"], max(1, -(-size["b"] // bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(buckets))
     counts = docs.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_from"))
+    starts = _starts(counts)
     scattered = docs.withColumns({"_bucket": bucket, "_tie": F.xxhash64(*docs.columns)}).join(starts, "_bucket")
     schema = StructType([*docs.schema.fields]).add("_shard", IntegerType()).add("_slot", LongType())
     names = docs.columns
