@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.conditions import all_of
 from ..operators import checks as Q
 from ..operators import evaluation as EV
 from ..operators import truth_edges as W
@@ -13,6 +14,7 @@ from ..operators.joins import E
 from ..operators import truth as T
 from ..plans import graphs as P
 from ..plans import hooks
+from ..plans.evaluation import scoring_report
 from ..plans.ingest import IngestConfig, build_event_graph, build_truth
 from ..session import checkpoint_root
 from ..sources import adapters as A
@@ -279,6 +281,97 @@ def q6_max_difference(spark, sf_dir):
     return EV.max_difference(h, other, [E, "hit_id"], "z").select(rnd("max_difference").alias("max_difference"))
 
 
+# ---- scored graphs: outward, intersected, masked -------------------------------
+INWARD = """(a.r * a.r + a.z * a.z > b.r * b.r + b.z * b.z OR (a.r * a.r + a.z * a.z = b.r * b.r + b.z * b.z AND t.src > t.dst))"""
+TURNED = f"""CASE WHEN {INWARD} THEN t.dst ELSE t.src END AS src, CASE WHEN {INWARD} THEN t.src ELSE t.dst END AS dst"""
+ENDS = """JOIN hit_features a ON a.event_id = t.event_id AND a.hit_id = t.src
+JOIN hit_features b ON b.event_id = t.event_id AND b.hit_id = t.dst"""
+cte("both_ways", """
+SELECT event_id, edge_id, src, dst, score FROM edges UNION ALL SELECT event_id, edge_id + 250000, dst, src, 1 - score FROM edges""",
+    "edges")
+cte("built_pairs", f"""
+SELECT event_id, src, dst, MAX(score) AS score FROM (SELECT t.event_id, t.score, {TURNED} FROM both_ways t {ENDS}) GROUP BY ALL""",
+    "both_ways", "hit_features")
+cte("true_pairs", f"""
+SELECT p.event_id, p.src, p.dst, pt, score FROM (
+  SELECT event_id, src, dst, arg_min(pt, track_edge_id) AS pt FROM (
+    SELECT t.event_id, t.track_edge_id, t.pt, {TURNED} FROM te t {ENDS}) GROUP BY event_id, src, dst) p
+LEFT JOIN built_pairs u ON u.event_id = p.event_id AND u.src = p.src AND u.dst = p.dst""",
+    "te", "hit_features", "built_pairs")
+SCORE_BINS, SCORE_CUTS = [0.5, 1.0, 2.0, 3.0, 4.0, 4.9], [0.3, 0.5, 0.7, 0.9]
+BIN_OF_PT = " + ".join(f"CAST(pt >= {x!r} AS INTEGER)" for x in SCORE_BINS[1:-1])
+
+
+def _scoring(spark, sf_dir):
+    """Edges built in both directions, against truth edges as they are."""
+    edges = A.candidate_edges(spark, sf_dir).select(E, "edge_id", "src", "dst", "score")
+    back = edges.selectExpr("event_id", "edge_id + 250000 as edge_id", "dst as src", "src as dst", "1 - score as score")
+    return scoring_report(
+        hit_features(spark, sf_dir), edges.unionByName(back), plain_track_edges(spark, sf_dir), 0.5,
+        all_of({"pt": [1.0, float("inf")]}), "pt", SCORE_BINS, SCORE_CUTS,
+    )
+
+
+@query(
+    "chain_scoring_summary",
+    with_tables(
+        "built_pairs",
+        "true_pairs",
+        "hits",
+        body="""
+, t AS (SELECT COUNT(*) AS n_target, COUNT(score) AS n_built, COUNT(*) FILTER (score >= 0.5) AS n_found FROM true_pairs
+  WHERE pt BETWEEN 1.0 AND 1e9),
+e AS (SELECT CAST(SUM(n) AS BIGINT) AS n_positive, AVG(n) AS mean_graph_size FROM (
+  SELECT COUNT(*) FILTER (score >= 0.5) AS n FROM (SELECT DISTINCT event_id FROM hits) h LEFT JOIN built_pairs USING (event_id)
+  GROUP BY event_id))
+SELECT n_target, n_built, n_found, n_positive, round(mean_graph_size, 6) + 0.0 AS mean_graph_size,
+  round(CAST(n_found AS DOUBLE) / n_built, 6) + 0.0 AS target_efficiency,
+  round(CAST(n_found AS DOUBLE) / n_positive, 6) + 0.0 AS target_purity,
+  round(CAST(n_found AS DOUBLE) / n_target, 6) + 0.0 AS cumulative_efficiency,
+  round(CAST(n_built AS DOUBLE) / n_target, 6) + 0.0 AS construction_efficiency
+FROM t, e""",
+    ),
+)
+def chain_scoring_summary(spark, sf_dir):
+    """P22, J13, F7 and A24 in a row: a pair built inward is as good as one built outward."""
+    out = _scoring(spark, sf_dir)[0]
+    counts = ["n_target", "n_built", "n_found", "n_positive"]
+    return out.select(*counts, *[rnd(c).alias(c) for c in out.columns if c not in counts])
+
+
+@query(
+    "chain_scoring_construction",
+    with_tables(
+        "true_pairs",
+        body=f"""
+, b AS (SELECT {BIN_OF_PT} AS bin, score FROM true_pairs WHERE pt BETWEEN 1.0 AND 4.9)
+SELECT i.bin, COUNT(b.bin) AS n_total, COUNT(b.score) AS n_passed,
+  round(CASE WHEN COUNT(b.bin) = 0 THEN 0 ELSE CAST(COUNT(b.score) AS DOUBLE) / COUNT(b.bin) END, 6) + 0.0 AS efficiency
+FROM (SELECT unnest(range(5)) AS bin) i LEFT JOIN b ON b.bin = i.bin GROUP BY i.bin""",
+    ),
+)
+def chain_scoring_construction(spark, sf_dir):
+    out = _scoring(spark, sf_dir)[1]
+    return out.select("bin", "n_total", "n_passed", rnd("efficiency").alias("efficiency"))
+
+
+@query(
+    "chain_scoring_by_cut",
+    with_tables(
+        "true_pairs",
+        body=f"""
+, c AS (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS score_cut),
+b AS (SELECT {BIN_OF_PT} AS bin, score FROM true_pairs WHERE score IS NOT NULL AND pt BETWEEN 1.0 AND 4.9)
+SELECT i.bin, score_cut, COUNT(b.bin) AS n_total, COUNT(*) FILTER (score >= score_cut) AS n_passed,
+  round(CASE WHEN COUNT(b.bin) > 0 THEN CAST(COUNT(*) FILTER (score >= score_cut) AS DOUBLE) / COUNT(b.bin) END, 6) + 0.0
+  AS efficiency
+FROM (SELECT unnest(range(5)) AS bin) i CROSS JOIN c LEFT JOIN b ON b.bin = i.bin GROUP BY i.bin, score_cut""",
+    ),
+)
+def chain_scoring_by_cut(spark, sf_dir):
+    return _scoring(spark, sf_dir)[2].withColumn("efficiency", rnd("efficiency"))
+
+
 # ---- S19: incremental ingest ---------------------------------------------------
 @query(
     "s19_incremental_ingest",
