@@ -11,8 +11,10 @@ from ..operators import truth_edges as W
 from ..operators.joins import E
 from ..operators.ranking import dense_index
 from ..session import cut_lineage
+from ..plans.simulation import build_simulation
 from ..sources import adapters as A
 from ..sources import text_dumps
+from ..sources.simulation import SimulationTables
 from .registry import query, rnd
 from .sqltables import cte, with_tables
 
@@ -555,3 +557,84 @@ def p7_a3_particle_kinematics(spark, sf_dir):
     return out.select(
         E, "particle_id", rnd("radius").alias("radius"), rnd("pt").alias("pt"), eta.alias("particle_eta"), "nhits"
     )
+
+
+# ---- the simulation reader as a chain ------------------------------------------
+VOLUMES = {1: {"volume_id": 0}, 2: {"volume_id": [1, 2]}, 3: {"volume_id": 3}}
+REGION_OF_VOLUME = "CAST(CASE WHEN volume_id = 0 THEN 1 WHEN volume_id IN (1, 2) THEN 2 WHEN volume_id = 3 THEN 3 END AS BIGINT)"
+cte("simulated", """
+SELECT event_id, geometry_id, (geometry_id % 2) * 61 + geometry_id % 61 AS particle_id, local0 AS tx, local1 AS ty,
+       local0 + local1 AS tz, local0 * local1 AS tt, measurement_id,
+       ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY measurement_id) - 1 AS hit_id
+FROM measurements""", "measurements")
+cte("measured_hits", """
+SELECT s.event_id, s.measurement_id, s.hit_id, s.particle_id, d.*, {region} AS region,
+       cx + (rot_xu * m.local0 + rot_xv * m.local1) AS x, cy + (rot_yu * m.local0 + rot_yv * m.local1) AS y,
+       cz + (rot_zu * m.local0 + rot_zv * m.local1) AS z, c.cell_count, c.nu * pitch_u AS lx, c.nv * pitch_v AS ly
+FROM simulated s JOIN measurements m USING (event_id, measurement_id) JOIN detector d ON d.geometry_id = s.geometry_id
+JOIN cell_hits c ON c.event_id = s.event_id AND c.hit_id = s.measurement_id""".format(region=REGION_OF_VOLUME),
+    "simulated", "detector", "cell_hits")
+
+
+def simulation_tables(spark, sf_dir, with_cells):
+    measurements = A.measurements(spark, sf_dir)
+    hits = measurements.selectExpr(
+        "event_id", "geometry_id", "(geometry_id % 2) * 61 + geometry_id % 61 as particle_id", "local0 as tx", "local1 as ty",
+        "local0 + local1 as tz", "local0 * local1 as tt", "measurement_id as index",
+    )
+    place = dense_index(measurements.select(E, "measurement_id"), [E], "measurement_id", "hit_id")
+    particles = A.raw_particles(spark, sf_dir).withColumn("particle_id", F.col("subevent") * 61 + F.col("barcode"))
+    cells = A.cells(spark, sf_dir) if with_cells else None
+    return SimulationTables(hits, measurements, place, particles, cells)
+
+
+@query(
+    "chain_simulation_true_hits",
+    with_tables(
+        "simulated",
+        "detector",
+        body=f"""
+SELECT event_id, hit_id, hit_id AS measurement_id, particle_id, tx AS x, ty AS y, tz AS z, tt AS t, volume_id, layer_id, module_id,
+  {REGION_OF_VOLUME} AS region FROM simulated JOIN detector USING (geometry_id)""",
+    ),
+)
+def chain_simulation_true_hits(spark, sf_dir):
+    """P11 and P8 in a row: simulated hits as they are."""
+    hits, _ = build_simulation(simulation_tables(spark, sf_dir, False), A.detector(spark, sf_dir), VOLUMES, True)
+    return hits.select(E, "hit_id", "measurement_id", "particle_id", "x", "y", "z", "t", *D.MODULE_KEY, "region")
+
+
+@query(
+    "chain_simulation_measured",
+    with_tables(
+        "measured_hits",
+        body="""
+SELECT event_id, measurement_id, hit_id, particle_id, region, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z,
+  CAST(cell_count AS DOUBLE) AS cell_count, round(lx, 6) + 0.0 AS lx, round(ly, 6) + 0.0 AS ly FROM measured_hits""",
+    ),
+)
+def chain_simulation_measured(spark, sf_dir):
+    """J8, P10, J9, A4 to A7 and P8 in a row: measurements in space, with their cells."""
+    hits, _ = build_simulation(simulation_tables(spark, sf_dir, True), A.detector(spark, sf_dir), VOLUMES, False)
+    return hits.select(
+        E, "measurement_id", "hit_id", "particle_id", "region", *[rnd(c).alias(c) for c in "xyz"],
+        F.col("cell_count").cast("double"), *[rnd(c).alias(c) for c in ("lx", "ly")],
+    )
+
+
+@query(
+    "chain_simulation_particles",
+    with_tables(
+        "measured_hits",
+        "raw_particles",
+        body="""
+SELECT p.event_id, p.subevent * 61 + p.barcode AS particle_id, round(sqrt(vx * vx + vy * vy), 6) + 0.0 AS radius,
+  round(sqrt(px * px + py * py), 6) + 0.0 AS pt, COALESCE(n.nhits, 0) AS nhits
+FROM raw_particles p LEFT JOIN (SELECT event_id, particle_id, COUNT(*) AS nhits FROM measured_hits GROUP BY ALL) n
+ON n.event_id = p.event_id AND n.particle_id = p.subevent * 61 + p.barcode""",
+    ),
+)
+def chain_simulation_particles(spark, sf_dir):
+    """P7 and A3 at the end of the chain."""
+    _, particles = build_simulation(simulation_tables(spark, sf_dir, True), A.detector(spark, sf_dir), VOLUMES, False)
+    return particles.select(E, "particle_id", rnd("radius").alias("radius"), rnd("pt").alias("pt"), "nhits")

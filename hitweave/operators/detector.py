@@ -98,9 +98,14 @@ def truth_with_hits(truth: DataFrame, hits: DataFrame, modules: DataFrame, base:
     return joined.withColumn("hit_id", F.col("hit_id") - base)
 
 
-def restrict_to_cells(measurements: DataFrame, cells: DataFrame) -> DataFrame:
-    """Measurements that have cells."""
-    with_cells = cells.select(E, F.col("hit_id").alias("measurement_id"))
+def restrict_to_cells(measurements: DataFrame, cells: DataFrame, strict: bool = False) -> DataFrame:
+    """Measurements that have cells; ``strict`` raises if an event has cells of measurements that are not there."""
+    with_cells = cells.select(E, F.col("hit_id").alias("measurement_id")).distinct()
+    if strict:
+        lost = with_cells.join(measurements.select(E, "measurement_id"), [E, "measurement_id"], "left_anti")
+        first = lost.groupBy(E).agg(F.count("*").alias("n")).head(1)
+        if first:
+            raise ValueError(f"event {first[0][E]}: {first[0]['n']} measurements have cells, but are not in the event")
     return measurements.join(with_cells, [E, "measurement_id"], "left_semi")
 
 
