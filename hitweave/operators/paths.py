@@ -8,6 +8,8 @@ being the pairs a source can reach.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,19 @@ def sources_and_sinks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends.where("_hi = 0").select(E, "hit_id"), ends.where("_lo = 1").select(E, "hit_id")
 
 
-def _best_ways(edges: DataFrame, seeds: DataFrame, near: str, far: str, max_edges: int, grow) -> DataFrame:
+def _best_ways(edges: DataFrame, seeds: DataFrame, near: str, far: str, max_edges: int | None, grow) -> DataFrame:
     """(event, hit_id, steps, way): the greatest way of each length between the hit and a seed."""
     front = cut_lineage(seeds.select(E, "hit_id", F.lit(0).alias("steps"), F.array("hit_id").alias("way")))
     whole = front
-    for step in range(1, max_edges + 1):
+    longest = None
+    for step in count(1):
+        if max_edges is not None and step > max_edges:
+            break
+        # On the way round a cycle a hit comes twice; without cycles no way has more edges than the event has hits.
+        if max_edges is None and step % 16 == 0:
+            longest = longest or endpoints(edges).groupBy(E).agg(F.count_distinct("hit_id").alias("n")).agg(F.max("n")).first()[0]
+            if step > longest:
+                raise ValueError("graph has a directed cycle")
         moved = front.join(edges.select(E, F.col(near).alias("hit_id"), F.col(far).alias("_to")), [E, "hit_id"])
         front = cut_lineage(
             moved.select(E, F.col("_to").alias("hit_id"), grow(F.col("way"), F.col("_to")).alias("way"))
@@ -41,13 +51,14 @@ def _best_ways(edges: DataFrame, seeds: DataFrame, near: str, far: str, max_edge
     return whole
 
 
-def long_path_labels(edges: DataFrame, min_nodes: int = MIN_NODES, max_edges: int = MAX_EDGES) -> DataFrame:
+def long_path_labels(edges: DataFrame, min_nodes: int = MIN_NODES, max_edges: int | None = MAX_EDGES) -> DataFrame:
     """(event, hit_id, path) of every hit on an edge; path is null off the long paths.
 
     Paths run from a hit without incoming to one without outgoing edges, have at
     least ``min_nodes`` hits and at most ``max_edges`` edges; the last in id order
-    that holds a hit labels it. The edges must be acyclic. A hit has at most
-    ``max_edges + 1`` rows per direction, each with one way of that length.
+    that holds a hit labels it. ``max_edges=None`` sets no bound; a graph with a directed
+    cycle between a source and its hits then raises. A hit has one row per direction and
+    length, each with one way of that length.
     """
     edges = cut_lineage(edges.select(E, "src", "dst").distinct())
     sources, sinks = sources_and_sinks(edges)
@@ -55,12 +66,12 @@ def long_path_labels(edges: DataFrame, min_nodes: int = MIN_NODES, max_edges: in
     out = _best_ways(edges, sinks, "dst", "src", max_edges, lambda way, hit: F.concat(F.array(hit), way))
     before = into.select(E, "hit_id", F.col("steps").alias("p"), F.col("way").alias("prefix"))
     after = out.select(E, "hit_id", F.col("steps").alias("q"), F.col("way").alias("suffix"))
-    through = before.join(after, [E, "hit_id"]).where(
-        (F.col("p") + F.col("q") + 1 >= min_nodes) & (F.col("p") + F.col("q") <= max_edges)
-    )
+    through = before.join(after, [E, "hit_id"]).where(F.col("p") + F.col("q") + 1 >= min_nodes)
+    if max_edges is not None:
+        through = through.where(F.col("p") + F.col("q") <= max_edges)
     # The suffix repeats the hit itself, which leaves its order among suffixes unchanged.
     best = through.groupBy(E, "hit_id").agg(F.max(F.struct("prefix", "suffix")).alias("_best"))
-    path = F.concat("_best.prefix", F.slice("_best.suffix", 2, max_edges + 1))
+    path = F.concat("_best.prefix", F.slice("_best.suffix", F.lit(2), F.size("_best.suffix")))
     nodes = endpoints(edges).select(E, "hit_id").distinct()
     return nodes.join(best, [E, "hit_id"], "left").select(E, "hit_id", path.alias("path"))
 
@@ -71,6 +82,8 @@ def all_simple_path_tracks(
     low: float,
     high: float,
     keep_components: bool = False,
+    min_nodes: int = MIN_NODES,
+    max_edges: int | None = MAX_EDGES,
 ) -> DataFrame:
     """(event, hit_id, track_id): component labels, overwritten on the residual graph.
 
@@ -79,7 +92,7 @@ def all_simple_path_tracks(
     A path's label is the least hit that carries it, moved past all component labels.
     """
     residual = edges.where((F.col("score") > low) & (F.col("score") < high))
-    paths = cut_lineage(long_path_labels(residual))
+    paths = cut_lineage(long_path_labels(residual, min_nodes, max_edges))
     names = paths.where("path is not null").groupBy(E, "path").agg(F.min("hit_id").alias("_first"))
     shift = component_labels.groupBy(E).agg((F.max("hit_id") + 1).alias("_shift"))
     named = join_per_key(names, shift, [E]).select(E, "path", (F.col("_first") + F.col("_shift")).alias("_path_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_WIDTH = 1 << 16
-SUM_BUCKETS = 256
+ROWS_PER_BUCKET = 1 << 17
 
 
 def dense_index(
@@ -61,12 +61,14 @@ def successive_pairs(df: DataFrame, group: list[str], order: str) -> DataFrame:
     return first.join(second, [*group, "_n"]).drop("_n")
 
 
-def running_sums(df: DataFrame, order: str, sums: dict[str, Column], buckets: int = SUM_BUCKETS) -> DataFrame:
+def running_sums(df: DataFrame, order: str, sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """Inclusive running sums in ascending ``order`` over the whole table.
 
-    Bucket edges come from approximate quantiles; they shape the load only, never
-    the result.
+    Bucket edges come from approximate quantiles, their number from the rows; they shape the
+    load only, never the result.
     """
+    if buckets is None:
+        buckets = max(8, -(-df.count() // ROWS_PER_BUCKET))
     probabilities = [i / buckets for i in range(1, buckets)]
     edges = sorted(set(df.approxQuantile(order, probabilities, 0.5 / buckets)))
     splits = [float("-inf"), *edges, float("inf")]

@@ -197,6 +197,16 @@ def test_long_path_labels(spark, seed):
         assert {h: p for (e, h), p in got.items() if e == event} == want
 
 
+def test_long_paths_without_a_bound(spark, rows):
+    chain = [(1, i, i + 1, 1.0) for i in range(28)]
+    out = PT.long_path_labels(spark.createDataFrame(chain, EDGE), max_edges=None)
+    assert out.where("size(path) = 29").count() == 29
+    assert PT.long_path_labels(spark.createDataFrame(chain, EDGE)).where("path is not null").count() == 0
+    cycle = [(1, 0, 1, 1.0), (1, 1, 2, 1.0), (1, 2, 1, 1.0)]
+    with pytest.raises(ValueError, match="cycle"):
+        PT.long_path_labels(spark.createDataFrame(cycle, EDGE), max_edges=None)
+
+
 def test_shortest_paths(spark):
     data = random_graph(5, nodes=12, edges=18)
     out = PT.shortest_paths(spark.createDataFrame(data, EDGE), -1.0)
