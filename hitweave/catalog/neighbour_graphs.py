@@ -421,6 +421,26 @@ def g10_embedding_graph(spark, sf_dir):
     return edges.select(E, F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"), "y")
 
 
+@query(
+    "g9_m8_g11_module_map_negatives",
+    with_tables(
+        "map_edges",
+        "te",
+        body=_sizes_sql("""
+SELECT m.event_id, t.src IS NOT NULL AS y, CASE WHEN t.src IS NULL THEN 1.0 WHEN COALESCE(pdg_id IN (11, -11), FALSE) THEN -1.0
+  WHEN COALESCE(pt BETWEEN 1 AND 1e9, FALSE) AND COALESCE(nhits BETWEEN 3 AND 1e9, FALSE) THEN 2.0 ELSE 0.0 END AS weight
+FROM map_edges m LEFT JOIN te t ON t.event_id = m.event_id AND t.src = m.src AND t.dst = m.dst"""),
+    ),
+)
+def g9_m8_g11_module_map_negatives(spark, sf_dir):
+    """Module-map graph with its own edge ids, weighted, then sampled; scores from the hit numbers of the ends."""
+    true = cut_lineage(plain_track_edges(spark, sf_dir))
+    built = cut_lineage(MM.build_module_map_graph(hit_features(spark, sf_dir), parsed_map(spark, sf_dir), true))
+    score = F.pmod(F.col("src") + F.col("dst"), F.lit(10)) / 10
+    weighted = WT.weight_edges(built.withColumn("score", score), RULES[:2], M.link_track_edges(true, built))
+    return _sample_sizes(weighted)
+
+
 @query(
     "g10_g11_embedding_negatives",
     with_tables(
