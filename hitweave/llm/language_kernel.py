@@ -30,12 +30,18 @@ SYMBOLS = 62
 BITS = 6
 BATCH = 256
 POINTS = 1 << 16
+#: What characters beyond the basic plane count as; neither is a character of its own.
+FAR_LETTER, FAR_OTHER = POINTS - 2, POINTS - 1
 
 
 def code_points(text: str) -> np.ndarray:
-    """Lower-cased characters; beyond the basic plane they count as one."""
+    """Lower-cased characters of the basic plane; those beyond it are one letter or one other character."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
-    return np.minimum(points, POINTS - 1)
+    far = np.flatnonzero(points >= FAR_LETTER)
+    if len(far):
+        points = points.copy()
+        points[far] = [FAR_LETTER if chr(p).isalpha() else FAR_OTHER for p in points[far].tolist()]
+    return points
 
 
 def symbol_table(texts: list[str]) -> np.ndarray:
@@ -43,7 +49,7 @@ def symbol_table(texts: list[str]) -> np.ndarray:
     counts = np.zeros(POINTS, dtype=np.int64)
     for text in texts:
         counts += np.bincount(code_points(text), minlength=POINTS)
-    letters = np.array([chr(p).isalpha() for p in range(POINTS)])
+    letters = np.array([chr(p).isalpha() or p == FAR_LETTER for p in range(POINTS)])
     frequent = np.argsort(-(counts * letters), kind="stable")[:SYMBOLS]
     table = letters.astype(np.uint8)
     frequent = frequent[counts[frequent] * letters[frequent] > 0]

@@ -47,12 +47,13 @@ def test_odd_rows(spark):
     rows = [(i, "the cat and the dog of them all", "en") for i in range(20)]
     rows += [(20 + i, "der Hund und die Katze von allen", "de") for i in range(20)]
     rows += [(50, None, "en"), (51, "", None), (52, "123 !? ...", "de"), (None, "und der Hund", None), (7, "the dog", "en"), (7, "the dog", "en")]
-    rows += [(53, "the dog and the cat " * 20_000, None)]
+    rows += [(53, "the dog and the cat " * 20_000, None), (54, "\U0001f600 \U0001f601 12", None), (55, "\U00020000\U00020001", None)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, _lang string")
     got = [(r.doc_id, r._lang, r._lang_score) for r in K.identify(docs).collect()]
     assert len(got) == len(rows)
     by = {i: (x, s) for i, x, s in got}
-    assert by[50] == by[51] == by[52] == ("und", 0.0)
+    assert by[50] == by[51] == by[52] == by[54] == ("und", 0.0)
+    assert by[55][0] in ("en", "de")
     assert by[None][0] == "de" and by[7][0] == by[53][0] == "en"
     unknown = K.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r._lang for r in unknown} == {"und"}
