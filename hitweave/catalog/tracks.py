@@ -486,6 +486,28 @@ def a19_efficiency_with_interval(spark, sf_dir):
     return EV.add_interval(binned)
 
 
+@query(
+    "a19_interval_tails",
+    with_tables(
+        "reco_particles",
+        body=_binned_sql("reco_particles", "pt", PT_BINS, "is_reconstructed").replace("\nSELECT i.bin", ",\nx AS (SELECT i.bin")
+        + """)
+SELECT bin, n_total, n_passed, CASE WHEN n_passed > 0 THEN 0.16 ELSE 0.0 END::DOUBLE AS lower_tail,
+  CASE WHEN n_passed < n_total THEN 0.16 ELSE 0.0 END::DOUBLE AS upper_tail FROM x""",
+    ),
+)
+def a19_interval_tails(spark, sf_dir):
+    """At either end of the interval the counts seen, or more extreme ones, have a chance of 0.16; no tail where the end is 0 or 1."""
+    binned = EV.add_interval(EV.binned_efficiency(reco_particles(spark, sf_dir), "pt", PT_BINS, F.col("is_reconstructed")))
+    tails = {}
+    for name, bound, upper, open_end in (
+        ("lower_tail", F.col("efficiency") - F.col("err_low"), True, F.col("n_passed") > 0),
+        ("upper_tail", F.col("efficiency") + F.col("err_high"), False, F.col("n_passed") < F.col("n_total")),
+    ):
+        tails[name] = F.when(open_end, rnd(EV.binomial_tail("n_passed", "n_total", bound, upper), 4)).otherwise(0.0)
+    return binned.select("bin", "n_total", "n_passed", *[column.alias(name) for name, column in tails.items()])
+
+
 INNER = """CASE WHEN a.r * a.r + a.z * a.z > b.r * b.r + b.z * b.z THEN b.{c} ELSE a.{c} END / 1000 AS {c}"""
 cte("te_rz", f"""
 SELECT t.*, {INNER.format(c='r')}, {INNER.format(c='z')} FROM te t

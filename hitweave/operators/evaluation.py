@@ -93,6 +93,20 @@ def add_interval(binned: DataFrame, level: float = 0.68) -> DataFrame:
     return out.select(*binned.columns, "_err.err_low", "_err.err_high")
 
 
+def binomial_tail(passed, total, p, upper: bool) -> Column:
+    """P(X >= passed) or P(X <= passed) of total draws with chance ``p`` strictly between 0 and 1, term by term."""
+    k, n = F.col(passed).cast("double"), F.col(total).cast("double")
+    start = F.struct((n * F.log1p(-p)).alias("log_term"), F.lit(0.0).alias("sum"))
+
+    def add(seen: Column, i: Column) -> Column:
+        inside = (i >= k) if upper else (i <= k)
+        term = seen["log_term"] + F.log(F.greatest(n - i, F.lit(0.5)) / (i + 1)) + F.log(p) - F.log1p(-p)
+        return F.struct(term.alias("log_term"), (seen["sum"] + F.when(inside, F.exp(seen["log_term"])).otherwise(0.0)).alias("sum"))
+
+    steps = F.transform(F.sequence(F.lit(0), F.col(total).cast("int")), lambda i: i.cast("double"))
+    return F.aggregate(steps, start, add, lambda seen: seen["sum"])
+
+
 def binned_ratio_2d(
     df: DataFrame, numerator: Column, denominator: Column, z: tuple = (-3.0, 3.0, 383), r: tuple = (0.0, 1.0, 63)
 ) -> DataFrame:
