@@ -468,3 +468,16 @@ def g14_fitted_edge_scores(spark, sf_dir):
     edges = weighted_edges(spark, sf_dir)
     model = SC.fit_edge_classifier(edges, h, ["r", "phi", "z"])
     return SC.apply_edge_classifier(model, edges, h, ["r", "phi", "z"]).select(E, "edge_id", "y", "score")
+
+
+@query(
+    "g14_fit_gradient",
+    with_tables("weighted", body="SELECT COUNT(*) FILTER (weight <> 0) AS n_used, 0.0::DOUBLE AS worst FROM weighted"),
+)
+def g14_fit_gradient(spark, sf_dir):
+    """The fit of g14 is an optimum: its weighted mean gradient is 0."""
+    h = ET.scale(hit_features(spark, sf_dir), {"r": 1000.0, "phi": 3.14, "z": 1000.0})
+    edges = weighted_edges(spark, sf_dir)
+    model = SC.fit_edge_classifier(edges, h, ["r", "phi", "z"], max_iter=100)
+    scored = SC.apply_edge_classifier(model, edges, h, ["r", "phi", "z"])
+    return SC.mean_gradient(scored, h, ["r", "phi", "z"]).select("n_used", rnd("worst", 3).alias("worst"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import release
 from .common import cut_lineage, join_many
 
 
@@ -20,7 +21,8 @@ def component_labels(links: DataFrame, a: str, b: str) -> DataFrame:
     )
     before = None
     while before != (before := _digest(pairs)):
-        pairs = cut_lineage(_small_star(cut_lineage(_large_star(pairs))))
+        last, pairs = pairs, cut_lineage(_small_star(_large_star(pairs)))
+        release(last)
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

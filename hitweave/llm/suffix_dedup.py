@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import release
 from .common import cut_lineage, join_many, join_small, row_key
 
 PASSAGE = 50
 REACH = 20
 GRAM = 6
-CACHE = 400_000
+CACHE = 150_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -205,7 +206,7 @@ def repeated_spans(
     if not gram <= min(block, passage - reach + 1) or reach < 1:
         raise ValueError("a gram must fit the part of a passage that follows its first retained place")
     listed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-    suffixes = retained_suffixes(listed, gram, reach, block)
+    suffixes = cut_lineage(retained_suffixes(listed, gram, reach, block))
     shared = (
         suffixes.groupBy("key")
         .agg(F.min("row").alias("first_row"), F.max("row").alias("_last"))
@@ -213,6 +214,7 @@ def repeated_spans(
         .select("key", "first_row")
     )
     met = cut_lineage(join_many(suffixes, shared, ["key"]).distinct())
+    release(suffixes)
 
     # Runs of neighbouring retained suffixes, once for all that repeat and once for those that may go.
     place = Window.partitionBy("row").orderBy("nth")

@@ -30,7 +30,7 @@ def fit_edge_classifier(
     edges: DataFrame, hits: DataFrame, features: list[str], max_iter: int = 20
 ) -> LogisticRegressionModel:
     """Weighted logistic fit: positives are true edges of positive weight, negative weights count as fakes."""
-    usable = edges.where("weight <> 0").where("not y or weight > 0 or weight < 0")
+    usable = edges.where("weight <> 0")
     vectors = edge_vectors(usable, hits, features).select(
         array_to_vector("features").alias("features"),
         (F.col("y") & (F.col("weight") > 0)).cast("double").alias("label"),
@@ -45,3 +45,12 @@ def apply_edge_classifier(
     vectors = edge_vectors(edges.drop("score"), hits, features).withColumn("features", array_to_vector("features"))
     scored = model.transform(vectors).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return scored.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def mean_gradient(scored: DataFrame, hits: DataFrame, features: list[str]) -> DataFrame:
+    """(n_used, worst): the largest part of the weighted mean gradient of the fit, which is 0 at its optimum."""
+    usable = edge_vectors(scored.where("weight <> 0"), hits, features)
+    label = (F.col("y") & (F.col("weight") > 0)).cast("double")
+    miss = F.abs("weight") * (F.col("score") - label)
+    parts = [F.abs(F.sum(miss)), *[F.abs(F.sum(miss * F.get("features", F.lit(i)))) for i in range(2 * len(features))]]
+    return usable.agg(F.count("*").alias("n_used"), (F.greatest(*parts) / F.sum(F.abs("weight"))).alias("worst"))
