@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.binomial import interval_udf
@@ -116,6 +117,25 @@ def g5_walk_coverage(spark, sf_dir):
     return on_track.unionByName(short).groupBy(E).agg(F.count("*").alias("n_hits"))
 
 
+@query(
+    "g4_roads_are_joined",
+    with_tables("hits", body="SELECT DISTINCT event_id, 0::BIGINT AS n_double, 0::BIGINT AS n_broken FROM hits"),
+)
+def g4_roads_are_joined(spark, sf_dir):
+    """No hit is on two tracks, and hits that follow each other outward on a walked track share an edge above the lower cut."""
+    h, e = hit_features(spark, sf_dir), A.candidate_edges(spark, sf_dir)
+    found = cut_lineage(P.cc_and_walk(h, e, 0.3, 0.35, 0.7))
+    double = found.groupBy(E, "hit_id").count().groupBy(E).agg(F.count_if(F.col("count") > 1).alias("n_double"))
+    distance = (F.col("r") * F.col("r") + F.col("z") * F.col("z")).alias("d")
+    walked = found.where("reco_method = 'walk'").join(h.select(E, "hit_id", distance), [E, "hit_id"])
+    along = Window.partitionBy(E, "track_id").orderBy("d", "hit_id")  # one road
+    steps = walked.select(E, F.col("hit_id").alias("src"), F.lead("hit_id").over(along).alias("dst")).where("dst is not null")
+    joined = P.outward_graph(h, e, 0.35).select(E, "src", "dst")
+    broken = steps.join(joined, [E, "src", "dst"], "left_anti").groupBy(E).agg(F.count("*").alias("n_broken"))
+    events = h.select(E).distinct().join(double, E, "left").join(broken, E, "left")
+    return events.select(E, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_double", "n_broken")])
+
+
 @query("g5_cc_and_walk_true_graph")
 def g5_cc_and_walk_true_graph(spark, sf_dir):
     """The same on the true graph: truth as score, cut 0."""
