@@ -27,8 +27,10 @@ def component_labels(edges: DataFrame) -> DataFrame:
     pairs = cut_lineage(pairs.distinct())
     before = None
     while before != (before := _digest(pairs)):
-        last, pairs = pairs, cut_lineage(_small_star(_large_star(pairs)))
-        release(last)
+        large = cut_lineage(_large_star(pairs))
+        release(pairs)
+        pairs = cut_lineage(_small_star(large))
+        release(large)
     roots = pairs.select(E, F.col("u").alias("hit_id"), F.col("v").alias("component"))
     return roots.unionByName(
         roots.select(E, F.col("component").alias("hit_id"), "component").distinct()
