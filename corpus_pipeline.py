@@ -37,8 +37,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that another document has first are taken out of the text."""
     docs = docs.select(*COLUMNS)
-    _, removable = suffix_dedup.repeated_spans(docs)
-    left = suffix_dedup.without_repeats(docs, removable)
+    left = suffix_dedup.without_repeats(docs, suffix_dedup.find_repeats(docs).removable())
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

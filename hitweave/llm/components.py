@@ -21,8 +21,10 @@ def component_labels(links: DataFrame, a: str, b: str) -> DataFrame:
     )
     before = None
     while before != (before := _digest(pairs)):
-        last, pairs = pairs, cut_lineage(_small_star(_large_star(pairs)))
-        release(last)
+        large = cut_lineage(_large_star(pairs))
+        release(pairs)
+        pairs = cut_lineage(_small_star(large))
+        release(large)
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

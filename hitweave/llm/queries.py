@@ -208,5 +208,4 @@ ORACLES["op2_merkle_fixity_audit"] = _merkle_sql()
 @query
 def op5_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans, _ = suffix_dedup.repeated_spans(docs)
-    return suffix_dedup.span_report(docs, spans)
+    return suffix_dedup.span_report(docs, suffix_dedup.find_repeats(docs).spans())

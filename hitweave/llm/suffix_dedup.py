@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -60,20 +61,38 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Powers:
+    """Powers of the hash's factor and of its inverse, grown as texts need them."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) <= n:
+            size = 1 << n.bit_length()
+            self.up, self.down = (
+                np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, factor)))) for factor in (FACTOR, INVERSE)
+            )
+
+
 class Hashed:
     """A text's word hashes, and hashes of its runs of words from prefix sums."""
 
-    def __init__(self, text: str | None, cache: WordHashes):
+    def __init__(self, text: str | None, cache: WordHashes, powers: Powers):
         tokens = word_list(text)
         self.n = len(tokens)
         self.words = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=self.n)
+        self.powers = powers
+        self.sums: dict[int, np.ndarray] = {}
 
     def runs(self, at: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
         """Hash of the ``size`` words from each place."""
-        powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(self.n, FACTOR))))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(self.words + np.uint64(salt)) * powers[:-1])))
-        back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(self.n, INVERSE))))
-        return _mixed((sums[at + size] - sums[at]) * back[at] + np.uint64(size))
+        self.powers.reach(self.n)
+        if salt not in self.sums:
+            terms = _mixed(self.words + np.uint64(salt)) * self.powers.up[: self.n]
+            self.sums[salt] = np.concatenate(([np.uint64(0)], np.cumsum(terms)))
+        sums = self.sums[salt]
+        return _mixed((sums[at + size] - sums[at]) * self.powers.down[at] + np.uint64(size))
 
     def retained(self, gram: int, reach: int, block: int) -> np.ndarray:
         """Minimiser places that a whole block of words follows."""
@@ -99,11 +118,11 @@ def retained_suffixes(docs: DataFrame, gram: int, reach: int, block: int) -> Dat
     """(key, row, pos, nth) of the retained suffixes of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, powers = WordHashes(), Powers()
         for batch in batches:
             rows, parts = batch.column("row").to_numpy(), []
             for row, text in zip(rows, batch.column("text")):
-                hashed = Hashed(text.as_py(), cache)
+                hashed = Hashed(text.as_py(), cache, powers)
                 places = hashed.retained(gram, reach, block)
                 if len(places):
                     keys = hashed.runs(places, block).view(np.int64)
@@ -120,11 +139,11 @@ def _contexts(docs: DataFrame, places: DataFrame, reach: int, block: int) -> Dat
     """(row, pos, check, left, right): 4 bytes for each word beside the blocks at ``places`` (row, pos list), nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, powers = WordHashes(), Powers()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for row, text, at in zip(batch.column("row"), batch.column("text"), batch.column("at")):
-                hashed = Hashed(text.as_py(), cache)
+                hashed = Hashed(text.as_py(), cache, powers)
                 short = (hashed.words >> np.uint64(32)).astype(">u4")
                 place = np.array(at.as_py(), dtype=np.int64)
                 out[0] += [row.as_py()] * len(place)
@@ -186,24 +205,80 @@ def extensions(contexts: DataFrame) -> DataFrame:
     return every.groupBy(*order).agg(F.max("shared").alias("words"))
 
 
-def repeated_spans(
+@dataclass(frozen=True)
+class Repeats:
+    """Suffixes that another document shares, and the words beside the open ends of their runs.
+
+    ``places`` (row, pos, nth, first_row, key, opens, closes, own) and ``contexts`` (row, pos, key,
+    check, side, context) are written tables. Rows are named by :func:`row_key`.
+    """
+
+    places: DataFrame
+    contexts: DataFrame
+    passage: int
+    block: int
+
+    def _ends(self, words: DataFrame) -> DataFrame:
+        """Places with the words by which an open end grows: ``before`` and ``after``."""
+        grown = lambda side: F.max(F.when(F.col("side") == side, F.col("words")))
+        ends = cut_lineage(words.groupBy("row", "pos").agg(grown(0).alias("grown_0"), grown(1).alias("grown_1")))
+        marked = join_many(self.places, ends, ["row", "pos"], "left")
+        more = lambda flag, c: F.when(F.col(flag), F.coalesce(c, F.lit(0))).otherwise(0)
+        return marked.select("*", more("opens", "grown_0").alias("before"), more("closes", "grown_1").alias("after"))
+
+    def spans(self) -> DataFrame:
+        """(row, begin, end, first_row): word ranges of at least ``passage`` words that repeat in another document.
+
+        ``first_row`` is the least row that has the first of their blocks.
+        """
+        order = ["side", "key", "check", "context"]
+        marked = self._ends(join_many(self.contexts, extensions(self.contexts), order))
+        begin, end = F.col("pos") - F.col("before"), F.col("pos") + self.block + F.col("after")
+        by = F.struct("pos", "first_row").alias("by")
+        return self._long(marked.select("row", begin.alias("begin"), end.alias("end"), by))
+
+    def removable(self) -> DataFrame:
+        """(row, begin, end): what may go if each repeated block stays where its least row has it.
+
+        Matches grow only as far as that row agrees, and a block that stays is not cut into,
+        so nothing is lost.
+        """
+        firsts = self.places.where("own").groupBy("key").agg(F.min(F.struct("row", "pos")).alias("f"))
+        firsts = firsts.select("key", "f.row", "f.pos")
+        model = self.contexts.join(firsts, ["key", "row", "pos"]).select("key", "side", "check", F.col("context").alias("model"))
+        agreed = join_many(self.contexts, model, ["key", "side", "check"], "left")
+        marked = self._ends(agreed.select("row", "pos", "side", _agreement(F.col("context"), F.col("model")).alias("words")))
+        ahead = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+        behind = Window.partitionBy("row").orderBy(F.desc("nth")).rowsBetween(Window.unboundedPreceding, -1)
+        kept = lambda value: F.when(F.col("own"), value)
+        bounded = marked.select(
+            "*",
+            F.max(kept(F.col("pos") + self.block)).over(ahead).alias("kept_until"),
+            F.min(kept(F.col("pos"))).over(behind).alias("kept_from"),
+        )
+        loose = bounded.where("not own").select(
+            "row",
+            F.greatest(F.col("pos") - F.col("before"), "kept_until").alias("begin"),
+            F.least(F.col("pos") + self.block + F.col("after"), "kept_from").alias("end"),
+            F.struct("pos", "first_row").alias("by"),
+        )
+        return self._long(loose.where("begin < end")).select("row", "begin", "end")
+
+    def _long(self, spans: DataFrame) -> DataFrame:
+        return _merged(spans).where(F.col("end") - F.col("begin") >= self.passage)
+
+
+def find_repeats(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     passage: int = PASSAGE,
     reach: int = REACH,
     gram: int = GRAM,
-) -> tuple[DataFrame, DataFrame]:
-    """(spans, removable).
-
-    ``spans`` (row, begin, end, first_row): word ranges of at least ``passage`` words that repeat in
-    another document; ``first_row`` has the first of them first of all. ``removable`` (row, begin, end): what may go if each
-    repeated block stays where its least row has it; matches are extended only as far as
-    that row agrees, so nothing is lost. Rows are named by :func:`row_key`. Null and empty
-    texts and texts shorter than ``passage`` have no spans; equal rows count once.
-    """
+) -> Repeats:
+    """The repeated suffixes of ``docs``. Null and empty texts and texts shorter than ``passage`` have none; equal rows count once."""
     block = passage - reach + 1
-    if not gram <= min(block, passage - reach + 1) or reach < 1:
+    if reach < 1 or gram > block:
         raise ValueError("a gram must fit the part of a passage that follows its first retained place")
     listed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
     suffixes = cut_lineage(retained_suffixes(listed, gram, reach, block))
@@ -215,61 +290,26 @@ def repeated_spans(
     )
     met = cut_lineage(join_many(suffixes, shared, ["key"]).distinct())
     release(suffixes)
-
-    # Runs of neighbouring retained suffixes, once for all that repeat and once for those that may go.
+    # Runs of neighbouring retained suffixes: their ends are open.
     place = Window.partitionBy("row").orderBy("nth")
-    own = F.col("row") == F.col("first_row")
-    before, after = F.lag("nth").over(place), F.lead("nth").over(place)
-    flagged = met.select(
-        "*",
-        (F.coalesce(before, F.lit(-9)) != F.col("nth") - 1).alias("opens"),
-        (F.coalesce(after, F.lit(-9)) != F.col("nth") + 1).alias("closes"),
-        own.alias("own"),
-        F.max(F.when(own, F.col("pos") + block)).over(place.rowsBetween(Window.unboundedPreceding, -1)).alias("kept_until"),
-        F.min(F.when(own, F.col("pos"))).over(place.rowsBetween(1, Window.unboundedFollowing)).alias("kept_from"),
+    flagged = cut_lineage(
+        met.select(
+            "*",
+            (F.coalesce(F.lag("nth").over(place), F.lit(-9)) != F.col("nth") - 1).alias("opens"),
+            (F.coalesce(F.lead("nth").over(place), F.lit(-9)) != F.col("nth") + 1).alias("closes"),
+            (F.col("row") == F.col("first_row")).alias("own"),
+        )
     )
-    flagged = cut_lineage(flagged)
+    release(met)
     open_keys = cut_lineage(flagged.where("opens or closes").select("key").distinct())
-    wanted = join_small(met.select("key", "row", "pos"), open_keys, ["key"], "left_semi")
+    wanted = join_small(flagged.select("key", "row", "pos"), open_keys, ["key"], "left_semi")
     at = cut_lineage(wanted.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("at")))
-    beside = cut_lineage(
-        _contexts(listed, at, reach, block).distinct().join(wanted.select("row", "pos", "key"), ["row", "pos"])
-    )
-    sides = lambda t: t.select(
-        "row", "pos", "key", "check",
-        F.inline(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("left").alias("context")),
-            F.struct(F.lit(1).alias("side"), F.col("right").alias("context")),
-        )),
-    )
-    two = sides(beside)
-    reached = join_many(two, extensions(two), ["side", "key", "check", "context"])
-    # How far each place agrees with the first row's first place of that key.
-    firsts = flagged.where("own").groupBy("key").agg(F.min(F.struct("row", "pos")).alias("f")).select("key", "f.row", "f.pos")
-    model = two.join(firsts, ["key", "row", "pos"]).select("key", "side", "check", F.col("context").alias("model"))
-    agreed = join_many(reached, model, ["key", "side", "check"], "left")
-    ends = cut_lineage(
-        agreed.select("row", "pos", "side", "words", _agreement(F.col("context"), F.col("model")).alias("kept_words"))
-        .groupBy("row", "pos")
-        .agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in (0, 1) for c in ("words", "kept_words")])
-    )
-    marked = join_many(flagged, ends, ["row", "pos"], "left")
-    grown = lambda c: F.coalesce(F.col(c), F.lit(0))
-    begin = F.when(F.col("opens"), F.col("pos") - grown("words_0")).otherwise(F.col("pos"))
-    end = F.col("pos") + block + F.when(F.col("closes"), grown("words_1")).otherwise(0)
-    spans = _merged(marked.select("row", begin.alias("begin"), end.alias("end"), F.struct("pos", "first_row").alias("by")))
-    spans = spans.where(F.col("end") - F.col("begin") >= passage)
-    # A block that stays is not cut into, whatever is beside it.
-    low = F.col("pos") - F.when(F.col("opens"), grown("kept_words_0")).otherwise(0)
-    high = F.col("pos") + block + F.when(F.col("closes"), grown("kept_words_1")).otherwise(0)
-    loose = marked.where("not own").select(
-        "row",
-        F.greatest(low, F.col("kept_until")).alias("begin"),
-        F.least(high, F.col("kept_from")).alias("end"),
-        F.struct("pos", "first_row").alias("by"),
+    beside = _contexts(listed, at, reach, block).distinct().join(wanted, ["row", "pos"])
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("left").alias("context")),
+        F.struct(F.lit(1).alias("side"), F.col("right").alias("context")),
     )
-    removable = _merged(loose.where("begin < end")).where(F.col("end") - F.col("begin") >= passage)
-    return spans, removable.select("row", "begin", "end")
+    return Repeats(flagged, cut_lineage(beside.select("row", "pos", "key", "check", F.inline(sides))), passage, block)
 
 
 def _agreement(a: Column, b: Column) -> Column:

@@ -35,8 +35,8 @@ def planted():
 def spans_of(spark, texts, **more):
     rows = [(i, " ".join(t)) for i, t in texts.items()] + [(900, None), (901, ""), (None, "short text"), (3, " ".join(texts[3]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    spans, removable = S.repeated_spans(docs, **more)
-    return docs, spans, removable
+    found = S.find_repeats(docs, **more)
+    return docs, found.spans(), found.removable()
 
 
 def windows(texts, size):
@@ -90,21 +90,21 @@ def test_one_copy_of_every_block_stays(spark, planted):
 
 def test_small_and_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    spans, removable = S.repeated_spans(docs)
-    assert spans.count() == 0 and removable.count() == 0
+    found = S.find_repeats(docs)
+    assert found.spans().count() == 0 and found.removable().count() == 0
     same = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (None, None)], "doc_id long, text string")
-    spans, removable = S.repeated_spans(same)
-    assert spans.count() == 0
-    assert S.without_repeats(same, removable).count() == 3
+    found = S.find_repeats(same)
+    assert found.spans().count() == 0
+    assert S.without_repeats(same, found.removable()).count() == 3
 
 
 def test_equal_rows_are_one_document(spark):
     rng = random.Random(1)
     text = " ".join(words(rng, 120))
     docs = spark.createDataFrame([(5, text)] * 3, "doc_id long, text string")
-    assert S.repeated_spans(docs)[0].count() == 0
+    assert S.find_repeats(docs).spans().count() == 0
     two = spark.createDataFrame([(5, text), (5, text), (6, text.upper()), (None, text)], "doc_id long, text string")
-    report = S.span_report(two, S.repeated_spans(two)[0]).collect()
+    report = S.span_report(two, S.find_repeats(two).spans()).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["begin"], r["end"]) for r in report) == [
         (False, 5, 0, 120),
         (False, 6, 0, 120),
