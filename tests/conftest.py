@@ -14,7 +14,7 @@ from hitweave.session import get_session  # noqa: E402
 def spark():
     session = get_session(
         "tests",
-        "local[4]",
+        "local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",

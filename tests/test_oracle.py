@@ -1,6 +1,7 @@
 """Every registered query against its oracle SQL on the smallest tables."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -12,14 +13,24 @@ NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
-def duck():
-    return connect(SF_DIR)
+def outcomes(spark):
+    """All comparisons, several at a time: most of a small query is waiting for small jobs."""
+    duck = connect(SF_DIR)
+
+    def outcome(name):
+        try:
+            return compare(spark, duck.cursor(), name, QUERIES[name], ORACLES.get(name), SF_DIR)
+        except Exception as error:  # noqa: BLE001
+            return False, f"{type(error).__name__}: {str(error)[:900]}"
+
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(NAMES, pool.map(outcome, NAMES)))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not present")
 @pytest.mark.parametrize("name", NAMES)
-def test_query(spark, duck, name):
-    ok, note = compare(spark, duck, name, QUERIES[name], ORACLES.get(name), SF_DIR)
+def test_query(outcomes, name):
+    ok, note = outcomes[name]
     assert ok, note
 
 
