@@ -35,9 +35,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that another document has first are taken out of the text."""
-    docs = docs.select(*COLUMNS)
-    left = suffix_dedup.without_repeats(docs, suffix_dedup.find_repeats(docs).removable())
+    """Passages of 50 words and more that another document has are taken out of the text."""
+    left = suffix_dedup.one_of_each_passage(docs.select(*COLUMNS))
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

@@ -12,7 +12,8 @@ match extends left and right (always fewer than ``reach`` words).
 
 Every passage of at least ``passage`` words that occurs in two documents is covered by the
 spans reported; a span joins overlapping repeats of at least ``block`` words, and is
-reported if it has at least ``passage``.
+reported if it has at least ``passage``. What may be removed is decided on whole windows of
+``passage`` words, which are hashed where the suffix at their minimiser is shared.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import release
@@ -94,16 +95,21 @@ class Hashed:
         sums = self.sums[salt]
         return _mixed((sums[at + size] - sums[at]) * self.powers.down[at] + np.uint64(size))
 
+    def minima(self, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``gram`` words, and the least of the ``reach`` from each place."""
+        hashes = self.runs(np.arange(self.n - gram + 1), gram)
+        least, width = hashes, 1
+        while width < reach:  # least of ever wider windows
+            step = min(width, reach - width)
+            least, width = np.minimum(least[:-step], least[step:]), width + step
+        return hashes, least
+
     def retained(self, gram: int, reach: int, block: int) -> np.ndarray:
         """Minimiser places that a whole block of words follows."""
         count = self.n - gram + 1
         if count < reach or self.n < block:
             return np.array([], dtype=np.int64)
-        hashes = self.runs(np.arange(count), gram)
-        least, width = hashes, 1
-        while width < reach:  # least of ever wider windows
-            step = min(width, reach - width)
-            least, width = np.minimum(least[:-step], least[step:]), width + step
+        hashes, least = self.minima(gram, reach)
         # A place is kept if it is the least of a window that holds it: the greatest least there is its own.
         padded = np.concatenate((np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)))
         most, width = padded, 1
@@ -205,26 +211,87 @@ def extensions(contexts: DataFrame) -> DataFrame:
     return every.groupBy(*order).agg(F.max("shared").alias("words"))
 
 
+def _windows(docs: DataFrame, places: DataFrame, passage: int, reach: int, gram: int) -> DataFrame:
+    """(row, pos, key, check) of the ``passage`` words from each pos whose minimiser is in ``places`` (row, pos list)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, powers = WordHashes(), Powers()
+        for batch in batches:
+            for row, text, at in zip(batch.column("row"), batch.column("text"), batch.column("at")):
+                hashed = Hashed(text.as_py(), cache, powers)
+                hashes, least = hashed.minima(gram, reach)
+                place = at.values.to_numpy()
+                starts = place[:, None] - np.arange(reach)
+                inside = (starts >= 0) & (starts + passage <= hashed.n)
+                kept = inside & (least[np.where(inside, starts, 0)] == hashes[place][:, None])
+                starts = np.unique(starts[kept])
+                if len(starts):
+                    names = [pa.array(hashed.runs(starts, passage, salt=salt).view(np.int64)) for salt in (0, 1)]
+                    columns = [pa.array(np.full(len(starts), row.as_py())), pa.array(starts.astype(np.int32)), *names]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "pos", "key", "check"])
+
+    met = join_small(docs, places, ["row"], "inner")
+    return met.select("row", "text", "at").mapInArrow(run, "row bigint, pos int, key bigint, check bigint")
+
+
+def _covered(starts: DataFrame, passage: int) -> DataFrame:
+    """(row, begin, end): the windows from ``starts`` (row, sorted pos list), joined where they overlap or touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for row, at in zip(batch.column("row"), batch.column("at")):
+                at = at.values.to_numpy()
+                gaps = np.flatnonzero(np.diff(at) > passage)
+                begins, ends = at[np.concatenate(([0], gaps + 1))], at[np.concatenate((gaps, [len(at) - 1]))] + passage
+                out[0] += [row.as_py()] * len(begins)
+                out[1] += begins.tolist()
+                out[2] += ends.tolist()
+            kinds = [pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row", "begin", "end"])
+
+    return starts.select("row", "at").mapInArrow(run, "row bigint, begin int, end int")
+
+
 @dataclass(frozen=True)
 class Repeats:
-    """Suffixes that another document shares, and the words beside the open ends of their runs.
+    """Suffixes that another document shares.
 
-    ``places`` (row, pos, nth, first_row, key, opens, closes, own) and ``contexts`` (row, pos, key,
-    check, side, context) are written tables. Rows are named by :func:`row_key`.
+    ``places`` (row, pos, nth, first_row, key) is a written table, ``docs`` (row, text) the
+    documents. Rows are named by :func:`row_key`.
     """
 
     places: DataFrame
-    contexts: DataFrame
+    docs: DataFrame
     passage: int
+    reach: int
+    gram: int
     block: int
 
-    def _ends(self, words: DataFrame) -> DataFrame:
-        """Places with the words by which an open end grows: ``before`` and ``after``."""
-        grown = lambda side: F.max(F.when(F.col("side") == side, F.col("words")))
-        ends = cut_lineage(words.groupBy("row", "pos").agg(grown(0).alias("grown_0"), grown(1).alias("grown_1")))
-        marked = join_many(self.places, ends, ["row", "pos"], "left")
-        more = lambda flag, c: F.when(F.col(flag), F.coalesce(c, F.lit(0))).otherwise(0)
-        return marked.select("*", more("opens", "grown_0").alias("before"), more("closes", "grown_1").alias("after"))
+    def _at(self, places: DataFrame) -> DataFrame:
+        return cut_lineage(places.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("at")))
+
+    def _flagged(self) -> DataFrame:
+        """Places with whether they open or close a run of neighbouring retained suffixes."""
+        place = Window.partitionBy("row").orderBy("nth")
+        return cut_lineage(
+            self.places.select(
+                "*",
+                (F.coalesce(F.lag("nth").over(place), F.lit(-9)) != F.col("nth") - 1).alias("opens"),
+                (F.coalesce(F.lead("nth").over(place), F.lit(-9)) != F.col("nth") + 1).alias("closes"),
+            )
+        )
+
+    def _beside(self, flagged: DataFrame) -> DataFrame:
+        """(row, pos, key, check, side, context): the words beside the open ends, and beside all suffixes of their keys."""
+        open_keys = cut_lineage(flagged.where("opens or closes").select("key").distinct())
+        wanted = join_small(flagged.select("key", "row", "pos"), open_keys, ["key"], "left_semi")
+        beside = _contexts(self.docs, self._at(wanted), self.reach, self.block).distinct().join(wanted, ["row", "pos"])
+        sides = F.array(
+            F.struct(F.lit(0).alias("side"), F.col("left").alias("context")),
+            F.struct(F.lit(1).alias("side"), F.col("right").alias("context")),
+        )
+        return cut_lineage(beside.select("row", "pos", "key", "check", F.inline(sides)))
 
     def spans(self) -> DataFrame:
         """(row, begin, end, first_row): word ranges of at least ``passage`` words that repeat in another document.
@@ -232,40 +299,34 @@ class Repeats:
         ``first_row`` is the least row that has the first of their blocks.
         """
         order = ["side", "key", "check", "context"]
-        marked = self._ends(join_many(self.contexts, extensions(self.contexts), order))
-        begin, end = F.col("pos") - F.col("before"), F.col("pos") + self.block + F.col("after")
+        flagged = self._flagged()
+        contexts = self._beside(flagged)
+        words = join_many(contexts, extensions(contexts), order)
+        grown = lambda side: F.max(F.when(F.col("side") == side, F.col("words")))
+        ends = cut_lineage(words.groupBy("row", "pos").agg(grown(0).alias("grown_0"), grown(1).alias("grown_1")))
+        marked = join_many(flagged, ends, ["row", "pos"], "left")
+        more = lambda flag, c: F.when(F.col(flag), F.coalesce(c, F.lit(0))).otherwise(0)
+        begin, end = F.col("pos") - more("opens", "grown_0"), F.col("pos") + self.block + more("closes", "grown_1")
         by = F.struct("pos", "first_row").alias("by")
-        return self._long(marked.select("row", begin.alias("begin"), end.alias("end"), by))
+        spans = _merged(marked.select("row", begin.alias("begin"), end.alias("end"), by))
+        return spans.where(F.col("end") - F.col("begin") >= self.passage)
 
     def removable(self) -> DataFrame:
-        """(row, begin, end): what may go if each repeated block stays where its least row has it.
+        """(row, begin, end): the words of every window of ``passage`` words that a lesser row has too.
 
-        Matches grow only as far as that row agrees, and a block that stays is not cut into,
-        so nothing is lost.
+        Windows are compared whole, so the least row that has one keeps it unless overlapping
+        ones are in rows less still, and each other row gives it up. A word goes only with a
+        window that a lesser row has, so at its place there it stays or goes for a row less
+        again: the least of them keeps it and nothing is lost.
         """
-        firsts = self.places.where("own").groupBy("key").agg(F.min(F.struct("row", "pos")).alias("f"))
-        firsts = firsts.select("key", "f.row", "f.pos")
-        model = self.contexts.join(firsts, ["key", "row", "pos"]).select("key", "side", "check", F.col("context").alias("model"))
-        agreed = join_many(self.contexts, model, ["key", "side", "check"], "left")
-        marked = self._ends(agreed.select("row", "pos", "side", _agreement(F.col("context"), F.col("model")).alias("words")))
-        ahead = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-        behind = Window.partitionBy("row").orderBy(F.desc("nth")).rowsBetween(Window.unboundedPreceding, -1)
-        kept = lambda value: F.when(F.col("own"), value)
-        bounded = marked.select(
-            "*",
-            F.max(kept(F.col("pos") + self.block)).over(ahead).alias("kept_until"),
-            F.min(kept(F.col("pos"))).over(behind).alias("kept_from"),
-        )
-        loose = bounded.where("not own").select(
-            "row",
-            F.greatest(F.col("pos") - F.col("before"), "kept_until").alias("begin"),
-            F.least(F.col("pos") + self.block + F.col("after"), "kept_from").alias("end"),
-            F.struct("pos", "first_row").alias("by"),
-        )
-        return self._long(loose.where("begin < end")).select("row", "begin", "end")
-
-    def _long(self, spans: DataFrame) -> DataFrame:
-        return _merged(spans).where(F.col("end") - F.col("begin") >= self.passage)
+        at = self._at(self.places)
+        windows = cut_lineage(_windows(self.docs, at, self.passage, self.reach, self.gram))
+        least = windows.groupBy("key", "check").agg(F.min("row").alias("least"), F.max("row").alias("_last"))
+        held = least.where("least < _last").select("key", "check", "least")
+        later = join_many(windows, held, ["key", "check"]).where("row > least")
+        starts = self._at(later)
+        release(windows)
+        return _covered(starts, self.passage)
 
 
 def find_repeats(
@@ -290,33 +351,7 @@ def find_repeats(
     )
     met = cut_lineage(join_many(suffixes, shared, ["key"]).distinct())
     release(suffixes)
-    # Runs of neighbouring retained suffixes: their ends are open.
-    place = Window.partitionBy("row").orderBy("nth")
-    flagged = cut_lineage(
-        met.select(
-            "*",
-            (F.coalesce(F.lag("nth").over(place), F.lit(-9)) != F.col("nth") - 1).alias("opens"),
-            (F.coalesce(F.lead("nth").over(place), F.lit(-9)) != F.col("nth") + 1).alias("closes"),
-            (F.col("row") == F.col("first_row")).alias("own"),
-        )
-    )
-    release(met)
-    open_keys = cut_lineage(flagged.where("opens or closes").select("key").distinct())
-    wanted = join_small(flagged.select("key", "row", "pos"), open_keys, ["key"], "left_semi")
-    at = cut_lineage(wanted.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("at")))
-    beside = _contexts(listed, at, reach, block).distinct().join(wanted, ["row", "pos"])
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("left").alias("context")),
-        F.struct(F.lit(1).alias("side"), F.col("right").alias("context")),
-    )
-    return Repeats(flagged, cut_lineage(beside.select("row", "pos", "key", "check", F.inline(sides))), passage, block)
-
-
-def _agreement(a: Column, b: Column) -> Column:
-    """Whole words (4 bytes) that two contexts have in common from their start; 0 if one is missing."""
-    whole = F.floor(F.least(F.octet_length(a), F.octet_length(b)) / 4).cast("int")
-    same = lambda i: F.substr(a, F.lit(1), i * 4) == F.substr(b, F.lit(1), i * 4)
-    return F.when(b.isNull(), 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), whole), same)) - 1)
+    return Repeats(met, listed, passage, reach, gram, block)
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -362,6 +397,26 @@ def without_repeats(docs: DataFrame, removable: DataFrame, doc_id: str = "doc_id
     return marked.select(*names, "_spans").mapInArrow(run, docs.select(*names).schema)
 
 
+def one_of_each_passage(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE) -> DataFrame:
+    """``docs`` with the removable words taken out until no ``passage`` words in a row are in two documents.
+
+    A cut brings the words beside it together, which may make a passage that another document
+    has, so the search is repeated; every round but the last removes words.
+    """
+    written = None
+    while True:
+        repeats = find_repeats(docs, doc_id, text, passage)
+        spans = cut_lineage(repeats.removable())
+        release(repeats.places)
+        if spans.isEmpty():
+            return docs
+        docs = cut_lineage(without_repeats(docs, spans, doc_id, text))
+        release(spans)
+        if written is not None:
+            release(written)
+        written = docs
+
+
 def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and the white space after them."""
     starts = [m.start() for m in WORD.finditer(text)] + [len(text)]

@@ -110,3 +110,36 @@ def test_equal_rows_are_one_document(spark):
         (False, 6, 0, 120),
         (True, 0, 0, 120),
     ]
+
+
+def test_no_passage_stays_in_two_documents(spark, planted):
+    rng = random.Random(3)
+    texts = dict(planted)
+    for n, size in enumerate([50, 51, 55, 60, 70, 80, 90, 100, 110]):
+        for trial in range(4):  # all orders of the rows come up
+            at = 1000 + 40 * n + 10 * trial
+            passage = words(rng, size)
+            around = words(rng, 60), words(rng, 60)
+            texts[at] = words(rng, 80) + passage + words(rng, 80)
+            texts[at + 1] = words(rng, 40) + around[0] + passage + around[1] + words(rng, 40)
+            other = list(passage)
+            other[size // 2] = "other"
+            texts[at + 2] = words(rng, 30) + around[0] + other + around[1] + words(rng, 30)
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {r.doc_id: r.row for r in docs.select("doc_id", S.row_key(docs.doc_id, docs.text).alias("row")).collect()}
+    passages = {w: p for w, p in windows(texts, 50).items() if len({i for i, _ in p}) > 1}
+    removable = S.find_repeats(docs).removable()
+    got = {}
+    for r in removable.collect():
+        got.setdefault(r.row, set()).update(range(r.begin, r.end))
+    want = {}
+    for places in passages.values():
+        first = min(key[i] for i, _ in places)
+        for i, at in places:
+            if key[i] != first:
+                want.setdefault(key[i], set()).update(range(at, at + 50))
+    assert got == want  # only words of a window that a lesser row has, and all of them
+    left = {r.doc_id: r.text.split() for r in S.one_of_each_passage(docs).collect()}
+    assert all(len({i for i, _ in p}) == 1 for p in windows(left, 50).values())
+    assert {x for w in passages for x in w} <= {x for t in left.values() for x in t}
