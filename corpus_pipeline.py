@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from hitweave.llm import language_kernel, mixture_packing, simhash_ring, suffix_dedup, winnowing  # noqa: E402
+from hitweave.llm import language_kernel, mixture_packing, shingle_copies, suffix_dedup, winnowing  # noqa: E402
 from hitweave.llm.common import ready, table  # noqa: E402
 from hitweave.session import checkpoint_root  # noqa: E402
 
@@ -30,8 +30,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id."""
-    return simhash_ring.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Of each component of near copies the document with the least id.
+
+    Near copies share 0.8 of their five-word shingles or are linked by op10's rule.
+    """
+    return shingle_copies.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
