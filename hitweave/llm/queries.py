@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import external_shuffle, fuzzy_notices, language_kernel, merkle_audit, mincut_extract, mixture_packing, mpeg_audio, simhash_ring, suffix_dedup, winnowing
+from . import (
+    embedding_copies,
+    external_shuffle,
+    fuzzy_notices,
+    language_kernel,
+    merkle_audit,
+    mincut_extract,
+    mixture_packing,
+    mpeg_audio,
+    simhash_ring,
+    spelling_variants,
+    suffix_dedup,
+    term_divergence,
+    winnowing,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +223,64 @@ ORACLES["op2_merkle_fixity_audit"] = _merkle_sql()
 def op5_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.span_report(docs, suffix_dedup.find_repeats(docs).spans())
+
+
+@query
+def op11_term_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "source", "text")
+    return term_divergence.divergence(docs)
+
+
+ORACLES["op11_term_divergence"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+occ AS (SELECT rid, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM occ GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+of_lang AS (SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS n FROM occ GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, n_lang FROM grp g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM cell),
+scored AS (
+  SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (total + 5 * v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (n_lang + 5) // (total_lang + 5 * v) AS q_lang
+  FROM sized JOIN of_lang USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item,
+         (SELECT coalesce(sum(abs(x.p - y.p)), 0) FROM scored x JOIN scored y ON x.lang = y.lang AND x.term = y.term
+          WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source),
+every AS (
+  SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pair
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q_lang AS BIGINT) FROM scored WHERE n > 0 AND p > q_lang),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variant_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_copies.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_embedding_copies"] = """
+WITH RECURSIVE row_of AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+valid AS (
+  SELECT rid, vec_id, x FROM row_of
+  WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+link AS (
+  SELECT a.rid, b.rid AS other, b.vec_id AS other_id FROM valid a JOIN valid b ON a.rid <> b.rid AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT rid, rid AS other FROM row_of UNION SELECT reach.rid, link.other FROM reach JOIN link ON reach.other = link.rid),
+component AS (SELECT reach.rid, min(o.vec_id) AS component_id FROM reach JOIN row_of o ON o.rid = reach.other GROUP BY reach.rid),
+linked AS (SELECT rid, count(*) AS n FROM link GROUP BY rid)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM row_of JOIN component USING (rid) LEFT JOIN linked USING (rid)
+"""
