@@ -155,6 +155,41 @@ def j14_radius_embeddings(spark, sf_dir):
     return out.select(E, "src", "dst", rnd("distance").alias("distance"))
 
 
+cte("whole_vectors", """
+SELECT 0 AS event_id, vec_id AS hit_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings""")
+cte("near_whole_vectors", _brute("whole_vectors", f"({DOT})", 1.05, 8), "whole_vectors")
+
+
+@query(
+    "j14_all_embeddings",
+    with_tables("near_whole_vectors", body="SELECT src, dst, distance FROM near_whole_vectors WHERE src <> dst"),
+)
+def j14_all_embeddings(spark, sf_dir):
+    """All embeddings as one event: the nearest eight within 1.05 in 64 dimensions."""
+    whole = A.vectors(spark, sf_dir).selectExpr("0L AS event_id", "event_id * 100 + hit_id AS hit_id", "embedding")
+    out = N.radius_neighbours(whole, "embedding", 64, 1.05, 8)
+    return out.select("src", "dst", rnd("distance").alias("distance"))
+
+
+@query(
+    "j14_radius_work",
+    with_tables(
+        "vectors", "hits",
+        body="""SELECT 'embeddings' AS points, COUNT(*) AS n_sites, TRUE AS below_a_fifth FROM vectors
+UNION ALL SELECT 'hits', COUNT(DISTINCT (event_id, x, y, z)), TRUE FROM hits""",
+    ),
+)
+def j14_radius_work(spark, sf_dir):
+    """Distances that the pivots leave to compute: less than a fifth of all pairs of an event's places."""
+    whole = A.vectors(spark, sf_dir).selectExpr("0L AS event_id", "event_id * 100 + hit_id AS hit_id", "embedding")
+    work = N.radius_work(whole, "embedding", 64, 0.1, 8).select(F.lit("embeddings").alias("points"), "*")
+    work = work.unionByName(N.radius_work(space_hits(spark, sf_dir), "v", 3, 150.0, 6).select(F.lit("hits").alias("points"), "*"))
+    sums = work.groupBy("points").agg(
+        F.sum("n_sites").alias("n_sites"), F.sum("n_compared").alias("n"), F.sum(F.col("n_sites") * F.col("n_sites")).alias("all")
+    )
+    return sums.select("points", "n_sites", (F.col("n") * 5 < F.col("all")).alias("below_a_fifth"))
+
+
 cte("nearest_hits", _brute("hits", XYZ, 1000000.0, 4), "hits")
 
 
