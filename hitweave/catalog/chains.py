@@ -19,7 +19,7 @@ from ..plans.ingest import IngestConfig, build_event_graph, build_truth
 from ..session import checkpoint_root
 from ..sources import adapters as A
 from ..streaming.ingest import ingest_stream
-from .graph_tables import RULES, TYPE_GROUPS, graph, plain_track_edges
+from .graph_tables import RULES, TYPE_GROUPS, graph, plain_track_edges, weighted_edges
 from .registry import query, rnd
 from .sqltables import cte, with_tables
 from .truth_tables import REGION_SQL, REGIONS, hit_features, numbered_particles, spacepoints, truth_edges, truth_hits
@@ -204,7 +204,60 @@ def g15_tracks_chain(spark, sf_dir):
     return edges.select(E, "edge_id", "weight")
 
 
+@query(
+    "g15_undirected_chain",
+    with_tables(
+        "hard_edges",
+        "typed_hits",
+        body="""
+, u AS (SELECT event_id, edge_id, src, dst, FALSE AS reversed, weight FROM hard_edges
+  UNION ALL SELECT event_id, edge_id, dst, src, TRUE, weight FROM hard_edges)
+SELECT u.event_id, u.edge_id, u.src, u.dst, u.reversed, u.weight, p.node_type_name || '__to__' || q.node_type_name AS edge_type_name
+FROM u JOIN typed_hits p ON p.event_id = u.event_id AND p.hit_id = u.src
+JOIN typed_hits q ON q.event_id = u.event_id AND q.hit_id = u.dst""",
+    ),
+)
+def g15_undirected_chain(spark, sf_dir):
+    """D6 first: edges and track edges in both directions, then cut, weights and types."""
+    _, edges, _ = P.prepare_heterogeneous(
+        hit_features(spark, sf_dir),
+        *graph(spark, sf_dir),
+        TYPE_GROUPS,
+        ["r", "phi", "z"],
+        undirected=True,
+        hard_cuts={"pt": [1.0, INF]},
+        rules=RULES,
+    )
+    return edges.select(E, "edge_id", "src", "dst", "reversed", "weight", "edge_type_name")
+
+
 # ---- data checks ---------------------------------------------------------------
+@query(
+    "q2_q5_written_graph",
+    with_tables(
+        "hits",
+        "ledges",
+        "te",
+        body="""
+, d AS (SELECT unnest(['even', 'odd']) AS dataset, unnest([0, 1]) AS part),
+t AS (SELECT 'nodes' AS name, event_id % 2 AS part, 0 AS lost FROM hits
+  UNION ALL SELECT 'edges', event_id % 2, 0 FROM ledges UNION ALL SELECT 'track_edges', event_id % 2, 0 FROM te)
+SELECT n.name AS "table", d.dataset, COUNT(t.part) AS n_rows, 0::BIGINT AS n_without
+FROM (SELECT unnest(['nodes', 'edges', 'track_edges']) AS name) n CROSS JOIN d
+LEFT JOIN t ON t.name = n.name AND t.part = d.part GROUP BY ALL""",
+    ),
+)
+def q2_q5_written_graph(spark, sf_dir):
+    """Rows of each dataset (none may be empty) and edges without a weight, counted by the jobs that write the graph."""
+    dataset = F.when(F.col(E) % 2 == 0, "even").otherwise("odd")
+    hits, weighted = A.hits(spark, sf_dir), weighted_edges(spark, sf_dir)
+    tables = [t.withColumn("dataset", dataset) for t in (hits, weighted, plain_track_edges(spark, sf_dir))]
+    path = f"{checkpoint_root(spark)}/files/{uuid.uuid4().hex}"
+    counted = Q.write_checked_graph(*tables, path, {"cut": 0.3}, ["even", "odd"])
+    rows = [(t, d, c[f"n_{d}"], c[f"without_{d}"]) for t, c in counted.items() for d in ("even", "odd")]
+    return spark.createDataFrame(rows, "table string, dataset string, n_rows long, n_without long")
+
+
 @query(
     "q1_unknown_nodes",
     with_tables(
@@ -411,6 +464,27 @@ def s19_events_in_two_files(spark, sf_dir):
     return written.groupBy(E).agg(F.count("*").alias("n_hits"), F.count_distinct("hit_id").alias("n_different"))
 
 
+@query(
+    "s19_repeated_rows",
+    with_tables(
+        "hits",
+        body="""SELECT event_id, CAST(2 * COUNT(*) AS BIGINT) AS n_hits, COUNT(DISTINCT hit_id) AS n_different
+FROM hits GROUP BY event_id""",
+    ),
+)
+def s19_repeated_rows(spark, sf_dir):
+    """Files in which every row comes twice: they differ, though their rows cancel in pairs; each is written once."""
+    root = f"{checkpoint_root(spark)}/ingest/{uuid.uuid4().hex}"
+    hits = A.hits(spark, sf_dir)
+    for half in (0, 1, 1):
+        rows = hits.where(F.col("hit_id") % 2 == half)
+        rows.unionByName(rows).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(hits.schema).parquet(f"{root}/in")
+        ingest_stream(source, lambda df: df, f"{root}/hits", f"{root}/state").awaitTermination()
+    written = spark.read.parquet(f"{root}/hits")
+    return written.groupBy(E).agg(F.count("*").alias("n_hits"), F.count_distinct("hit_id").alias("n_different"))
+
+
 # ---- U3, U4: user functions ----------------------------------------------------
 @hooks.register("processing", "drop_noise")
 def drop_noise(hits, particles, tracks):

@@ -318,6 +318,39 @@ def m6b_d6_undirected_values(spark, sf_dir):
     return M.edges_to_reversed(both, e, "score").select(E, "src", "dst", "score")
 
 
+@query(
+    "m7_every_move",
+    with_tables(
+        "edges", "te", "hits", "ledges",
+        body="""
+, ends AS (SELECT event_id, src AS hit_id, pt FROM te UNION ALL SELECT event_id, dst, pt FROM te)
+SELECT 'node to edge' AS move, COUNT(*) AS n, round(SUM((a.z + b.z) / 2), 2) + 0.0 AS total FROM edges e
+  JOIN hits a ON a.event_id = e.event_id AND a.hit_id = e.src JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.dst
+UNION ALL SELECT 'node to track', COUNT(*), round(SUM(least(a.z, b.z)), 2) + 0.0 FROM te t
+  JOIN hits a ON a.event_id = t.event_id AND a.hit_id = t.src JOIN hits b ON b.event_id = t.event_id AND b.hit_id = t.dst
+UNION ALL SELECT 'edge to node', (SELECT COUNT(*) FROM hits), round(SUM(score), 2) + 0.0 FROM edges
+UNION ALL SELECT 'track to node', (SELECT COUNT(*) FROM hits), round(SUM(pt), 2) + 0.0 FROM ends
+UNION ALL SELECT 'track to edge', COUNT(*), round(SUM(COALESCE(t.pt, 0)), 2) + 0.0 FROM edges e
+  LEFT JOIN te t ON t.event_id = e.event_id AND t.edge_id = e.edge_id
+UNION ALL SELECT 'edge to track', COUNT(*), round(SUM(score), 2) + 0.0 FROM te""",
+    ),
+)
+def m7_every_move(spark, sf_dir):
+    """All six moves through the dispatcher, each as its number of rows and the sum of what was moved."""
+    hits, edges = A.hits(spark, sf_dir).select(E, "hit_id", "z"), A.candidate_edges(spark, sf_dir)
+    tracks = M.link_track_edges(plain_track_edges(spark, sf_dir), edges)
+    tables = {"hits": hits, "edges": edges, "track_edges": tracks}
+    moves = [("z", "node", "edge", "mean"), ("z", "node", "track", "min"), ("score", "edge", "node", "sum"),
+             ("pt", "track", "node", "sum"), ("pt", "track", "edge", None), ("score", "edge", "track", None)]
+    whole = None
+    for column, source, target, aggr in moves:
+        moved = M.map_values(column, source, target, aggr=aggr, **tables)
+        row = moved.agg(F.count("*").alias("n"), rnd(F.sum(column), 2).alias("total"))
+        row = row.select(F.lit(f"{source} to {target}").alias("move"), "n", "total")
+        whole = row if whole is None else whole.unionByName(row)
+    return whole
+
+
 @query(
     "m8_edge_weights",
     with_tables("weighted", body="SELECT event_id, edge_id, y, weight FROM weighted"),

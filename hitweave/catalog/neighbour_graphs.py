@@ -98,6 +98,30 @@ def j12_f12_triplets(spark, sf_dir):
     return found.select(E, "hit_1", "hit_2", "hit_3")
 
 
+@query(
+    "j11_f11_doublet_work",
+    with_tables(
+        "module_map",
+        "hit_features",
+        body="""
+, p AS (SELECT mid_1, mid_2, greatest(MIN(dphimin_12 / 10), -pi()) AS lo, least(MAX(dphimax_12 / 10), pi()) AS hi
+  FROM module_map GROUP BY ALL),
+q AS (SELECT *, greatest(floor(4 * 2 * pi() / greatest(hi - lo + 2 * 1e-9, 2 * pi() / 4096)), 1) AS n FROM p),
+x AS (SELECT m.event_id, n, floor((o.phi + pi()) / (2 * pi()) * n) AS own,
+    floor((m.phi - hi - 1e-9 + pi()) / (2 * pi()) * n) AS lowest, floor((m.phi - lo + 1e-9 + pi()) / (2 * pi()) * n) AS highest
+  FROM q JOIN hit_features m ON m.module_id = q.mid_2
+  JOIN hit_features o ON o.event_id = m.event_id AND o.module_id = q.mid_1)
+SELECT event_id, COUNT(*) FILTER (((own - lowest) % n + n) % n <= least(highest - lowest, n - 1)) AS n_compared, COUNT(*) AS n_all
+FROM x GROUP BY event_id""",
+    ),
+)
+def j11_f11_doublet_work(spark, sf_dir):
+    """With a tenth of the map's range of angles: the pairs that its bins compare, of all pairs of the map's modules."""
+    first = text_dumps.module_map_parts(parsed_map(spark, sf_dir))[0]
+    first = first.withColumns({c: F.col(c) / 10 for c in ("dphimin_12", "dphimax_12")})
+    return MM.doublet_work(hit_features(spark, sf_dir), first, True)
+
+
 @query(
     "g9_module_map_graph",
     with_tables(

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql
 from ..operators.joins import E
 from ..session import checkpoint_root
 from ..sources import adapters as A
@@ -274,6 +275,19 @@ def s13_split_sizes(spark, sf_dir):
     return sizes.unpivot([], ["trainset", "valset", "testset"], "dataset", "n_events")
 
 
+@query(
+    "s13_split_members",
+    f"""
+WITH e AS (SELECT DISTINCT o_orderkey // 250 AS event_id FROM orders),
+r AS (SELECT event_id, ROW_NUMBER() OVER (ORDER BY {draw_sql('event_id', seed=42)}, event_id) AS n, COUNT(*) OVER () AS size FROM e)
+SELECT event_id, CASE WHEN n <= floor(size * 0.8) THEN 'trainset' WHEN n <= floor(size * 0.8) + floor(size * 0.1) THEN 'valset'
+  ELSE 'testset' END AS dataset FROM r""",
+)
+def s13_split_members(spark, sf_dir):
+    """Which event went where."""
+    return files.split_events(A.measurements(spark, sf_dir), {"trainset": 0.8, "valset": 0.1, "testset": None})
+
+
 @query(
     "s14_first_events",
     with_tables(
@@ -339,6 +353,46 @@ def s8_s15_event_csv(spark, sf_dir):
     return files.read_event_csv(spark, f"{path}/dataset=*/event_id=*", columns, number="event_id=([0-9]+)")
 
 
+@query(
+    "s15_event_files",
+    with_tables(
+        "hits",
+        body="""SELECT event_id, 'event' || lpad(CAST(event_id AS VARCHAR), 9, '0') || '-truth.csv' AS file, COUNT(*) AS n_hits,
+CAST(SUM(hit_id) AS BIGINT) AS hit_ids, round(SUM(z), 3) + 0.0 AS z FROM hits GROUP BY event_id""",
+    ),
+)
+def s15_event_files(spark, sf_dir):
+    """S1 too: one CSV file per event under its own name, found in the folder again and read back."""
+    path = scratch(spark)
+    hits = A.hits(spark, sf_dir).select(E, "hit_id", "particle_id", "z")
+    sinks.write_event_files(hits, path, "event{:09d}-truth.csv", "csv", order=["hit_id"])
+    sinks.write_event_files(hits.select(E, "particle_id").distinct(), path, "event{:09d}-particles.csv", "csv", order=["particle_id"])
+    named = files.event_files(spark, path, ["truth", "particles"]).where("term = 'truth'")
+    read = files.read_event_csv(spark, f"{path}/*-truth.csv", "hit_id bigint, particle_id bigint, z double", number="event([0-9]+)-truth")
+    sums = read.groupBy(E).agg(F.count("*").alias("n_hits"), F.sum("hit_id").alias("hit_ids"), rnd(F.sum("z"), 3).alias("z"))
+    return named.select(E, F.element_at(F.split("path", "/"), -1).alias("file")).join(sums, E)
+
+
+@query(
+    "s17_event_track_files",
+    with_tables(
+        "hits",
+        body="""
+, t AS (SELECT event_id, particle_id - 1 AS track_id, string_agg(CAST(hit_id AS VARCHAR), ' ' ORDER BY hit_id) AS line
+  FROM hits WHERE particle_id > 0 GROUP BY event_id, particle_id)
+SELECT event_id, 'event' || lpad(CAST(event_id AS VARCHAR), 9, '0') || '.txt' AS file,
+  string_agg(line, chr(10) ORDER BY track_id) || chr(10) AS content FROM t GROUP BY event_id""",
+    ),
+)
+def s17_event_track_files(spark, sf_dir):
+    """One text file per event, a line for each track in the order of their ids, read back whole."""
+    path = scratch(spark)
+    sinks.write_track_files(A.hits(spark, sf_dir).selectExpr("event_id", "hit_id", "particle_id - 1 as track_id"), path)
+    whole = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("content"))
+    number = F.regexp_extract("path", "event([0-9]+)[.]txt$", 1).cast("bigint")
+    return whole.select(number.alias(E), F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+
 @query(
     "s16_graph_tables",
     with_tables(

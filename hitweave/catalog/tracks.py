@@ -93,7 +93,70 @@ def g3_simple_path_tracks(spark, sf_dir):
 
 
 # ---- walkthrough ---------------------------------------------------------------
-@query("g4_g5_cc_and_walk")
+#: One road after another, in steps: the open roads of a start grow by the choices of their last hit; when none
+#: grows any more the longest, of several the last, is taken; then the earliest free hit starts.
+WALK = """
+, a AS (SELECT t.event_id, t.edge_id, t.score, a.r * a.r + a.z * a.z AS da, b.r * b.r + b.z * b.z AS db, t.src, t.dst
+  FROM ({graph}) t JOIN hit_features a ON a.event_id = t.event_id AND a.hit_id = t.src
+  JOIN hit_features b ON b.event_id = t.event_id AND b.hit_id = t.dst WHERE t.score > {cut} AND t.src <> t.dst),
+o AS (SELECT event_id, edge_id, score, da > db OR (da = db AND src > dst) AS inward, src, dst FROM a),
+g AS MATERIALIZED (SELECT event_id, CASE WHEN inward THEN dst ELSE src END AS src, CASE WHEN inward THEN src ELSE dst END AS dst,
+  arg_max(score, edge_id) AS score FROM o GROUP BY ALL),
+u AS (SELECT event_id, src, dst FROM g UNION SELECT event_id, dst, src FROM g),
+reach(event_id, x, y) AS (SELECT event_id, src, src FROM u UNION SELECT r.event_id, r.x, u.dst FROM reach r
+  JOIN u ON u.event_id = r.event_id AND u.src = r.y),
+comp AS MATERIALIZED (SELECT event_id, x AS hit_id, MIN(y) AS component, COUNT(*) AS n_hits FROM reach GROUP BY ALL),
+deg AS (SELECT event_id, hit_id, SUM(i) AS n_in, SUM(k) AS n_out FROM (
+  SELECT event_id, dst AS hit_id, 1 AS i, 0 AS k FROM g UNION ALL SELECT event_id, src, 0, 1 FROM g) GROUP BY ALL),
+shape AS (SELECT event_id, component, MAX(greatest(n_in, n_out)) <= 1 AS is_path FROM deg JOIN comp USING (event_id, hit_id) GROUP BY ALL),
+w AS MATERIALIZED (SELECT g.* FROM g JOIN comp c ON c.event_id = g.event_id AND c.hit_id = g.src
+  JOIN shape s ON s.event_id = c.event_id AND s.component = c.component WHERE NOT s.is_path),
+lev(event_id, hit_id, level) AS (SELECT event_id, src, 0 FROM w UNION SELECT event_id, dst, 0 FROM w
+  UNION SELECT v.event_id, w.dst, level + 1 FROM lev v JOIN w ON w.event_id = v.event_id AND w.src = v.hit_id),
+turns AS MATERIALIZED (SELECT event_id, hit_id, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY level, hit_id) AS turn
+  FROM (SELECT event_id, hit_id, MAX(level) AS level FROM lev GROUP BY ALL)),
+walk(event_id, kind, hit_id, track_id, path, ranks) AS (
+  SELECT event_id, 'open', hit_id, hit_id, [hit_id], [0::BIGINT] FROM turns WHERE turn = 1
+  UNION ALL
+  (WITH busy AS (SELECT DISTINCT event_id FROM walk WHERE kind = 'open'),
+  grown AS (
+    SELECT p.event_id, p.track_id, p.path, p.ranks, w.dst, w.score,
+      ROW_NUMBER() OVER (PARTITION BY p.event_id, p.path ORDER BY w.score DESC, w.dst) AS n,
+      MAX(w.score) OVER (PARTITION BY p.event_id, p.path) AS best
+    FROM walk p JOIN w ON w.event_id = p.event_id AND w.src = p.hit_id
+    WHERE p.kind = 'open' AND NOT EXISTS (
+      SELECT 1 FROM walk q WHERE q.kind = 'used' AND q.event_id = w.event_id AND q.hit_id = w.dst)),
+  longer AS (SELECT event_id, track_id, list_append(path, dst) AS path, list_append(ranks, n) AS ranks, path AS old, dst
+    FROM grown WHERE best > {low} AND (n = 1 OR score > {add})),
+  ended AS (SELECT p.event_id, p.track_id, p.path, p.ranks FROM walk p WHERE p.kind = 'open' AND NOT EXISTS (
+    SELECT 1 FROM longer l WHERE l.event_id = p.event_id AND l.old = p.path)),
+  best AS (SELECT event_id, arg_max(path, (len(path), ranks)) AS path FROM walk
+    WHERE kind = 'ended' AND event_id NOT IN (SELECT event_id FROM busy) GROUP BY event_id),
+  rest AS (SELECT t.event_id, arg_min(t.hit_id, t.turn) AS hit_id FROM turns t
+    WHERE t.event_id IN (SELECT event_id FROM walk WHERE kind = 'used')
+      AND t.event_id NOT IN (SELECT event_id FROM walk WHERE kind <> 'used')
+      AND NOT EXISTS (SELECT 1 FROM walk q WHERE q.kind = 'used' AND q.event_id = t.event_id AND q.hit_id = t.hit_id)
+    GROUP BY t.event_id),
+  live AS (SELECT event_id FROM walk WHERE kind <> 'used' UNION SELECT event_id FROM rest)
+  SELECT event_id, 'open', dst, track_id, path, ranks FROM longer
+  UNION ALL SELECT event_id, 'ended', NULL, track_id, path, ranks FROM ended
+  UNION ALL SELECT event_id, 'ended', NULL, track_id, path, ranks FROM walk
+    WHERE kind = 'ended' AND event_id IN (SELECT event_id FROM busy)
+  UNION ALL SELECT event_id, 'used', unnest(path), path[1], NULL, NULL FROM best
+  UNION ALL SELECT event_id, 'open', hit_id, hit_id, [hit_id], [0::BIGINT] FROM rest
+  UNION ALL SELECT event_id, 'used', hit_id, track_id, NULL, NULL FROM walk
+    WHERE kind = 'used' AND event_id IN (SELECT event_id FROM live))),
+tracks AS (SELECT c.event_id, c.hit_id, c.component AS track_id, 'cc' AS reco_method FROM comp c
+  JOIN shape s ON s.event_id = c.event_id AND s.component = c.component WHERE s.is_path AND c.n_hits > 2
+  UNION ALL SELECT DISTINCT event_id, hit_id, track_id, 'walk' FROM walk WHERE kind = 'used')
+SELECT event_id, hit_id, track_id, reco_method FROM tracks"""
+
+
+def _walk_sql(graph_sql: str, cut: float, low: float, add: float) -> str:
+    return with_tables("edges", "hit_features", recursive=True, body=WALK.format(graph=graph_sql, cut=cut, low=low, add=add))
+
+
+@query("g4_g5_cc_and_walk", _walk_sql("SELECT event_id, edge_id, src, dst, score FROM edges", 0.3, 0.35, 0.7))
 def g4_g5_cc_and_walk(spark, sf_dir):
     """Components, simple paths and the walkthrough on branched components."""
     return P.cc_and_walk(hit_features(spark, sf_dir), A.candidate_edges(spark, sf_dir), 0.3, 0.35, 0.7)
@@ -136,7 +199,10 @@ def g4_roads_are_joined(spark, sf_dir):
     return events.select(E, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_double", "n_broken")])
 
 
-@query("g5_cc_and_walk_true_graph")
+@query(
+    "g5_cc_and_walk_true_graph",
+    _walk_sql("SELECT event_id, edge_id, src, dst, CAST(y AS DOUBLE) AS score FROM edges", 0.0, 0.35, 0.7),
+)
 def g5_cc_and_walk_true_graph(spark, sf_dir):
     """The same on the true graph: truth as score, cut 0."""
     return P.cc_and_walk(
@@ -195,6 +261,40 @@ def g6_long_paths(spark, sf_dir):
     return out.select(E, "hit_id", text.alias("path"))
 
 
+CYCLIC = """
+SELECT event_id, src, dst FROM edges WHERE score > 0.3 AND score < 0.39 UNION
+SELECT event_id, dst, src FROM edges WHERE score > 0.3 AND score < 0.39 AND (src + dst) % 4 = 0"""
+
+
+@query(
+    "g6_paths_with_cycles",
+    with_tables(
+        "edges",
+        recursive=True,
+        body=f"""
+, r AS MATERIALIZED ({CYCLIC}),
+s AS (SELECT DISTINCT event_id, src AS hit_id FROM r WHERE NOT EXISTS (
+  SELECT 1 FROM r q WHERE q.event_id = r.event_id AND q.dst = r.src)),
+p(event_id, path, tip) AS (
+  SELECT event_id, [hit_id], hit_id FROM s UNION ALL
+  SELECT p.event_id, list_append(p.path, r.dst), r.dst FROM p JOIN r ON r.event_id = p.event_id AND r.src = p.tip
+  WHERE len(p.path) < 26 AND NOT list_contains(p.path, r.dst)),
+w AS (SELECT event_id, path FROM p WHERE len(path) >= 3 AND NOT EXISTS (
+  SELECT 1 FROM r WHERE r.event_id = p.event_id AND r.src = p.tip)),
+h AS (SELECT event_id, hit_id, MAX(path) AS path FROM (SELECT event_id, path, unnest(path) AS hit_id FROM w) GROUP BY ALL),
+n AS (SELECT event_id, src AS hit_id FROM r UNION SELECT event_id, dst FROM r)
+SELECT n.event_id, n.hit_id, array_to_string(h.path, ' ') AS path FROM n LEFT JOIN h USING (event_id, hit_id)""",
+    ),
+)
+def g6_paths_with_cycles(spark, sf_dir):
+    """The same where every fourth edge runs both ways, so that hits lie on cycles."""
+    residual = A.candidate_edges(spark, sf_dir).where("score > 0.3 and score < 0.39").select(E, "src", "dst")
+    back = residual.where("(src + dst) % 4 = 0").select(E, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    out = PT.long_path_labels(residual.unionByName(back), min_nodes=3)
+    text = F.array_join(F.transform("path", lambda h: h.cast("string")), " ")
+    return out.select(E, "hit_id", text.alias("path"))
+
+
 @query("g6_all_simple_path_tracks")
 def g6_all_simple_path_tracks(spark, sf_dir):
     """Component labels above 0.55, overwritten by long paths of the residual graph (more than seven hits)."""
@@ -263,6 +363,29 @@ def g7_shortest_paths(spark, sf_dir):
     return out.select(E, "start", "end", text.alias("path"))
 
 
+@query(
+    "g7_all_paths",
+    with_tables(
+        "edges",
+        recursive=True,
+        body="""
+, r AS MATERIALIZED (SELECT DISTINCT event_id, src, dst FROM edges WHERE score > 0.55),
+s AS (SELECT DISTINCT event_id, src AS hit_id FROM r WHERE NOT EXISTS (
+  SELECT 1 FROM r q WHERE q.event_id = r.event_id AND q.dst = r.src)),
+p(event_id, first, path, tip) AS (
+  SELECT event_id, hit_id, [hit_id], hit_id FROM s UNION ALL
+  SELECT p.event_id, first, list_append(p.path, r.dst), r.dst FROM p JOIN r ON r.event_id = p.event_id AND r.src = p.tip)
+SELECT event_id, first AS start, tip AS "end", array_to_string(path, ' ') AS path FROM p WHERE NOT EXISTS (
+  SELECT 1 FROM r WHERE r.event_id = p.event_id AND r.src = p.tip)""",
+    ),
+)
+def g7_all_paths(spark, sf_dir):
+    """Every path from a hit without incoming to one without outgoing edges."""
+    out = PT.all_paths(A.candidate_edges(spark, sf_dir), 0.55)
+    text = F.array_join(F.transform("path", lambda h: h.cast("string")), " ")
+    return out.select(E, "start", "end", text.alias("path"))
+
+
 @query(
     "g7_shortest_path_labels",
     with_tables(

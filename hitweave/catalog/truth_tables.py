@@ -535,6 +535,23 @@ def j9_restrict_to_cells(spark, sf_dir):
     return kept.select(E, "measurement_id", "local0")
 
 
+@query(
+    "j9_strict_restriction",
+    with_tables(
+        "measurements",
+        "cells",
+        body="""SELECT event_id, measurement_id, local0 FROM measurements m WHERE EXISTS (
+SELECT 1 FROM cells c WHERE c.event_id = m.event_id AND c.hit_id = m.measurement_id)""",
+    ),
+)
+def j9_strict_restriction(spark, sf_dir):
+    """Only cells of measurements in the event, which the strict form demands."""
+    measurements = A.measurements(spark, sf_dir)
+    known = measurements.select(E, F.col("measurement_id").alias("hit_id"))
+    cells = A.cells(spark, sf_dir).join(known, [E, "hit_id"], "left_semi")
+    return D.restrict_to_cells(measurements, cells, strict=True).select(E, "measurement_id", "local0")
+
+
 @query(
     "p7_a3_particle_kinematics",
     with_tables(

@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import write_graph
 from .joins import E, endpoints
 
 
@@ -35,6 +36,30 @@ def require_rows(tables: dict[str, DataFrame]) -> None:
             raise ValueError(f"table {name} is empty")
 
 
+def write_checked_graph(
+    nodes: DataFrame, edges: DataFrame, track_edges: DataFrame, path: str, config: dict, datasets: list[str]
+) -> dict[str, dict[str, int]]:
+    """Write the graph and raise if a dataset has no row in a table or an edge has no weight.
+
+    ``n_<dataset>`` are the rows of a dataset and ``without_<dataset>`` those that lack what the
+    table needs: an id, or for edges a weight. The jobs that write count them, no other job runs.
+    """
+    needed = {"nodes": "hit_id", "edges": "weight", "track_edges": "track_edge_id"}
+    checks = {}
+    for table, column in needed.items():
+        of = {d: F.col("dataset") == d for d in datasets}
+        checks[table] = {f"n_{d}": holds for d, holds in of.items()}
+        checks[table] |= {f"without_{d}": holds & F.col(column).isNull() for d, holds in of.items()}
+    counted = write_graph(nodes, edges, track_edges, path, config, checks)
+    for table, counts in counted.items():
+        for d in datasets:
+            if not counts[f"n_{d}"]:
+                raise ValueError(f"table {table} of {d} is empty")
+            if counts[f"without_{d}"]:
+                raise ValueError(f"{counts[f'without_{d}']} rows of {table} in {d} have no {needed[table]}")
+    return counted
+
+
 def noise_on_track_edges(hits: DataFrame, track_edges: DataFrame) -> DataFrame:
     """Noise rows of hits that some track edge uses; must be empty."""
     used = endpoints(track_edges).select(E, "hit_id")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import safe_slope, wrap_angle
+from ..session import checkpoint_root
 from .joins import E, endpoints, gather, join_per_key
 
 
@@ -65,14 +67,20 @@ def add_edge_type(edges: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def split_by_type(hits: DataFrame, edges: DataFrame, names: list[str]) -> tuple[dict, dict]:
-    """Typed parts of a graph: hits by type name and edges by (src, "to", dst)."""
-    nodes = {n: hits.where(F.col("node_type_name") == n) for n in names}
-    links = {
-        (a, "to", b): edges.where((F.col("node_type_name_src") == a) & (F.col("node_type_name_dst") == b))
-        for a in names
-        for b in names
-    }
-    return nodes, links
+    """Typed parts of a graph: hits by type name and edges by (src, "to", dst).
+
+    Both tables are written once, in a folder for each type, and a part reads its folder alone.
+    """
+    spark = hits.sparkSession
+    path = f"{checkpoint_root(spark)}/typed/{uuid.uuid4().hex}"
+    ends = ["node_type_name_src", "node_type_name_dst"]
+    hits.write.partitionBy("node_type_name").parquet(f"{path}/nodes")
+    edges.write.partitionBy(*ends).parquet(f"{path}/edges")
+    read = lambda name, like: spark.read.schema(like.schema).parquet(f"{path}/{name}").select(*like.columns)
+    nodes, links = read("nodes", hits), read("edges", edges)
+    by_type = {n: nodes.where(F.col("node_type_name") == n) for n in names}
+    by_ends = {(a, "to", b): links.where((F.col(ends[0]) == a) & (F.col(ends[1]) == b)) for a in names for b in names}
+    return by_type, by_ends
 
 
 def undirected_unique(edges: DataFrame, track_edges: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:

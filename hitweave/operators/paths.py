@@ -1,21 +1,25 @@
-"""Paths from sources to sinks of an acyclic graph.
+"""Simple paths from sources to sinks of a directed graph.
 
 :func:`long_path_labels` gives every hit the last long path through it without
 listing paths: it keeps, per hit and length, only the greatest way in and the
-greatest way out. :func:`shortest_paths` lists one path per (source, sink), its rows
-being the pairs a source can reach.
+greatest way out. :func:`all_paths` lists every path, :func:`shortest_paths` one per
+(source, sink), its rows being the pairs a source can reach.
+
+Directed cycles are taken care of by their strongly connected components: the ways
+through a component become nodes of a graph without cycles (:func:`stations`).
 """
 
 from __future__ import annotations
 
-from itertools import count
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .joins import E, endpoints, join_per_key
+from .walk import spread_extreme
 
+#: Paths that are numbered off in one row before they are walked.
+PATH_BLOCK = 4096
 MAX_EDGES = 25
 MIN_NODES = 8
 
@@ -25,55 +29,138 @@ def sources_and_sinks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends.where("_hi = 0").select(E, "hit_id"), ends.where("_lo = 1").select(E, "hit_id")
 
 
-def _best_ways(edges: DataFrame, seeds: DataFrame, near: str, far: str, max_edges: int | None, grow) -> DataFrame:
-    """(event, hit_id, steps, way): the greatest way of each length between the hit and a seed."""
-    front = cut_lineage(seeds.select(E, "hit_id", F.lit(0).alias("steps"), F.array("hit_id").alias("way")))
+# ---- cycles --------------------------------------------------------------------
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that lie on a cycle or between two: all others lose their hits from both ends on. Written."""
+    n, before = edges.count(), None
+    while n and n != before:
+        entered = edges.select(E, F.col("dst").alias("src")).distinct()
+        left = edges.select(E, F.col("src").alias("dst")).distinct()
+        kept = join_per_key(join_per_key(edges, entered, [E, "src"], "left_semi"), left, [E, "dst"], "left_semi")
+        edges, before = cut_lineage(kept), n
+        n = edges.count()
+    return edges
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame | None:
+    """(event, hit_id, scc) of the hits on directed cycles, named by their component's least hit; None without cycles.
+
+    What cannot be on a cycle is trimmed away. Each hit of the rest takes the least hit that
+    reaches it as its colour; hits that reach the least hit of their own colour are its component.
+    """
+    core = _trimmed(edges.where("src <> dst").select(E, "src", "dst"))
+    found = None
+    while core.head(1):
+        nodes = endpoints(core).select(E, "hit_id").distinct()
+        colours = spread_extreme(nodes.withColumn("colour", F.col("hit_id")), core, "src", "dst", "colour", False)
+        ends = [colours.toDF(E, end, f"{end}_colour") for end in ("src", "dst")]
+        both = join_per_key(join_per_key(core, ends[0], [E, "src"]), ends[1], [E, "dst"])
+        inside = cut_lineage(both.where("src_colour = dst_colour").select(E, "src", "dst"))
+        back = F.when(F.col("hit_id") == F.col("colour"), 0).otherwise(1).alias("back")
+        reached = spread_extreme(colours.select(E, "hit_id", "colour", back), inside, "dst", "src", "back", False)
+        done = cut_lineage(reached.where("back = 0").select(E, "hit_id", F.col("colour").alias("scc")))
+        sizes = done.groupBy(E, "scc").count().where("count > 1").select(E, "scc")
+        part = cut_lineage(join_per_key(done, sizes, [E, "scc"], "left_semi").select(E, "hit_id", "scc"))
+        found = part if found is None else found.unionByName(part)
+        gone = [done.select(E, F.col("hit_id").alias(end)) for end in ("src", "dst")]
+        rest = join_per_key(join_per_key(core, gone[0], [E, "src"], "left_anti"), gone[1], [E, "dst"], "left_anti")
+        core = _trimmed(cut_lineage(rest))
+    return found
+
+
+def _passages(edges: DataFrame, members: DataFrame, max_edges: int | None) -> DataFrame:
+    """(event, entry, exit, hits): the simple ways through each component, from where it is entered to where it is left."""
+    ends = [members.toDF(E, end, f"{end}_scc") for end in ("src", "dst")]
+    placed = join_per_key(join_per_key(edges, ends[0], [E, "src"], "left"), ends[1], [E, "dst"], "left")
+    placed = cut_lineage(placed.withColumn("inside", F.coalesce(F.col("src_scc") == F.col("dst_scc"), F.lit(False))))
+    inside = placed.where("inside").select(E, F.col("src").alias("exit"), "dst")
+    entries = placed.where("NOT inside AND dst_scc IS NOT NULL").select(E, F.col("dst").alias("entry")).distinct()
+    exits = placed.where("NOT inside AND src_scc IS NOT NULL").select(E, F.col("src").alias("exit")).distinct()
+    front = cut_lineage(entries.select(E, "entry", F.col("entry").alias("exit"), F.array("entry").alias("hits")))
     whole = front
-    longest = None
-    for step in count(1):
-        if max_edges is not None and step > max_edges:
+    while max_edges is None or max_edges > 0:
+        moved = front.join(inside, [E, "exit"]).where(~F.array_contains("hits", F.col("dst")))
+        if max_edges is not None:
+            moved = moved.where(F.size("hits") <= max_edges)
+        front = cut_lineage(moved.select(E, "entry", F.col("dst").alias("exit"), F.concat("hits", F.array("dst")).alias("hits")))
+        if not front.head(1):
             break
-        # On the way round a cycle a hit comes twice; without cycles no way has more edges than the event has hits.
-        if max_edges is None and step % 16 == 0:
-            longest = longest or endpoints(edges).groupBy(E).agg(F.count_distinct("hit_id").alias("n")).agg(F.max("n")).first()[0]
-            if step > longest:
-                raise ValueError("graph has a directed cycle")
-        moved = front.join(edges.select(E, F.col(near).alias("hit_id"), F.col(far).alias("_to")), [E, "hit_id"])
-        front = cut_lineage(
-            moved.select(E, F.col("_to").alias("hit_id"), grow(F.col("way"), F.col("_to")).alias("way"))
-            .groupBy(E, "hit_id")
-            .agg(F.max("way").alias("way"))
-            .select(E, "hit_id", F.lit(step).alias("steps"), "way")
-        )
+        whole = whole.unionByName(front)
+    return whole.join(exits, [E, "exit"], "left_semi").select(E, "entry", "exit", "hits")
+
+
+def stations(edges: DataFrame, max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(event, station, hits) and (event, src, dst) between stations: an acyclic graph with the same simple paths.
+
+    A hit off all cycles is a station of its own, under its id. A path enters a strongly connected
+    component once and leaves it for good, so each simple way through one is a station too, under
+    a negative number.
+    """
+    edges = edges.where("src <> dst")
+    own = endpoints(edges).select(E, "hit_id").distinct()
+    members = strongly_connected(edges)
+    if members is None:
+        return own.select(E, F.col("hit_id").alias("station"), F.array("hit_id").alias("hits")), edges.select(E, "src", "dst")
+    members = cut_lineage(members)
+    ways = _passages(edges, members, max_edges)
+    numbered = cut_lineage(ways.select(E, (-1 - F.monotonically_increasing_id()).alias("station"), "entry", "exit", "hits"))
+    free = join_per_key(own, members.select(E, "hit_id"), [E, "hit_id"], "left_anti")
+    alone = free.select(E, F.col("hit_id").alias("station"), F.col("hit_id").alias("entry"), F.col("hit_id").alias("exit"), F.array("hit_id").alias("hits"))
+    every = cut_lineage(alone.unionByName(numbered))
+    scc = members.select(E, F.col("hit_id"), "scc")
+    ends = [scc.toDF(E, end, f"{end}_scc") for end in ("src", "dst")]
+    placed = join_per_key(join_per_key(edges, ends[0], [E, "src"], "left"), ends[1], [E, "dst"], "left")
+    between = placed.where("NOT coalesce(src_scc = dst_scc, false)").select(E, F.col("src").alias("exit"), F.col("dst").alias("entry"))
+    links = between.join(every.select(E, "exit", F.col("station").alias("src")), [E, "exit"])
+    links = links.join(every.select(E, "entry", F.col("station").alias("dst")), [E, "entry"])
+    return every.select(E, "station", "hits"), cut_lineage(links.select(E, "src", "dst"))
+
+
+# ---- long paths ----------------------------------------------------------------
+def _best_ways(links: DataFrame, places: DataFrame, seeds: DataFrame, near: str, far: str, max_edges: int | None, grow) -> DataFrame:
+    """(event, station, steps, way): the greatest way of each length between the station and a seed, both included."""
+    steps = (F.size("way") - 1).alias("steps")
+    first = seeds.select(E, F.col("hit_id").alias("station"))
+    front = cut_lineage(first.join(places, [E, "station"]).select(E, "station", F.col("hits").alias("way")).select("*", steps))
+    whole = front
+    while True:
+        moved = front.join(links.select(E, F.col(near).alias("station"), F.col(far).alias("_to")), [E, "station"])
+        moved = moved.select(E, F.col("_to").alias("station"), "way").join(places, [E, "station"])
+        grown = moved.select(E, "station", grow(F.col("way"), F.col("hits")).alias("way")).select("*", steps)
+        if max_edges is not None:
+            grown = grown.where(F.col("steps") <= max_edges)
+        front = cut_lineage(grown.groupBy(E, "station", "steps").agg(F.max("way").alias("way")).select(E, "station", "way", "steps"))
         if not front.head(1):
             break
         whole = whole.unionByName(front)
-    return whole
+    return whole.groupBy(E, "station", "steps").agg(F.max("way").alias("way"))
 
 
 def long_path_labels(edges: DataFrame, min_nodes: int = MIN_NODES, max_edges: int | None = MAX_EDGES) -> DataFrame:
     """(event, hit_id, path) of every hit on an edge; path is null off the long paths.
 
-    Paths run from a hit without incoming to one without outgoing edges, have at
-    least ``min_nodes`` hits and at most ``max_edges`` edges; the last in id order
-    that holds a hit labels it. ``max_edges=None`` sets no bound; a graph with a directed
-    cycle between a source and its hits then raises. A hit has one row per direction and
-    length, each with one way of that length.
+    Paths are simple and run from a hit without incoming to one without outgoing edges, have at
+    least ``min_nodes`` hits and at most ``max_edges`` edges (``None``: any number); the last in
+    id order that holds a hit labels it. Off cycles a hit has one row per direction and length,
+    each with one way of that length; on cycles the ways through a component are listed.
     """
     edges = cut_lineage(edges.select(E, "src", "dst").distinct())
     sources, sinks = sources_and_sinks(edges)
-    into = _best_ways(edges, sources, "src", "dst", max_edges, lambda way, hit: F.concat(way, F.array(hit)))
-    out = _best_ways(edges, sinks, "dst", "src", max_edges, lambda way, hit: F.concat(F.array(hit), way))
-    before = into.select(E, "hit_id", F.col("steps").alias("p"), F.col("way").alias("prefix"))
-    after = out.select(E, "hit_id", F.col("steps").alias("q"), F.col("way").alias("suffix"))
-    through = before.join(after, [E, "hit_id"]).where(F.col("p") + F.col("q") + 1 >= min_nodes)
+    places, links = stations(edges, max_edges)
+    into = _best_ways(links, places, sources, "src", "dst", max_edges, lambda way, hits: F.concat(way, hits))
+    out = _best_ways(links, places, sinks, "dst", "src", max_edges, lambda way, hits: F.concat(hits, way))
+    before = into.select(E, "station", F.col("way").alias("prefix"))
+    after = out.select(E, "station", F.col("way").alias("suffix"))
+    n_hits = F.size("prefix") + F.size("suffix") - F.size("hits")
+    through = before.join(after, [E, "station"]).join(places, [E, "station"]).where(n_hits >= min_nodes)
     if max_edges is not None:
-        through = through.where(F.col("p") + F.col("q") <= max_edges)
-    # The suffix repeats the hit itself, which leaves its order among suffixes unchanged.
-    best = through.groupBy(E, "hit_id").agg(F.max(F.struct("prefix", "suffix")).alias("_best"))
-    path = F.concat("_best.prefix", F.slice("_best.suffix", F.lit(2), F.size("_best.suffix")))
+        through = through.where(n_hits <= max_edges + 1)
+    # The suffix repeats the station itself, which leaves its order among suffixes unchanged.
+    best = through.groupBy(E, "station", "hits").agg(F.max(F.struct("prefix", "suffix")).alias("_best"))
+    path = F.concat("_best.prefix", F.slice("_best.suffix", F.size("hits") + 1, F.size("_best.suffix"))).alias("path")
+    of_hit = best.select(E, F.explode("hits").alias("hit_id"), path).groupBy(E, "hit_id").agg(F.max("path").alias("path"))
     nodes = endpoints(edges).select(E, "hit_id").distinct()
-    return nodes.join(best, [E, "hit_id"], "left").select(E, "hit_id", path.alias("path"))
+    return nodes.join(of_hit, [E, "hit_id"], "left").select(E, "hit_id", "path")
 
 
 def all_simple_path_tracks(
@@ -125,3 +212,60 @@ def shortest_path_labels(paths: DataFrame) -> DataFrame:
     """(event, hit_id, start, end): the first path, by start then end, that holds the hit."""
     rows = paths.select(E, "start", "end", F.explode("path").alias("hit_id"))
     return rows.groupBy(E, "hit_id").agg(F.min(F.struct("start", "end")).alias("_t")).select(E, "hit_id", "_t.*")
+
+
+# ---- all paths -----------------------------------------------------------------
+def path_counts(links: DataFrame, sinks: DataFrame) -> DataFrame:
+    """(event, station, n_paths): the number of ways from each station to a sink, of an acyclic graph. Written."""
+    count_type = "decimal(38,0)"
+    front = cut_lineage(sinks.select(E, F.col("hit_id").alias("station"), F.lit(1).cast(count_type).alias("n")))
+    whole = front
+    while True:
+        after = front.select(E, F.col("station").alias("dst"), "n")
+        more = join_per_key(links, after, [E, "dst"]).groupBy(E, F.col("src").alias("station"))
+        front = cut_lineage(more.agg(F.sum("n").cast(count_type).alias("n")))
+        if not front.head(1):
+            break
+        whole = whole.unionByName(front)
+    return cut_lineage(whole.groupBy(E, "station").agg(F.sum("n").cast(count_type).alias("n_paths")))
+
+
+def all_paths(edges: DataFrame, cut: float, block: int = PATH_BLOCK) -> DataFrame:
+    """(event, start, end, path): every simple path over ``score > cut`` from a hit without incoming to one without outgoing edges.
+
+    The ways from each hit are counted first. A path is then a source and a number below its
+    count, and each step of it follows from the number: the choices at a hit divide the numbers
+    into ranges. So the paths are dealt out evenly before any of them is walked.
+    """
+    edges = cut_lineage(edges.where(F.col("score") > cut).select(E, "src", "dst").distinct())
+    sources, sinks = sources_and_sinks(edges)
+    places, links = stations(edges)
+    counts = path_counts(links, sinks)
+    ranked = join_per_key(links, counts.select(E, F.col("station").alias("dst"), "n_paths"), [E, "dst"])
+    earlier = Window.partitionBy(E, "src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.coalesce(F.sum("n_paths").over(earlier), F.lit(0)).cast("bigint").alias("low")
+    choices = cut_lineage(ranked.select(E, F.col("src").alias("station"), "dst", low, F.col("n_paths").cast("bigint").alias("n")))
+    from_ = counts.join(sources.select(E, F.col("hit_id").alias("station")), [E, "station"], "left_semi")
+    ends = F.col("n_paths").cast("bigint")
+    starts = from_.select(E, "station", ends.alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), ends - 1, F.lit(block).cast("bigint"))).alias("at"))
+    numbers = F.explode(F.sequence("at", F.least(F.col("at") + block, F.col("n")) - 1)).alias("number")
+    dealt = starts.repartition(E, "station", "at").select(E, "station", numbers)
+    front = cut_lineage(dealt.join(places, [E, "station"]).select(E, F.col("station").alias("start"), "station", "number", F.col("hits").alias("path")))
+    done = None
+    while front.head(1):
+        step = join_per_range(front, choices).join(places.select(E, F.col("station").alias("dst"), "hits"), [E, "dst"])
+        moved = step.select(E, "start", F.col("dst").alias("station"), (F.col("number") - F.col("low")).alias("number"), F.concat("path", "hits").alias("path"))
+        marked = moved.join(sinks.select(E, F.col("hit_id").alias("station"), F.lit(True).alias("_last")), [E, "station"], "left")
+        marked = cut_lineage(marked)
+        ended = marked.where("_last").select(E, "start", F.col("station").alias("end"), "path")
+        done = ended if done is None else done.unionByName(ended)
+        front = marked.where("_last IS NULL").drop("_last")
+    if done is None:
+        return front.select(E, "start", F.col("station").alias("end"), "path")
+    return done
+
+
+def join_per_range(front: DataFrame, choices: DataFrame) -> DataFrame:
+    """Each path's row beside the choice in whose range its number lies."""
+    met = front.join(choices, [E, "station"])
+    return met.where((F.col("number") >= F.col("low")) & (F.col("number") < F.col("low") + F.col("n")))

@@ -121,7 +121,7 @@ def _walk_component(low: float, add: float):
 
 
 # ---- large components in rounds of joins ---------------------------------------
-def _spread_extreme(values: DataFrame, edges: DataFrame, start: str, end: str, column: str, greatest: bool) -> DataFrame:
+def spread_extreme(values: DataFrame, edges: DataFrame, start: str, end: str, column: str, greatest: bool) -> DataFrame:
     """Push a value along edges from ``start`` to ``end`` until nothing changes, keeping the extreme."""
     pick, agg = (F.greatest, F.max) if greatest else (F.least, F.min)
     step = 1 if greatest else 0
@@ -164,7 +164,7 @@ def _chosen_edges(edges: DataFrame, low: float, add: float) -> DataFrame:
 def _road_lengths(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Nodes with the length of their longest road and the next hit on its last one."""
     lengths = nodes.select(E, "hit_id", F.lit(1).cast("bigint").alias("length"))
-    lengths = _spread_extreme(lengths, chosen, "dst", "src", "length", True)
+    lengths = spread_extreme(lengths, chosen, "dst", "src", "length", True)
     after = lengths.select(E, F.col("hit_id").alias("dst"), F.col("length").alias("_next"))
     # Among the next hits of greatest length the last in choice order: least score, greatest id.
     last = F.max_by(F.col("dst"), F.struct("_next", (-F.col("score")).alias("s"), "dst")).alias("next")
@@ -176,13 +176,13 @@ def walk_by_rounds(edges: DataFrame, low: float, add: float) -> DataFrame:
     """(event, hit_id, track_id) by rounds; any component size."""
     edges = cut_lineage(edges.select(E, "src", "dst", "score"))
     nodes = endpoints(edges).select(E, "hit_id").distinct()
-    level = _spread_extreme(nodes.withColumn("level", F.lit(0).cast("bigint")), edges, "src", "dst", "level", True)
+    level = spread_extreme(nodes.withColumn("level", F.lit(0).cast("bigint")), edges, "src", "dst", "level", True)
     nodes = cut_lineage(level.withColumn("turn", F.struct("level", "hit_id")))
     result = None
     while True:
         usable = edges.where((F.col("score") > low) | (F.col("score") > add))
-        earliest = _spread_extreme(nodes.select(E, "hit_id", "turn"), usable, "src", "dst", "turn", False)
-        reached = _spread_extreme(earliest, usable, "dst", "src", "turn", False)
+        earliest = spread_extreme(nodes.select(E, "hit_id", "turn"), usable, "src", "dst", "turn", False)
+        reached = spread_extreme(earliest, usable, "dst", "src", "turn", False)
         # A hit may start when nothing it can reach is reachable from an earlier hit.
         starts = reached.where("turn.hit_id = hit_id").select(E, "hit_id")
         chosen = cut_lineage(_chosen_edges(usable, low, add))

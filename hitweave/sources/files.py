@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import DRAW_BITS, draw
 from ..operators.joins import E
 
 EVENT_NUMBER = "([0-9]+)[^0-9]*$"
@@ -68,15 +69,14 @@ def split_events(
 ) -> DataFrame:
     """Exact-size random split of the distinct events: (event_id, dataset).
 
-    Events are ordered by a seeded hash. Sizes are ``int(n * fraction)`` or the
+    Events are ordered by a seeded draw that any engine can repeat. Sizes are ``int(n * fraction)`` or the
     given counts; the last dataset takes the rest when its size is ``None``.
     """
     ids = events.select(E).distinct()
     n = ids.count()
     sizes = counts if counts is not None else {k: None if f is None else int(n * f) for k, f in fractions.items()}
-    order = F.xxhash64(E, F.lit(seed))
-    # Cut points by rank: the hash range is cut into buckets so no task sorts all events.
-    bucketed = ids.withColumn("_h", order).withColumn("_bucket", F.shiftright("_h", 54))
+    # Cut points by rank: the range of the draws is cut into buckets so no task sorts all events.
+    bucketed = ids.withColumn("_h", draw(E, seed=seed)).withColumn("_bucket", F.shiftright("_h", DRAW_BITS - 10))
     totals = bucketed.groupBy("_bucket").count()
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.joins import E
@@ -16,8 +17,44 @@ def write_event_csv(df: DataFrame, path: str) -> None:
     df.repartition(*keys).write.partitionBy(*keys).mode("overwrite").option("header", "true").csv(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, track_edges: DataFrame, path: str, config: dict) -> None:
-    """Nodes, edges and track edges as Parquet, each row carrying the configuration it was made with."""
+def write_event_files(df: DataFrame, path: str, name: str, kind: str, order: list[str], columns: list[str] | None = None) -> None:
+    """One file per event in ``path``, called ``name`` with the event's number, rows in ``order``, all columns or those named.
+
+    Spark writes the files of all events into a folder beside their own, commits them, and only then
+    are they renamed, so a failed job leaves no file under a final name; writing again replaces them.
+    A file is written by one task, which sorts its event on disk where memory does not hold it.
+    """
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    hidden = f"{path}/_writing-{uuid.uuid4().hex}"
+    dealt = df.repartition(E).sortWithinPartitions(E, *order)
+    # Dropping a column keeps the order of the rows.
+    dealt = dealt.select(E, *(columns or [c for c in df.columns if c != E]))
+    files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        dealt.write.partitionBy(E).option("header", "true").format(kind).save(hidden)
+        listing = files.listFiles(hadoop.Path(hidden), True)
+        while listing.hasNext():
+            found = listing.next().getPath()
+            folder = found.getParent().getName()
+            if folder.startswith(f"{E}="):
+                target = hadoop.Path(path, name.format(int(folder.removeprefix(f"{E}="))))
+                files.delete(target, False)
+                if not files.rename(found, target):
+                    raise OSError(f"{found} could not be renamed to {target}")
+    finally:
+        files.delete(hadoop.Path(hidden), True)
+
+
+def write_graph(
+    nodes: DataFrame, edges: DataFrame, track_edges: DataFrame, path: str, config: dict, checks: dict[str, dict[str, Column]] | None = None
+) -> dict[str, dict[str, int]]:
+    """Nodes, edges and track edges as Parquet, each row carrying the configuration it was made with.
+
+    Returns, for each table, the number of rows written and of the rows for which each of its
+    ``checks`` holds; they are counted by the jobs that write.
+    """
+    counted = {}
     provenance = F.lit(json.dumps(config, sort_keys=True))
     for name, df in (("nodes", nodes), ("edges", edges), ("track_edges", track_edges)):
         keys = ["dataset"] if "dataset" in df.columns else []
@@ -25,7 +62,12 @@ def write_graph(nodes: DataFrame, edges: DataFrame, track_edges: DataFrame, path
         # and keeps row-group statistics on event_id tight.
         second = next(c for c in ("hit_id", "src") if c in df.columns)
         out = df.withColumn("config", provenance).repartitionByRange(*keys, E, second).sortWithinPartitions(*keys, E)
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        found = {c: F.count_if(holds) for c, holds in (checks or {}).get(name, {}).items()}
+        out = out.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[n.alias(c) for c, n in found.items()])
         out.write.partitionBy(*keys).mode("overwrite").parquet(f"{path}/{name}")
+        counted[name] = seen.get
+    return counted
 
 
 def track_lines(track_hits: DataFrame) -> DataFrame:
@@ -44,6 +86,11 @@ def write_track_lines(track_hits: DataFrame, path: str) -> None:
     lines.select(E, "value").write.partitionBy(E).mode("overwrite").text(path)
 
 
+def write_track_files(track_hits: DataFrame, path: str) -> None:
+    """One text file ``event000000001.txt`` per event, a line for each track in the order of their ids."""
+    write_event_files(track_lines(track_hits), path, "event{:09d}.txt", "text", ["track_id"], ["value"])
+
+
 def summary_lines(summary: DataFrame) -> DataFrame:
     """Eight text lines (line, value) of a one-row summary table."""
 

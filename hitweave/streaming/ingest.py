@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import E, join_per_key
+from ..session import cut_lineage
 
 RUN, BATCH, ORIGIN = "run", "batch_id", "origin"
 #: Spark's readers pass over folders whose names begin with an underscore.
@@ -40,37 +41,44 @@ def _folder(path: str, run: str, batch: int) -> str:
 
 
 def parts_of(df: DataFrame) -> DataFrame:
-    """(event, origin, n_rows, digests) of each part; the digests do not depend on the order of rows."""
+    """(event, origin, n_rows, digests) of each part; the digests depend on the rows and how often each comes, not on their order."""
     columns = sorted(c for c in df.columns if c not in (ORIGIN, RUN, BATCH))
-    one, two = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
-    return df.groupBy(E, ORIGIN).agg(
-        F.count("*").alias("n_rows"), F.bit_xor(one).alias("digest"), F.bit_xor(two).alias("digest_2")
-    )
+    # Sums, unlike exclusive or, do not cancel rows that come twice; decimals hold them exactly.
+    one, two = (F.sum(h.cast("decimal(20,0)")).cast("decimal(38,0)") for h in (F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)))
+    return df.groupBy(E, ORIGIN).agg(F.count("*").alias("n_rows"), one.alias("digest"), two.alias("digest_2"))
 
 
 def _note(spark: SparkSession, path: str, run: str, batch: int) -> None:
     """Enter a written batch into the ledger."""
     rows = spark.read.parquet(_folder(path, run, batch))
-    parts_of(rows).select(*PART).write.mode("overwrite").parquet(_folder(f"{path}/{LEDGER}", run, batch))
+    parts_of(rows).select(*PART).sortWithinPartitions(E).write.mode("overwrite").parquet(_folder(f"{path}/{LEDGER}", run, batch))
+
+
+def _batches(spark: SparkSession, path: str) -> set[tuple[str, int]]:
+    """(run, batch) of the folders whose write has ended, by their names alone."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{path}/{RUN}=*/{BATCH}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    folders = [str(f.getPath().getParent()) for f in found or []]
+    names = [f.rsplit("/", 2)[1:] for f in folders]
+    return {(run.removeprefix(f"{RUN}="), int(batch.removeprefix(f"{BATCH}="))) for run, batch in names}
 
 
-def written_parts(spark: SparkSession, path: str, run: str, batch: int) -> DataFrame | None:
-    """The parts that batches other than this one have written.
+def written_parts(spark: SparkSession, path: str, run: str, batch: int, events: tuple | None = None) -> DataFrame | None:
+    """The parts that batches other than this one have written, of the range of ``events`` (first, last) if given.
 
-    A batch whose rows were written but not entered, as after a crash between the two, is
-    entered first. Batches are found from the folders, without reading rows.
+    A batch whose rows were written but not entered, as after a crash between the two, is entered
+    first. Batches are told from the names of their folders. The ledger is sorted by event, so that
+    a range of events reads only the row groups that hold it.
     """
-    rows = _read(spark, path)
-    if rows is None:
-        return None
-    batches = {(r[RUN], r[BATCH]) for r in rows.select(RUN, BATCH).distinct().collect()}
-    ledger = _read(spark, f"{path}/{LEDGER}")
-    entered = set() if ledger is None else {(r[RUN], r[BATCH]) for r in ledger.select(RUN, BATCH).distinct().collect()}
-    for other in sorted(batches - entered - {(run, batch)}):
+    entered = _batches(spark, f"{path}/{LEDGER}")
+    for other in sorted(_batches(spark, path) - entered - {(run, batch)}):
         _note(spark, path, *other)
     ledger = _read(spark, f"{path}/{LEDGER}")
     if ledger is None:
         return None
+    if events is not None:
+        ledger = ledger.where(F.col(E).between(*events))
     return ledger.where((F.col(RUN) != run) | (F.col(BATCH) != batch)).select(*PART).distinct()
 
 
@@ -84,8 +92,9 @@ def write_new_events(df: DataFrame, path: str, batch: int, run: str = "batch") -
     """
     df = df if ORIGIN in df.columns else df.withColumn(ORIGIN, F.lit(""))
     # The same part from two files of this batch is taken once.
-    new = parts_of(df).groupBy(*PART).agg(F.min(ORIGIN).alias(ORIGIN))
-    done = written_parts(df.sparkSession, path, run, batch)
+    new = cut_lineage(parts_of(df).groupBy(*PART).agg(F.min(ORIGIN).alias(ORIGIN)))
+    first, last = new.agg(F.min(E), F.max(E)).first()
+    done = None if first is None else written_parts(df.sparkSession, path, run, batch, (first, last))
     if done is not None:
         new = new.join(done, PART, "left_anti")
     rows = join_per_key(df, new.select(E, ORIGIN), [E, ORIGIN], "left_semi")

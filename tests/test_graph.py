@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,33 @@ def test_module_map_cuts_are_strict(spark, rows):
     assert rows(build(z0max_23=1.0)) == []
 
 
+@pytest.mark.parametrize("low,high", [(-0.3, 0.2), (-9.0, 9.0), (2.9, 3.5)])
+def test_doublets_by_bins_of_the_angle(spark, low, high):
+    """The same pairs as by testing all, also where the angle passes pi."""
+    rng = np.random.default_rng(int(abs(low) * 1000))
+    phi = [*np.round(rng.uniform(-np.pi, np.pi, 60), 3), np.pi, -np.pi, 3.14, -3.14, 3.1, -3.1]
+    data = [(1, i, 1 + i % 2, 1.0 + i % 2, 0.0, 0.0, 0.0, 0.0, float(p)) for i, p in enumerate(phi)]
+    h = spark.createDataFrame(data, "event_id long, hit_id long, module_id long, r double, x double, y double, z double, eta double, phi double")
+    cuts = {f"{n}{s}": b for n in ("z0", "phiSlope", "deta") for s, b in (("min", -99.0), ("max", 99.0))}
+    for first, suffix in ((True, "_12"), (False, "_23")):
+        other, mids = ("mid_1", (1, 2, 2)) if first else ("mid_3", (2, 2, 1))
+        rows = [(*mids, *cuts.values(), low, high), (mids[0], 2, mids[2], *cuts.values(), low, (low + high) / 2)]
+        names = [f"{c}{suffix}" for c in [*cuts, "dphimin", "dphimax"]]
+        maps = spark.createDataFrame(rows, "mid_1 long, mid_2 long, mid_3 long, " + ", ".join(f"{n} double" for n in names)).select("mid_2", other, *names)
+        want = []
+        for _, i, m, *_, p in data:
+            for _, j, n, *_, q in data:
+                if (m, n) == (2, 1):  # middle i, outer j
+                    d = p - q if first else q - p
+                    d = d - 2 * np.pi if d > np.pi else d + 2 * np.pi if d < -np.pi else d
+                    want += [(i, j)] * ((low < d < high) + (low < d < (low + high) / 2))
+        found = module_map.doublets(h, maps, first)
+        assert sorted((r.hit_id_m, r.hit_id_o) for r in found.collect()) == sorted(want)
+        if high - low < 0.6 and want:
+            work = module_map.doublet_work(h, maps, first).first()
+            assert work.n_compared < 0.6 * work.n_all
+
+
 def test_hooks():
     @hooks.register("processing", "test_double")
     def double(h, p, t):

@@ -1,6 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from hitweave.operators import checks
 from hitweave.sources import files, nested, schemas, sinks, text_dumps
 
 
@@ -86,6 +89,38 @@ def test_sinks_round_trip(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/tracks").collect()) == ["1 3", "9"]
 
 
+def test_one_file_per_event(spark, tmp_path):
+    path = f"{tmp_path}/files"
+    hits = spark.createDataFrame([(e, h, 0.5 * h) for e in (1, 23) for h in (4, 2, 9)], "event_id long, hit_id long, z double")
+    sinks.write_event_files(hits.repartition(3), path, "event{:09d}-truth.csv", "csv", ["hit_id"])
+    names = lambda: sorted(n for n in os.listdir(path) if not n.startswith("."))
+    assert names() == ["event000000001-truth.csv", "event000000023-truth.csv"]
+    assert open(f"{path}/event000000023-truth.csv").read().split() == ["hit_id,z", "2,1.0", "4,2.0", "9,4.5"]
+    # written again: the file is replaced; a failing job leaves what was there and nothing else
+    sinks.write_event_files(hits.where("hit_id = 2"), path, "event{:09d}-truth.csv", "csv", ["hit_id"])
+    bad = hits.withColumn("z", F.when(F.col("hit_id") == 9, F.raise_error(F.lit("broken")).cast("double")).otherwise(F.col("z")))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_event_files(bad, path, "event{:09d}-new.csv", "csv", ["hit_id"])
+    assert names() == ["event000000001-truth.csv", "event000000023-truth.csv"]
+    assert open(f"{path}/event000000001-truth.csv").read().split() == ["hit_id,z", "2,1.0"]
+    tracks = spark.createDataFrame([(7, 3, 0), (7, 1, 0), (7, 2, -1), (7, 9, 4), (7, 8, 10)], "event_id long, hit_id long, track_id long")
+    sinks.write_track_files(tracks.repartition(4), f"{tmp_path}/tracks")
+    assert open(f"{tmp_path}/tracks/event000000007.txt").read() == "1 3\n9\n8\n"
+
+
+def test_written_graph_is_checked(spark, tmp_path):
+    hits = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "dataset string, event_id long, hit_id long")
+    edges = spark.createDataFrame([("a", 1, 0, 1, 1.0), ("b", 2, 0, 1, None)], "dataset string, event_id long, src long, dst long, weight double")
+    tracks = spark.createDataFrame([("a", 1, 0, 1, 5), ("b", 2, 0, 1, 6)], "dataset string, event_id long, src long, dst long, track_edge_id long")
+    with pytest.raises(ValueError, match="1 rows of edges in b have no weight"):
+        checks.write_checked_graph(hits, edges, tracks, f"{tmp_path}/g1", {}, ["a", "b"])
+    full = edges.fillna(1.0, ["weight"])
+    with pytest.raises(ValueError, match="nodes of c is empty"):
+        checks.write_checked_graph(hits, full, tracks, f"{tmp_path}/g2", {}, ["a", "c"])
+    counted = checks.write_checked_graph(hits, full, tracks, f"{tmp_path}/g3", {}, ["a", "b"])
+    assert counted["edges"] == {"n_rows": 2, "n_a": 1, "n_b": 1, "without_a": 0, "without_b": 0}
+
+
 def test_coerce_leaves_other_columns(spark):
     df = spark.createDataFrame([("7", "x")], "cluster_index_1 string, other string")
     out = schemas.coerce(df, schemas.SPACEPOINT_TYPES)

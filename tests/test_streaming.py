@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from hitweave.streaming.ingest import ingest_stream, write_new_events
+from hitweave.streaming.ingest import ingest_stream, write_new_events, written_parts
 
 SCHEMA = "event_id long, hit_id long"
 
@@ -23,6 +23,32 @@ def test_batches_skip_written_events(spark, tmp_path):
     assert counts(spark, out) == [(1, 3), (2, 3), (3, 3)]
 
 
+def test_rows_that_come_twice(spark, tmp_path):
+    """Parts {a, a} and {b, b} of one event differ, as do {a, a, c} and {b, b, c}; both stay."""
+    out = f"{tmp_path}/out"
+    rows = lambda *hits: spark.createDataFrame([(1, h) for h in hits], SCHEMA)
+    parts = [rows(5, 5), rows(7, 7), rows(5, 5, 1), rows(7, 7, 1), rows(5)]
+    for batch, part in enumerate(parts):
+        write_new_events(part, out, batch)
+    assert counts(spark, out) == [(1, 11)]
+    for batch, part in enumerate(parts):
+        write_new_events(part, out, 10 + batch)
+    assert counts(spark, out) == [(1, 11)]
+    both = parts[0].withColumn("origin", F.lit("x")).unionByName(parts[1].withColumn("origin", F.lit("y")))
+    write_new_events(both, f"{tmp_path}/other", 0)
+    assert counts(spark, f"{tmp_path}/other") == [(1, 4)]
+
+
+def test_a_batch_looks_at_its_own_events(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    write_new_events(events(spark, 1, 50), out, 0)
+    write_new_events(events(spark, 90), out, 1)
+    near = written_parts(spark, out, "batch", 7, (40, 60))
+    assert [r.event_id for r in near.collect()] == [50]
+    write_new_events(events(spark, 50, 60), out, 2)
+    assert counts(spark, out) == [(1, 3), (50, 3), (60, 3), (90, 3)]
+
+
 def test_crash_before_the_ledger(spark, tmp_path):
     out = f"{tmp_path}/out"
     events(spark, 1).withColumn("origin", F.lit("")).write.parquet(f"{out}/run=a/batch_id=0")

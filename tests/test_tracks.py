@@ -175,7 +175,8 @@ def all_paths(edges):
         if path[-1] not in out:
             found.append(path)
         for b in out.get(path[-1], []):
-            go([*path, b])
+            if b not in path:
+                go([*path, b])
 
     for a in out:
         if a not in heads:
@@ -202,9 +203,67 @@ def test_long_paths_without_a_bound(spark, rows):
     out = PT.long_path_labels(spark.createDataFrame(chain, EDGE), max_edges=None)
     assert out.where("size(path) = 29").count() == 29
     assert PT.long_path_labels(spark.createDataFrame(chain, EDGE)).where("path is not null").count() == 0
-    cycle = [(1, 0, 1, 1.0), (1, 1, 2, 1.0), (1, 2, 1, 1.0)]
-    with pytest.raises(ValueError, match="cycle"):
-        PT.long_path_labels(spark.createDataFrame(cycle, EDGE), max_edges=None)
+
+
+def cyclic_graph(seed, nodes=13, edges=20, back=5):
+    rng = np.random.default_rng(seed)
+    out = set()
+    for event in (1, 2):
+        for _ in range(edges):
+            a, b = sorted(rng.choice(nodes, 2, replace=False))
+            out.add((event, int(a), int(b)))
+        for _ in range(back):
+            a, b = sorted(rng.choice(nodes, 2, replace=False))
+            out.add((event, int(b), int(a)))
+    return [(*e, 1.0) for e in sorted(out)]
+
+
+def reachable(pairs):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    found = {}
+    for a in out:
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        found[a] = seen
+    return found
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_paths_of_graphs_with_cycles(spark, seed):
+    data = cyclic_graph(seed)
+    df = spark.createDataFrame(data, EDGE)
+    scc = PT.strongly_connected(df)
+    got = {} if scc is None else {(r.event_id, r.hit_id): r.scc for r in scc.collect()}
+    labels = {(r.event_id, r.hit_id): r.path for r in PT.long_path_labels(df, min_nodes=3, max_edges=7).collect()}
+    listed = sorted((r.event_id, r.path) for r in PT.all_paths(df, 0.0).collect())
+    want_listed = []
+    for event in (1, 2):
+        pairs = [(a, b) for e, a, b, _ in data if e == event]
+        reach = reachable(pairs)
+        on_cycle = [a for a in reach if a in reach[a]]
+        assert {h: s for (e, h), s in got.items() if e == event} == {a: min(b for b in on_cycle if b in reach[a] and a in reach[b]) for a in on_cycle}
+        want = {h: None for p in pairs for h in p}
+        sinks = want.keys() - {a for a, _ in pairs}
+        paths = [p for p in all_paths(pairs) if p[-1] in sinks]
+        want_listed += [(event, p) for p in paths]
+        for path in paths:
+            if 3 <= len(path) <= 8:
+                want.update(dict.fromkeys(path, path))
+        assert {h: p for (e, h), p in labels.items() if e == event} == want
+    assert listed == sorted(want_listed) and got
+
+
+def test_a_cycle_beside_a_path(spark):
+    edges = spark.createDataFrame([(1, 0, 1, 1.0), (1, 1, 2, 1.0), (1, 2, 1, 1.0), (1, 2, 3, 1.0)], EDGE)
+    for bound in (25, None):
+        assert PT.long_path_labels(edges, min_nodes=8, max_edges=bound).where("path IS NOT NULL").count() == 0
+        assert {tuple(r.path) for r in PT.long_path_labels(edges, min_nodes=4, max_edges=bound).collect()} == {(0, 1, 2, 3)}
 
 
 def test_shortest_paths(spark):
