@@ -256,10 +256,7 @@ def near_copies(
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_vector = join_many(placed.select("vector", "component", "n_links"), least, ["component"])
     out = join_many(rows, of_vector.select("vector", "n_links", "component_id"), ["vector"], "left")
-    known = F.col("n_links").isNotNull()
-    return out.select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-        F.when(known, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
-        F.coalesce(F.when(known, F.col("vec_id") == F.col("component_id")).otherwise(F.lit(True)), F.lit(False)).alias("kept"),
-    )
+    component = F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
+    n_links = F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")
+    kept = F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
+    return out.select("vec_id", n_links, component.alias("component_id"), kept)
