@@ -45,6 +45,7 @@ def _fold() -> np.ndarray:
 
 
 FOLD = _fold()
+#: Terms, their groups, occurrences and documents.
 Runs = tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -63,7 +64,8 @@ def cut_terms(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray,
     while at < size:
         to = min(at + STEP, size)
         while to < size and FOLD[data[to - 1]] and FOLD[data[to]]:  # do not cut a term
-            to = min(to + 64, size) if FOLD[data[to : to + 64]].all() else to + int(np.argmin(FOLD[data[to : to + 64]]))
+            ahead = FOLD[data[to : to + STEP]]
+            to += len(ahead) if ahead.all() else int(np.argmin(ahead))
         folded = FOLD[data[at:to]]
         inside = folded != 0
         edges = ends[(ends > at) & (ends < to)] - at  # a text ends before these places
@@ -194,7 +196,7 @@ def _pair_sums(rows: DataFrame, sources: DataFrame, kept: DataFrame) -> DataFram
     chunk = F.pmod(F.xxhash64("term"), F.col("chunks")).alias("chunk")
     blocks = sources.groupBy("lang").agg((F.floor(F.max("number") / SOURCE_BLOCK) + 1).alias("blocks"))
     shape = kept.groupBy("lang").agg((F.floor(F.count("*") / TERM_BLOCK) + 1).alias("chunks")).join(blocks, "lang")
-    sizes = kept.join(shape, "lang").select("lang", chunk).groupBy("lang", "chunk").agg(F.count("*").alias("size"))
+    sizes = join_many(kept.select("lang", "term"), shape, ["lang"]).select("lang", chunk).groupBy("lang", "chunk").agg(F.count("*").alias("size"))
     own = F.floor(F.col("number") / SOURCE_BLOCK)
     meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
     no_term, no_size = F.lit(None).cast("string"), F.lit(None).cast("bigint")
