@@ -210,6 +210,19 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The row of ``docs`` with the least id of each component; equal rows are one, a null id comes last."""
     found = near_duplicates(docs, doc_id, text)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
-    kept = cut_lineage(found.groupBy("component").agg(best.alias("best")).select(F.col("best.row").alias("_row")))
-    marked = docs.drop("_row").withColumn("_row", row_key(F.col(doc_id), F.col(text)))
-    return marked.join(kept, "_row").dropDuplicates(["_row"]).drop("_row")
+    kept = cut_lineage(found.groupBy("component").agg(best.alias("best")).select("best.doc_id", "best.row"))
+    return keep_rows(docs, kept, doc_id, text)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (doc_id, row) names, equal ones once.
+
+    Row and id name a row together, and equal rows are told by two further words, so that two
+    documents whose :func:`row_key` is the same by chance both stay. Columns _row, _doc and _twin of the input go.
+    """
+    known = F.coalesce(F.col(text), F.lit(""))
+    inner = docs.drop("_row", "_doc", "_twin")
+    marked = inner.withColumn("_row", row_key(F.col(doc_id), F.col(text))).withColumn("_twin", F.xxhash64(F.lit(11), known))
+    names = kept.select(F.col("row").alias("_row"), F.col("doc_id").alias("_doc"))
+    met = marked.join(names, "_row").where(F.col(doc_id).cast("bigint").eqNullSafe(F.col("_doc")))
+    return met.dropDuplicates(["_row", "_doc", "_twin"]).drop("_row", "_doc", "_twin")
