@@ -81,6 +81,9 @@ def join_many(rows: DataFrame, values: DataFrame, on: list[str], how: str = "inn
 
     The extra key is always 0 but no literal: both sides become plain shuffles of this
     join, which the adaptive skew join cuts where one key holds a large part of the rows.
+    Its name is one that neither side has.
     """
-    zero = F.pmod(F.xxhash64(*on), F.lit(1))
-    return rows.withColumn("_zero", zero).join(values.withColumn("_zero", zero), [*on, "_zero"], how).drop("_zero")
+    zero, name = F.pmod(F.xxhash64(*on), F.lit(1)), "_zero"
+    while name in {c.lower() for c in (*rows.columns, *values.columns)}:
+        name += "_"
+    return rows.withColumn(name, zero).join(values.withColumn(name, zero), [*on, name], how).drop(name)

@@ -124,11 +124,13 @@ def decontaminate(
     window: int = WINDOW,
     gram: int = GRAM,
 ) -> DataFrame:
-    """Every row of ``docs``, with all its columns and ``_report`` (n_words, n_hit, n_items, items, spans).
+    """Every row of ``docs``, with its columns and ``_report`` (n_words, n_hit, n_items, items, spans).
 
     ``items`` are the sorted ids, as strings, of the items with an occurring window;
-    ``spans`` the (start, end) word ranges of the windows found.
+    ``spans`` the (start, end) word ranges of the windows found. Columns _report, _k1 and _k2
+    of the input give way; those of any other name stay, and those of ``benchmark`` do not matter.
     """
+    docs = docs.drop("_report", *KEY)
     per_item = cut_lineage(benchmark_windows(benchmark, item_id, item_text, window))
     distinct = per_item.select("span", "gram").distinct()
     windows = cut_lineage(distinct.withColumn("window_id", F.monotonically_increasing_id()))

@@ -65,5 +65,16 @@ def test_few_items(spark, items):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_names_that_clash(spark):
+    """Own columns give way, in any case of letters; a column _zero stays."""
+    docs = [(1, "a short item here", 5, "x", "y", "z"), (2, None, 6, "x", "y", "z"), (1, "other", None, "x", "y", "z")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _zero int, _k1 string, _K2 string, _report string")
+    b = spark.createDataFrame([(1, "Short item", 9)], "item_id long, text string, _report int")
+    found = W.decontaminate(d, b)
+    assert found.columns == ["doc_id", "text", "_zero", "_report"]
+    got = sorted((r.doc_id, r._zero, r._report.n_hit, list(r._report["items"])) for r in found.where("_zero is not null").collect())
+    assert got == [(1, 5, 2, ["1"]), (2, 6, 0, [])] and found.count() == 3
+
+
 def test_no_documents(spark):
     assert run(spark, [], [(1, "some words of an item")]) == []
