@@ -147,10 +147,14 @@ def train(texts: list[str], labels: list[str], landmarks: int = LANDMARKS_PER_LA
 
 
 def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int) -> list:
-    """(text, lang): up to ``per_language`` rows of each language outside the held-out fifth, drawn by a hash of the text."""
-    known = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    rows = known.where(F.col(text).isNotNull())
+    """(text, lang): up to ``per_language`` distinct texts of each language outside the held-out fifth, drawn by a hash of the text.
+
+    The share that is drawn follows the number of distinct texts, so that a language of many
+    copies is learnt from as many texts as one without.
+    """
+    rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    distinct = F.approx_count_distinct(F.xxhash64(F.col(text))).alias("n")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(distinct).collect()}
     if not sizes:
         return []
     draw = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 32)) / float(1 << 32)

@@ -60,6 +60,19 @@ def test_odd_rows(spark):
     assert K.identify(docs.limit(0)).count() == 0
 
 
+def test_language_of_copies_is_learnt(spark):
+    """A language of which nearly all rows are copies, or have no text, is learnt like any other."""
+    german = ["der Hund und die Katze", "das Haus ist nicht weit", "wir sind schon immer hier"]
+    rows = spark.range(12_000).selectExpr("id", f"array('{"', '".join(german)}')[id % 3] text", "'de' lang")
+    rows = rows.unionAll(spark.range(2000).selectExpr("id", "concat('the dog number ', id, ' and the cat') text", "'en' lang"))
+    rows = rows.unionAll(spark.range(5000).selectExpr("id", "CAST(null AS string) text", "'fr' lang"))
+    sample = K.labelled_sample(rows, "id", "text", "lang", 300)
+    assert {r["text"] for r in sample if r["lang"] == "de"} == set(german)
+    assert sum(r["lang"] == "en" for r in sample) == 300 and {r["lang"] for r in sample} == {"de", "en"}
+    found = K.identify(rows.where("text is not null"), doc_id="id")
+    assert found.where("_lang <> lang").count() == 0
+
+
 def test_only_the_text_decides(spark):
     rows = [(i, "the cat %d" % (i % 3), "en") for i in range(30)] + [(i, "der hund %d" % (i % 3), "de") for i in range(30, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
