@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards of equal row counts.
 
-Pass one scatters the records by a seeded hash of their id into buckets that fit a task's
-memory. Pass two shuffles each bucket with Fisher-Yates and writes it. Buckets lie end to
+Pass one scatters the records by a seeded hash of all their columns into buckets that fit a
+task's memory. Pass two shuffles each bucket with Fisher-Yates and writes it. Buckets lie end to
 end in one global order, whose equal ranges are the shards: their counts differ by at most
 one, and a bucket goes to as few shards as it can.
 """
@@ -66,8 +66,8 @@ def external_shuffle(
 
     The result has the columns of ``docs`` and ``_shard`` and ``_slot`` (gapless from 0 in
     each shard). One seed gives one order, whatever the partitions. Rows with the same id
-    share a bucket; equal rows among them may trade places. A null id is a value like any
-    other and a null text has size 8. Without ``path`` the table goes to the folder of
+    are scattered like any others; only rows equal in every column share a bucket, where they
+    may trade places. A null id is a value like any other and a null text has size 8. Without ``path`` the table goes to the folder of
     ``spark.checkpoint.dir``.
     """
     spark = docs.sparkSession
@@ -75,7 +75,7 @@ def external_shuffle(
     path = path or f"{checkpoint_root(spark)}/shards/{uuid.uuid4().hex}"
     size = docs.agg(F.coalesce(F.sum(record_size(F.col(text))), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     total, buckets = size["n"], max(1, -(-size["b"] // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *docs.columns), F.lit(buckets))
     counts = docs.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows"))
     starts = _starts(counts)
     scattered = docs.withColumns({"_bucket": bucket, "_tie": F.xxhash64(*docs.columns)}).join(starts, "_bucket")

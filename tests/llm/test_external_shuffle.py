@@ -32,6 +32,15 @@ def test_shards(spark, n, bucket_bytes):
     assert n < 10 or place(other) != place(first)
 
 
+@pytest.mark.parametrize("hot", ["7", "CAST(null AS long)"])
+def test_hot_id_is_scattered(spark, hot):
+    """Rows of one id, or of none, do not share a bucket, so that they lie in every shard like the rest."""
+    frame = spark.range(6000).selectExpr(f"CASE WHEN id % 3 = 0 THEN {hot} ELSE id END doc_id", "concat('text ', id) text")
+    got = X.external_shuffle(frame, bucket_bytes=4096).collect()
+    held = Counter(r._shard for r in got if r.doc_id is None or r.doc_id == 7)
+    assert len(got) == 6000 and len(held) == X.SHARDS and max(held.values()) < 200
+
+
 def test_order_is_uniform():
     rng = np.random.default_rng(1)
     counts = Counter(tuple(X.fisher_yates(4, rng)) for _ in range(24_000))
