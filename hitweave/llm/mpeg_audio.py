@@ -152,6 +152,7 @@ class Stream:
     headers: dict[Header, int] = field(default_factory=dict)  # frames of each kind
     checked: int = 0
     bad: int = 0
+    unchecked: int = 0  # frames of Layers I and II with a checksum, which is not verified
     resyncs: int = 0
     lost: int = 0  # bytes between frames
     samples: int = 0
@@ -233,6 +234,7 @@ def read_stream(data: bytes) -> Stream:
                     sums.clear()
                 sums[covered] = crc16(covered)
             found.bad += sums[covered] != int.from_bytes(frame[4:6], "big")
+        found.unchecked += kind.checked and kind.layer != 3
         if not (first and kind.layer == 3 and _table(frame, kind, found)):
             found.offsets.append(at)
             found.headers[kind] = found.headers.get(kind, 0) + 1
@@ -284,16 +286,20 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
 
 REPORT = (
     "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,"
-    "feature:string,seconds:double,frames:bigint,bad_frames:bigint,seek:array<bigint>>"
+    "feature:string,seconds:double,frames:bigint,bad_frames:bigint,unchecked_frames:bigint,seek:array<bigint>>"
 )
 
 
 def probe(rows: DataFrame, media: str = "_media") -> DataFrame:
-    """``rows`` without the stream and with ``_report``: what reading it back found. A null stream is an empty one."""
+    """``rows`` without the stream and with ``_report``: what reading it back found. A null stream is an empty one.
+
+    ``bad_frames`` fail their checksum; ``unchecked_frames`` are frames of Layers I and II that
+    have one, which is not verified. ``seek`` holds the offset of every frame.
+    """
     kind = pa.struct(
         [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
         + [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("seconds", pa.float64())]
-        + [("frames", pa.int64()), ("bad_frames", pa.int64()), ("seek", pa.list_(pa.int64()))]
+        + [("frames", pa.int64()), ("bad_frames", pa.int64()), ("unchecked_frames", pa.int64()), ("seek", pa.list_(pa.int64()))]
     )
 
     def report(data: bytes) -> dict:
@@ -309,6 +315,7 @@ def probe(rows: DataFrame, media: str = "_media") -> DataFrame:
             "seconds": found.seconds,
             "frames": len(found.offsets),
             "bad_frames": found.bad,
+            "unchecked_frames": found.unchecked,
             "seek": found.offsets,
         }
 

@@ -141,6 +141,7 @@ def op3_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = mpeg_audio.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "frames"]
+    names += ["bad_frames", "unchecked_frames", "seek"]
     found = mpeg_audio.probe(stored)
     return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), *[F.col("_report")[n].alias(n) for n in names])
 

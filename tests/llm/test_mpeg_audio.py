@@ -49,6 +49,13 @@ def test_damage_is_found_and_passed_over():
         A.read_stream(bad)
 
 
+def test_frames_that_are_not_verified_are_counted():
+    frame = bytes.fromhex("fffcc404") + bytes(764)  # MPEG-1 Layer II, 256 kbit/s, 48 kHz, with a checksum
+    found = A.read_stream(frame * 4)
+    assert (found.unchecked, found.checked, found.bad, len(found.offsets)) == (4, 0, 0, 4)
+    assert A.read_stream(A.write_stream(b"some bytes")).unchecked == 0
+
+
 def test_frame_sizes():
     # Header, frame size and samples of common kinds.
     for raw, size, samples in [
@@ -99,4 +106,5 @@ def test_rows(spark):
         assert r._report.tail_crc32 == zlib.crc32(padded(raw)[-32:])
         assert r._report.media_sha256 == hashlib.sha256(A.write_stream(raw)).hexdigest()
         assert len(r._report.seek) == r._report.frames
+        assert (r._report.bad_frames, r._report.unchecked_frames) == (0, 0)
     assert A.probe(A.encode(docs.limit(0))).count() == 0
