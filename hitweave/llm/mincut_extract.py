@@ -20,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Raw elements reach up to their end tag or the end of the page. Silent ones are left out whole where they
+# have an end tag and no element of their own kind inside; the others go on as open elements (see blocks_of).
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|button|iframe|object|canvas|svg|head)\b(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+"
+    r"|<(?P<raw>script|style|textarea|iframe|title)\b(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+"
     r"(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<silent>noscript|template|select|button|object|canvas|svg)\b(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+"
+    r">[^<]*+(?:<(?!/?(?P=silent)\b)[^<]*+)*+</(?P=silent)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
@@ -43,6 +47,9 @@ CLOSES |= {"td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 CLOSES |= {tag: {"p"} for tag in BLOCK - set(CLOSES) - {"html", "body"}}
 #: An implied end does not reach beyond these.
 SCOPE = set("html body table td th ul ol dl div article section main nav aside header footer form blockquote".split())
+SILENT = set("noscript template select button object canvas svg".split())
+#: Silent elements that can hold blocks; the others end where a block begins.
+HOLDS_BLOCKS = {"noscript", "template", "object", "canvas"}
 CONTENT_TAGS = {"article", "main"}
 OTHER_TAGS = set("nav footer aside form menu dialog fieldset".split())
 CONTENT_HINTS = {"article", "content", "main", "post", "story", "entry", "body"}
@@ -83,11 +90,16 @@ def _hints(attrs: str) -> set[str]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order: references decoded, white space as one space, empty ones left out."""
+    """Text blocks in page order: references decoded, white space as one space, empty ones left out.
+
+    A silent element without its end tag ends with the element around it, and one that cannot
+    hold blocks also where a block begins.
+    """
     node = Node("", 0, 0, False, False, False, None)
     out: list[Block] = []
     parts: list[str] = []
     links = [0, 0]  # open <a>, characters in links
+    silent: list[tuple[str, int]] = []  # open silent elements and the depth they are at
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -99,8 +111,9 @@ def blocks_of(page: str) -> list[Block]:
     for token in TOKEN.finditer(page):
         text = token["text"]
         if text is not None:
-            parts.append(text)
-            links[1] += len(text) if links[0] else 0
+            if not silent:
+                parts.append(text)
+                links[1] += len(text) if links[0] else 0
             continue
         tag = token["tag"]
         if tag is None:
@@ -110,6 +123,12 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
         elif tag == "a":
             links[0] = 0 if token["close"] else 1
+        elif tag in SILENT:
+            if not token["close"]:
+                silent.append((tag, node.depth))
+            elif tag in [name for name, _ in silent]:
+                while silent.pop()[0] != tag:
+                    pass
         elif tag in BLOCK:
             flush()
             if token["close"]:
@@ -118,12 +137,14 @@ def blocks_of(page: str) -> list[Block]:
                     up = up.parent
                 if up is not None and up.parent is not None:
                     node = up.parent
+                    silent = [x for x in silent if x[1] <= node.depth]
             elif tag not in VOID:
                 up, ends = node, CLOSES.get(tag, ())
                 while up.parent is not None and (up.tag in ends or up.tag not in SCOPE):
                     if up.tag in ends:
                         node = up.parent
                     up = up.parent
+                silent = [x for x in silent if x[1] <= node.depth and x[0] in HOLDS_BLOCKS]
                 attrs = token["attrs"]
                 hints = _hints(attrs) if "=" in attrs else ()
                 inside = node.inside + (tag in CONTENT_TAGS)

@@ -58,6 +58,32 @@ def test_odd_pages(page):
     assert isinstance(X.main_text(page), str)
 
 
+@pytest.mark.parametrize("tag", sorted(X.SILENT))
+def test_silent_elements(tag):
+    """With an end tag, nested, with an end tag of another kind between, or without one: only the text inside goes."""
+    words = ["The first paragraph of the page.", "The second paragraph of the page."]
+    for inside in (f"<{tag} a='>'>x <i>y</i></{tag}>", f"<{tag}>x<{tag}>y</{tag}>z</{tag}>", f"<{tag}>x</b>y</{tag} >", f"<{tag}>x"):
+        page = f"<article><p>{words[0]}{inside}</p><p>{words[1]}</p></article>"
+        assert X.main_text(page).split("\n") == words, inside
+    within = f"<article><div><{tag}>unseen</div><p>{words[0]}</p><p>{words[1]}</p></article>"
+    assert X.main_text(within).split("\n") == words
+
+
+def test_button_ends_where_a_block_begins():
+    assert X.main_text("<article><button>Send<p>The paragraph that follows it.</p></article>") == "The paragraph that follows it."
+
+
+def test_head_without_end_tag():
+    page = "<html><head><title>t</title><style>p{}</style><body><article><p>The article, which is short.</p></article>"
+    assert X.main_text(page) == "The article, which is short."
+    assert X.main_text(page.replace("<body>", "")) == "The article, which is short."
+
+
+def test_many_open_elements_take_linear_time():
+    page = "<article>" + "<button>x<svg>y" * 20_000 + "<p>The end of a long page.</p></article>"
+    assert X.main_text(page) == "The end of a long page."
+
+
 def test_cut_off_page():
     page = PAGE[: PAGE.index("goes on") + 4] + '<a href="/Asc'
     assert X.main_text(page).split("\n")[-1] == "Second paragraph after a break <here> — it goes"
