@@ -32,7 +32,13 @@ def complete_events(paths: DataFrame, terms: list[str]) -> DataFrame:
 
 def read_event_csv(spark: SparkSession, path: str, schema: str, number: str = EVENT_NUMBER) -> DataFrame:
     """CSV files of many events as one table, event number from the path by the pattern ``number``."""
-    columns = spark.read.schema(schema).option("header", "true").csv(path)
+    reader = spark.read.schema(schema).option("header", "true")
+    folder, _, pattern = path.rpartition("/")
+    if pattern.endswith(".csv") and not set(folder) & set("*?[{"):
+        # The folder is listed once; as a path, each file that the pattern names would be listed by itself.
+        columns = reader.option("pathGlobFilter", pattern).csv(folder)
+    else:
+        columns = reader.csv(path)
     event = F.regexp_extract("_metadata.file_path", number, 1).cast("bigint")
     return columns.select(event.alias(E), *columns.columns)
 

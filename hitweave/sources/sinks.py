@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.joins import E
 
+#: Files that get their final names at once.
+RENAMES = 16
+
 
 def write_event_csv(df: DataFrame, path: str) -> None:
     """CSV files in folders by dataset and event."""
@@ -31,17 +35,24 @@ def write_event_files(df: DataFrame, path: str, name: str, kind: str, order: lis
     # Dropping a column keeps the order of the rows.
     dealt = dealt.select(E, *(columns or [c for c in df.columns if c != E]))
     files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def name_file(folder: str) -> None:
+        target = hadoop.Path(path, name.format(int(folder.removeprefix(f"{E}="))))
+        for found in files.listStatus(hadoop.Path(hidden, folder)):
+            files.delete(target, False)
+            if not files.rename(found.getPath(), target):
+                raise OSError(f"{found.getPath()} could not be renamed to {target}")
+
     try:
-        dealt.write.partitionBy(E).option("header", "true").format(kind).save(hidden)
-        listing = files.listFiles(hadoop.Path(hidden), True)
-        while listing.hasNext():
-            found = listing.next().getPath()
-            folder = found.getParent().getName()
-            if folder.startswith(f"{E}="):
-                target = hadoop.Path(path, name.format(int(folder.removeprefix(f"{E}="))))
-                files.delete(target, False)
-                if not files.rename(found, target):
-                    raise OSError(f"{found} could not be renamed to {target}")
+        # Nobody reads the hidden folder before the job is done: tasks move their own files into it (version 2),
+        # instead of the driver, after the job, one event at a time.
+        written = dealt.write.partitionBy(E).option("header", "true").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        written.format(kind).save(hidden)
+        folders = (status.getPath().getName() for status in files.listStatus(hadoop.Path(hidden)))
+        # A name is a round trip to the store, so many are under way at once.
+        with ThreadPoolExecutor(RENAMES) as pool:
+            for _ in pool.map(name_file, [f for f in folders if f.startswith(f"{E}=")]):
+                pass
     finally:
         files.delete(hadoop.Path(hidden), True)
 

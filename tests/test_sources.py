@@ -108,6 +108,15 @@ def test_one_file_per_event(spark, tmp_path):
     assert open(f"{tmp_path}/tracks/event000000007.txt").read() == "1 3\n9\n8\n"
 
 
+def test_event_files_are_listed_once(spark, tmp_path):
+    hits = spark.createDataFrame([(e, h) for e in (1, 2, 3) for h in (5, 4)], "event_id long, hit_id long")
+    for name in ("truth", "other"):
+        sinks.write_event_files(hits, f"{tmp_path}", "event{:09d}-" + name + ".csv", "csv", ["hit_id"])
+    read = files.read_event_csv(spark, f"{tmp_path}/*-truth.csv", "hit_id long", number="event([0-9]+)-truth")
+    assert "InMemoryFileIndex(1 paths)" in read._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in read.collect()) == [(e, h) for e in (1, 2, 3) for h in (4, 5)]
+
+
 def test_written_graph_is_checked(spark, tmp_path):
     hits = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "dataset string, event_id long, hit_id long")
     edges = spark.createDataFrame([("a", 1, 0, 1, 1.0), ("b", 2, 0, 1, None)], "dataset string, event_id long, src long, dst long, weight double")
