@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import sigmoid
 from ..functions.inference import Mlp, score_udf
 from ..functions.vectors import stack
+from ..session import cut_lineage, release
 from .joins import E, gather
 
 
@@ -29,22 +30,31 @@ def score_edges(edges: DataFrame, hits: DataFrame, features: list[str], network:
 def fit_edge_classifier(
     edges: DataFrame, hits: DataFrame, features: list[str], max_iter: int = 20
 ) -> LogisticRegressionModel:
-    """Weighted logistic fit: positives are true edges of positive weight, negative weights count as fakes."""
-    usable = edges.where("weight <> 0")
-    vectors = edge_vectors(usable, hits, features).select(
-        array_to_vector("features").alias("features"),
-        (F.col("y") & (F.col("weight") > 0)).cast("double").alias("label"),
-        F.abs("weight").alias("w"),
-    )
-    return LogisticRegression(maxIter=max_iter, weightCol="w").fit(vectors)
+    """Weighted logistic fit: positives are true edges of positive weight, negative weights count as fakes.
+
+    The rows of the fit are written first, so that its passes read one narrow table and do not repeat the joins.
+    """
+    usable = edges.where("weight <> 0").select(E, "src", "dst", (F.col("y") & (F.col("weight") > 0)).alias("label"), F.abs("weight").alias("w"))
+    rows = cut_lineage(edge_vectors(usable, hits, features).select("features", "label", "w"))
+    vectors = rows.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), "w")
+    model = LogisticRegression(maxIter=max_iter, weightCol="w").fit(vectors)
+    release(rows)
+    return model
 
 
 def apply_edge_classifier(
     model: LogisticRegressionModel, edges: DataFrame, hits: DataFrame, features: list[str]
 ) -> DataFrame:
-    vectors = edge_vectors(edges.drop("score"), hits, features).withColumn("features", array_to_vector("features"))
-    scored = model.transform(vectors).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.drop("features", "rawPrediction", "probability", "prediction")
+    """``score``: the fitted probability, as a column expression of the coefficients; plans hold no fitted object."""
+    vectors = edge_vectors(edges.drop("score"), hits, features)
+    return vectors.withColumn("score", _probability(model, "features")).drop("features")
+
+
+def _probability(model: LogisticRegressionModel, features: str) -> Column:
+    margin = F.lit(float(model.intercept))
+    for i, weight in enumerate(model.coefficients):
+        margin = margin + F.get(features, F.lit(i)) * F.lit(float(weight))
+    return sigmoid(margin)
 
 
 def mean_gradient(scored: DataFrame, hits: DataFrame, features: list[str]) -> DataFrame:

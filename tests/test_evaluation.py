@@ -111,3 +111,24 @@ def test_empty_bins_and_events_without_edges(spark, rows):
     edges = spark.createDataFrame([(1, 0.9), (1, 0.8)], "event_id long, score double")
     assert rows(EV.graph_size(edges, events)) == [(1.0, 1.0)]
     assert rows(EV.graph_size(edges)) == [(2.0, 0.0)]
+
+
+def test_fit_and_scores_hold_no_fitted_object(spark):
+    """Scores are the model's probabilities as plain columns, and the fit reads rows that were written."""
+    import numpy as np
+
+    from hitweave.operators import scoring as SC
+
+    rng = np.random.default_rng(5)
+    hits = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(rng.normal(size=40))], "event_id long, hit_id long, x double")
+    rows = [(1, i, int(s), int(d), bool(rng.random() < 0.4 + 0.3 * (s > d)), float(rng.choice([1.0, 2.0, 0.0, -1.0])))
+            for i, (s, d) in enumerate(rng.integers(0, 40, size=(300, 2)))]
+    edges = spark.createDataFrame(rows, "event_id long, edge_id long, src long, dst long, y boolean, weight double")
+    model = SC.fit_edge_classifier(edges, hits, ["x"], max_iter=100)
+    scored = SC.apply_edge_classifier(model, edges, hits, ["x"])
+    assert "UDF" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    x = {r.hit_id: r.x for r in hits.collect()}
+    for r in scored.collect():
+        margin = model.intercept + model.coefficients[0] * x[r.src] + model.coefficients[1] * x[r.dst]
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-12
+    assert SC.mean_gradient(scored, hits, ["x"]).first().worst < 1e-3
