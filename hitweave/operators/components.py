@@ -7,12 +7,20 @@ large as the table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, release
 from .joins import E, endpoints, join_per_key
 
+#: Hits of an event whose edges are dealt together, and edges that a task contracts at once.
+BLOCK = 4096
+BATCH = 1 << 18
+
 
 def component_labels(edges: DataFrame) -> DataFrame:
     """(event, hit_id, component) of every hit on an edge between two hits, by alternating star contractions.
@@ -20,11 +28,13 @@ def component_labels(edges: DataFrame) -> DataFrame:
     Every node first points its greater neighbours, then its lesser ones, to its least
     neighbour. The number of rounds grows with the logarithm of the component size.
     Hub nodes are only ever grouped with a map-side minimum and joined back on their id.
+    Before the rounds, tasks contract what they hold of the graph (:func:`_contracted`), so that a
+    component whose edges met in one task takes part in the rounds as a finished star.
     """
     pairs = edges.where("src <> dst").select(
         E, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     )
-    pairs = cut_lineage(pairs.distinct())
+    pairs = cut_lineage(_contracted(pairs))
     before = None
     while before != (before := _digest(pairs)):
         large = cut_lineage(_large_star(pairs))
@@ -37,6 +47,46 @@ def component_labels(edges: DataFrame) -> DataFrame:
     )
 
 
+def _contracted(pairs: DataFrame) -> DataFrame:
+    """(event, u, v) with the same components: in each batch of edges every node points to the least it is linked to there.
+
+    Edges are dealt by event and by blocks of hits, so that a large event goes to many tasks.
+    """
+    block = F.floor(F.col("v") / BLOCK)
+    dealt = pairs.repartition(E, block).sortWithinPartitions(E)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BATCH:
+                yield _stars(held)
+                held, n = [], 0
+        if held:
+            yield _stars(held)
+
+    return dealt.mapInArrow(run, "event_id bigint, u bigint, v bigint")
+
+
+def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    event, u, v = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in (E, "u", "v"))
+    events, of_event = np.unique(event, return_inverse=True)
+    hits, of_hit = np.unique(np.concatenate([u, v]), return_inverse=True)
+    # Nodes are numbered by event, then hit, so the least number is the least hit.
+    nodes, ends = np.unique(np.concatenate([of_event, of_event]) * len(hits) + of_hit, return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while not np.array_equal(label[a], label[b]):
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    ids = hits[nodes % max(1, len(hits))]
+    columns = [events[nodes[moved] // max(1, len(hits))], ids[moved], ids[label[moved]]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [E, "u", "v"])
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Link every strictly greater neighbour of a node to the least of its neighbourhood."""
     both = pairs.select(E, F.col("u").alias("a"), F.col("v").alias("b")).unionByName(

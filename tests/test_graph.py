@@ -152,3 +152,23 @@ def test_hooks():
         hooks.get("graph", "absent")
     with pytest.raises(ValueError):
         hooks.register("odd", "x")
+
+
+def test_components_that_meet_in_a_task_need_no_rounds(spark, monkeypatch):
+    """Chains are contracted before the rounds; cut into small batches and blocks they get the same labels."""
+    from hitweave.operators import components as CC
+
+    rows = [(e, h, h + 7) for e in (1, 2) for h in range(300)]
+    edges = spark.createDataFrame(rows, "event_id long, src long, dst long")
+    rounds, star = [], CC._large_star
+    monkeypatch.setattr(CC, "_large_star", lambda pairs: rounds.append(1) or star(pairs))
+    want = {(e, h, h % 7) for e in (1, 2) for h in range(307)}
+    assert {tuple(r) for r in CC.component_labels(edges).collect()} == want and len(rounds) == 1
+    monkeypatch.setattr(CC, "BLOCK", 16)
+    monkeypatch.setattr(CC, "BATCH", 1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "8")
+    try:
+        assert {tuple(r) for r in CC.component_labels(edges).collect()} == want and len(rounds) > 2
+    finally:
+        spark.conf.unset(size)
