@@ -7,6 +7,9 @@ greatest way out. :func:`all_paths` lists every path, :func:`shortest_paths` one
 
 Directed cycles are taken care of by their strongly connected components: the ways
 through a component become nodes of a graph without cycles (:func:`stations`).
+
+Long paths stay within a weak component. So events, and components of larger events, up to a
+limit go whole into a task (:mod:`.path_pieces`); larger ones run in rounds of joins.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import components as CC
+from . import path_pieces as PP
 from .joins import E, endpoints, join_per_key
 from .walk import spread_extreme
 
@@ -136,14 +141,8 @@ def _best_ways(links: DataFrame, places: DataFrame, seeds: DataFrame, near: str,
     return whole.groupBy(E, "station", "steps").agg(F.max("way").alias("way"))
 
 
-def long_path_labels(edges: DataFrame, min_nodes: int = MIN_NODES, max_edges: int | None = MAX_EDGES) -> DataFrame:
-    """(event, hit_id, path) of every hit on an edge; path is null off the long paths.
-
-    Paths are simple and run from a hit without incoming to one without outgoing edges, have at
-    least ``min_nodes`` hits and at most ``max_edges`` edges (``None``: any number); the last in
-    id order that holds a hit labels it. Off cycles a hit has one row per direction and length,
-    each with one way of that length; on cycles the ways through a component are listed.
-    """
+def _long_paths_by_rounds(edges: DataFrame, min_nodes: int, max_edges: int | None) -> DataFrame:
+    """(event, hit_id, path) of every hit on an edge, by rounds; any component size."""
     edges = cut_lineage(edges.select(E, "src", "dst").distinct())
     sources, sinks = sources_and_sinks(edges)
     places, links = stations(edges, max_edges)
@@ -163,6 +162,54 @@ def long_path_labels(edges: DataFrame, min_nodes: int = MIN_NODES, max_edges: in
     return nodes.join(of_hit, [E, "hit_id"], "left").select(E, "hit_id", "path")
 
 
+def _pieces(edges: DataFrame, max_edges: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(event, piece, src, dst) of pieces for one task each, and of larger ones, if there are any.
+
+    An event is one piece, or, if it has too many edges, each of its weak components is.
+    """
+    too_many = F.col("count") > PP.piece_edges(max_edges)
+    large = cut_lineage(edges.groupBy(E).count().where(too_many).select(E))
+    if not large.head(1):
+        return edges.withColumn("piece", F.lit(0).cast("bigint")).select(E, "piece", "src", "dst"), None
+    rest = cut_lineage(join_per_key(edges, large, [E], "left_semi"))
+    labels = CC.component_labels(rest).select(E, F.col("hit_id").alias("src"), F.col("component").alias("piece"))
+    # A hit whose only edge is a loop has no component and is a piece of its own.
+    labelled = join_per_key(rest, labels, [E, "src"], "left").select(E, F.coalesce("piece", "src").alias("piece"), "src", "dst")
+    labelled = cut_lineage(labelled)
+    whole = join_per_key(edges, large, [E], "left_anti").select(E, F.lit(0).cast("bigint").alias("piece"), "src", "dst")
+    large = cut_lineage(labelled.groupBy(E, "piece").count().where(too_many).select(E, "piece"))
+    small = whole.unionByName(join_per_key(labelled, large, [E, "piece"], "left_anti"))
+    return small, join_per_key(labelled, large, [E, "piece"], "left_semi") if large.head(1) else None
+
+
+def _long_paths(edges: DataFrame, min_nodes: int, max_edges: int | None) -> DataFrame:
+    """(event, hit_id, path, first) of every hit on an edge; ``first`` is the least hit that carries the path."""
+    small, large = _pieces(cut_lineage(edges.select(E, "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")), max_edges)
+    dealt = small.repartition(E, "piece").sortWithinPartitions(E, "piece")
+    found = cut_lineage(dealt.mapInArrow(PP.label_pieces(min_nodes, max_edges, PP.PIECE_WAYS), PP.SCHEMA))
+    given_up = found.where("hit_id IS NULL").select(E, "piece")
+    if given_up.head(1):
+        more = join_per_key(small, given_up, [E, "piece"], "left_semi")
+        large = more if large is None else large.unionByName(more)
+    paths = found.where("hit_id IS NOT NULL").select(E, "hit_id", "path", "first")
+    if large is None:
+        return paths
+    rounds = cut_lineage(_long_paths_by_rounds(large, min_nodes, max_edges))
+    firsts = rounds.where("path IS NOT NULL").groupBy(E, "path").agg(F.min("hit_id").alias("first"))
+    return paths.unionByName(rounds.join(firsts, [E, "path"], "left").select(E, "hit_id", "path", "first"))
+
+
+def long_path_labels(edges: DataFrame, min_nodes: int = MIN_NODES, max_edges: int | None = MAX_EDGES) -> DataFrame:
+    """(event, hit_id, path) of every hit on an edge; path is null off the long paths.
+
+    Paths are simple and run from a hit without incoming to one without outgoing edges, have at
+    least ``min_nodes`` hits and at most ``max_edges`` edges (``None``: any number); the last in
+    id order that holds a hit labels it. Off cycles a hit has one row per direction and length,
+    each with one way of that length; on cycles the ways through a component are listed.
+    """
+    return _long_paths(edges, min_nodes, max_edges).select(E, "hit_id", "path")
+
+
 def all_simple_path_tracks(
     component_labels: DataFrame,
     edges: DataFrame,
@@ -179,11 +226,10 @@ def all_simple_path_tracks(
     A path's label is the least hit that carries it, moved past all component labels.
     """
     residual = edges.where((F.col("score") > low) & (F.col("score") < high))
-    paths = cut_lineage(long_path_labels(residual, min_nodes, max_edges))
-    names = paths.where("path is not null").groupBy(E, "path").agg(F.min("hit_id").alias("_first"))
+    paths = _long_paths(residual, min_nodes, max_edges).select(E, "hit_id", "first")
     shift = component_labels.groupBy(E).agg((F.max("hit_id") + 1).alias("_shift"))
-    named = join_per_key(names, shift, [E]).select(E, "path", (F.col("_first") + F.col("_shift")).alias("_path_id"))
-    residual_hits = paths.join(named, [E, "path"], "left").select(E, "hit_id", "_path_id", F.lit(True).alias("_residual"))
+    named = join_per_key(paths, shift, [E], "left")
+    residual_hits = named.select(E, "hit_id", (F.col("first") + F.col("_shift")).alias("_path_id"), F.lit(True).alias("_residual"))
     joined = component_labels.join(residual_hits, [E, "hit_id"], "left")
     fallback = F.col("track_id") if keep_components else F.when(F.col("_residual"), -1).otherwise(F.col("track_id"))
     return joined.select(E, "hit_id", F.coalesce("_path_id", fallback).cast("bigint").alias("track_id"))

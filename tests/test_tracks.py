@@ -266,6 +266,32 @@ def test_a_cycle_beside_a_path(spark):
         assert {tuple(r.path) for r in PT.long_path_labels(edges, min_nodes=4, max_edges=bound).collect()} == {(0, 1, 2, 3)}
 
 
+@pytest.mark.parametrize(("edges_held", "ways_held"), [(1 << 15, 1 << 16), (12, 0)])
+def test_long_paths_of_pieces_and_by_rounds(spark, monkeypatch, edges_held, ways_held):
+    """Small events go whole into tasks, without any round; components of larger ones too, the rest by rounds: all alike."""
+    chain = [(3, h, h + 1, 1.0) for h in [*range(4), *range(20, 35)]]
+    data = cyclic_graph(4, edges=15, back=3) + chain + [(3, 40, 40, 1.0)]
+    want, firsts = {}, {}
+    for event in (1, 2, 3):
+        pairs = [(a, b) for e, a, b, _ in data if e == event]
+        label = {h: None for p in pairs for h in p}
+        sinks = label.keys() - {a for a, _ in pairs}
+        for path in all_paths(pairs):
+            if path[-1] in sinks and 3 <= len(path) <= 10:
+                label.update(dict.fromkeys(path, tuple(path)))
+        want.update({(event, h): path for h, path in label.items()})
+    for (event, hit), path in sorted(want.items(), key=lambda item: item[0]):
+        firsts.setdefault((event, path), hit)
+    by_rounds, rounds = [], PT._long_paths_by_rounds
+    monkeypatch.setattr(PT, "_long_paths_by_rounds", lambda *a: by_rounds.append(1) or rounds(*a))
+    monkeypatch.setattr(PT.PP, "PIECE_EDGES", edges_held)
+    monkeypatch.setattr(PT.PP, "PIECE_WAYS", ways_held)
+    got = PT._long_paths(spark.createDataFrame(data + data[:6], EDGE), 3, 9).collect()
+    assert {(r.event_id, r.hit_id): r.path and tuple(r.path) for r in got} == want and len(got) == len(want)
+    assert all(r["first"] == (r.path and firsts[r.event_id, tuple(r.path)]) for r in got)
+    assert any(want.values()) and bool(by_rounds) == (edges_held == 12)
+
+
 def test_shortest_paths(spark):
     data = random_graph(5, nodes=12, edges=18)
     out = PT.shortest_paths(spark.createDataFrame(data, EDGE), -1.0)
