@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +62,16 @@ def _contracted(pairs: DataFrame) -> DataFrame:
             held.append(batch)
             n += batch.num_rows
             if n >= BATCH:
-                yield _stars(held)
-                held, n = [], 0
+                # The last event may go on: its star stays, so that an event met whole leaves as one star.
+                stars = _stars(held)
+                going_on = batch.column(E)[-1].as_py()
+                last = stars.filter(pc.equal(stars.column(E), going_on))
+                if 2 * last.num_rows > BATCH:
+                    yield stars
+                    held, n = [], 0
+                else:
+                    yield stars.filter(pc.not_equal(stars.column(E), going_on))
+                    held, n = [last], last.num_rows
         if held:
             yield _stars(held)
 

@@ -172,3 +172,19 @@ def test_components_that_meet_in_a_task_need_no_rounds(spark, monkeypatch):
         assert {tuple(r) for r in CC.component_labels(edges).collect()} == want and len(rounds) > 2
     finally:
         spark.conf.unset(size)
+
+
+def test_an_event_over_several_batches_leaves_as_one_star(spark, monkeypatch):
+    """A batch that ends within an event must not leave its components to the rounds."""
+    from hitweave.operators import components as CC
+
+    rows = [(e, h, h + 1) for e in range(5) for h in range(100)]
+    pairs = spark.createDataFrame(rows, "event_id long, v long, u long").select("event_id", "u", "v").coalesce(1)
+    monkeypatch.setattr(CC, "BATCH", 250)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "30")
+    try:
+        got = sorted(tuple(r) for r in CC._contracted(pairs).collect())
+    finally:
+        spark.conf.unset(size)
+    assert got == [(e, h, 0) for e in range(5) for h in range(1, 101)]
