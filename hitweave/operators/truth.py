@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, primary_flag
+from ..session import cut_lineage
 from ..sources.schemas import MODULE_COLUMNS
 from .joins import E, first_rows, join_per_key, left_join_spread
 
@@ -87,15 +88,27 @@ def match_spacepoints(spacepoints: DataFrame, clusters: DataFrame) -> DataFrame:
 def drop_noise_duplicates(hits: DataFrame) -> DataFrame:
     """A noise row stays only, once, where the hit has no signal row."""
     signal = hits.where("particle_id <> 0")
-    noise = first_rows(hits.where("particle_id = 0"), [E, "hit_id"])
+    noise = first_rows(hits.where("particle_id = 0").drop("particle_id"), [E, "hit_id"])
     lonely = noise.join(signal.select(E, "hit_id"), [E, "hit_id"], "left_anti")
-    return signal.unionByName(lonely)
+    return signal.unionByName(_as_noise(lonely))
+
+
+def _as_noise(hits: DataFrame) -> DataFrame:
+    """Particle 0 as a literal: a later filter on signal then skips these rows without reading them."""
+    return hits.withColumn("particle_id", F.lit(0).cast("bigint"))
 
 
 def clean_spacepoints(spacepoints: DataFrame) -> DataFrame:
-    """One row per (hit, clusters, particle), missing numbers as -1, noise resolved."""
-    unique = first_rows(spacepoints, [E, "hit_id", "cluster_index_1", "cluster_index_2", "particle_id"])
-    return drop_noise_duplicates(unique.fillna(-1))
+    """One row per (hit, clusters, particle), missing numbers as -1, noise resolved.
+
+    Matched rows of one spacepoint are in one task, so its noise goes there where it has a signal row. Noise and
+    signal read the rest, which is written once instead of being matched for each.
+    """
+    point = [E, "hit_id", "cluster_index_1", "cluster_index_2"]
+    unique = first_rows(spacepoints, [*point, "particle_id"])
+    signal = F.coalesce("particle_id", F.lit(-1)) != 0
+    marked = unique.withColumn("_resolved", ~signal & F.max(signal).over(Window.partitionBy(*point)))
+    return drop_noise_duplicates(cut_lineage(marked.where("not _resolved").drop("_resolved").fillna(-1)))
 
 
 def cluster_truth(clusters: DataFrame) -> DataFrame:
@@ -107,9 +120,11 @@ def cluster_truth(clusters: DataFrame) -> DataFrame:
 def mask_undetectable(truth: DataFrame, detectable: DataFrame) -> DataFrame:
     """Particle 0 for hits whose particle is not in the table."""
     known = detectable.select(E, "particle_id").distinct().withColumn("_known", F.lit(True))
-    joined = left_join_spread(truth, known, [E, "particle_id"], F.col("particle_id") == 0, [E, "hit_id"])
+    # Noise takes no part in the join.
+    joined = join_per_key(truth.where("particle_id <> 0"), known, [E, "particle_id"], "left")
     pid = F.when(F.col("_known"), F.col("particle_id")).otherwise(F.lit(0))
-    return joined.withColumn("particle_id", pid).drop("_known").select(*truth.columns)
+    masked = joined.withColumn("particle_id", pid).select(*truth.columns)
+    return masked.unionByName(_as_noise(truth.where("particle_id = 0 or particle_id is null")).select(*truth.columns))
 
 
 def region_label(regions: dict[int, dict]) -> Column:

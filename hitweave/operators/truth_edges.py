@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import E, join_per_key
+from .joins import E, first_rows, join_per_key
 from .ranking import dense_index
 
 
@@ -14,35 +14,36 @@ def build_truth_edges(hits: DataFrame, module_columns: list[str], features: list
 
     Modules are ordered by their nearest hit (``big_r``, then ``hit_id``). The window
     runs over module groups, so its partitions are bounded by the number of modules.
+    Hits are shuffled once, by particle; noise, the key of a third of them, is left out.
     """
-    signal = hits.where("particle_id <> 0")
     keys = [E, "particle_id"]
+    signal = hits.where(f"particle_id <> 0 and {E} is not null").repartition(*keys)
     module = F.struct(*module_columns).alias("module")
-    groups = signal.groupBy(*keys, module).agg(F.min(F.struct("big_r", "hit_id")).alias("_first"))
-    outward = Window.partitionBy(*keys).orderBy("_first", "module")
-    steps = groups.select(*keys, "module", F.lead("module").over(outward).alias("next_module")).where(
-        "next_module is not null"
+    start = F.struct(
+        F.col("hit_id").alias("src"), F.col("big_r").alias("src_r"), *[F.col(f) for f in features if f not in keys]
     )
-    src = signal.select(
-        *keys,
-        module,
-        F.col("hit_id").alias("src"),
-        F.col("big_r").alias("src_r"),
-        *[F.col(f) for f in features if f not in keys],
+    groups = signal.groupBy(*keys, module).agg(
+        F.min(F.struct("big_r", "hit_id")).alias("_first"), F.collect_list(start).alias("_starts")
     )
-    dst = signal.select(
-        *keys, F.struct(*module_columns).alias("next_module"), F.col("hit_id").alias("dst"), F.col("big_r").alias("dst_r")
+    ends = F.transform("_starts", lambda h: F.struct(h["src"].alias("dst"), h["src_r"].alias("dst_r")))
+    outward = Window.partitionBy(*keys).orderBy("_first", "module")
+    steps = groups.withColumn("_ends", ends).select(
+        *keys,
+        F.lead("module").over(outward).alias("next_module"),
+        "module",
+        "_starts",
+        F.lead("_ends").over(outward).alias("_ends"),
     )
-    return steps.join(src, [*keys, "module"]).join(dst, [*keys, "next_module"])
+    starts = steps.where("next_module is not null").select(*keys, "next_module", "module", "_ends", F.inline("_starts"))
+    return starts.select("*", F.inline("_ends")).drop("_ends")
 
 
 def mark_redundant(edges: DataFrame, module: str = "next_module") -> DataFrame:
     """True on every edge of a particle into a module but the one with the least (R src, R dst)."""
     keys = [E, "particle_id", module]
     place = F.struct("src_r", "dst_r", "src", "dst")
-    firsts = edges.groupBy(*keys).agg(F.min(place).alias("_first"))
-    marked = join_per_key(edges, firsts, keys)
-    return marked.withColumn("redundant_split_edges", place != F.col("_first")).drop("_first")
+    first = F.min(place).over(Window.partitionBy(*keys))
+    return edges.withColumn("redundant_split_edges", place != first)
 
 
 def inconsistent_features(edges: DataFrame, hits: DataFrame, features: list[str]) -> DataFrame:
@@ -60,17 +61,18 @@ def unique_edges(edges: DataFrame) -> DataFrame:
     """One row per (src, dst) of an event: that of the least particle."""
     rest = [c for c in edges.columns if c not in (E, "src", "dst")]
     ordered = ["particle_id", *[c for c in rest if c != "particle_id"]] if "particle_id" in rest else rest
-    least = F.min(F.struct(*ordered)).alias("_least")
-    return edges.groupBy(E, "src", "dst").agg(least).select(E, "src", "dst", "_least.*")
+    return first_rows(edges.select(E, "src", "dst", *ordered), [E, "src", "dst"])
 
 
 def remap_nodes(hits: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hit ids become dense node numbers 0..n-1 by event, in hit-id order."""
-    ids = dense_index(hits.select(E, "hit_id").distinct(), [E], "hit_id", "node_id")
+    known = hits.select(E, "hit_id").where(f"{E} is not null and hit_id is not null")
+    ids = dense_index(known.distinct(), [E], "hit_id", "node_id")
     nodes = hits.join(ids, [E, "hit_id"])
     src = ids.select(E, F.col("hit_id").alias("src"), F.col("node_id").alias("node_src"))
     dst = ids.select(E, F.col("hit_id").alias("dst"), F.col("node_id").alias("node_dst"))
-    return nodes, join_per_key(join_per_key(edges, src, [E, "src"]), dst, [E, "dst"])
+    # Edges that are already placed by source stay there.
+    return nodes, join_per_key(edges.join(src, [E, "src"]), dst, [E, "dst"])
 
 
 def orient_outward(edges: DataFrame, hits: DataFrame, ties_by_id: bool = False) -> DataFrame:

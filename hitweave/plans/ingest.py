@@ -35,24 +35,26 @@ def build_truth(
     """(truth hits, detectable particles) from the parsed dumps."""
     numbered = T.particle_ids(particles)
     expanded = cut_lineage(T.expand_clusters(clusters, links, numbered))
-    detectable = T.detectable_particles(numbered, expanded)
+    detectable = cut_lineage(T.detectable_particles(numbered, expanded))
     truth = T.clean_spacepoints(T.match_spacepoints(spacepoints, expanded))
     truth = T.mask_undetectable(truth, detectable)
     truth = truth.withColumn("region", T.region_label(config.regions))
-    return cut_lineage(T.add_module_id(truth, clean_module_lookup(lookup))), cut_lineage(detectable)
+    return cut_lineage(T.add_module_id(truth, clean_module_lookup(lookup))), detectable
 
 
 def build_event_graph(truth: DataFrame, particles: DataFrame, config: IngestConfig) -> tuple[DataFrame, DataFrame]:
     """(nodes, track edges): features, truth edges, dense node numbers, unique edges."""
+    # Noise first, while its rows are short; particles change nothing on them. A missing particle is noise.
+    truth = T.drop_noise_duplicates(truth.fillna(0, ["particle_id"]))
     hits = T.add_particles(truth, particles, list(config.track_features))
     hits = hits.withColumns({"r": G.radius("x", "y"), "phi": G.azimuth("x", "y")})
-    hits = cut_lineage(T.add_production_distance(T.drop_noise_duplicates(hits)))
+    hits = cut_lineage(T.add_production_distance(hits))
     edges = W.build_truth_edges(hits, list(config.module_columns), [*config.track_features, "nhits"])
-    edges = W.unique_edges(W.mark_redundant(cut_lineage(edges)))
+    edges = W.unique_edges(W.mark_redundant(edges).repartition(E, "src"))
     if config.processing:
         from .hooks import process
 
         hits, particles, edges = process(list(config.processing), hits, particles, edges)
+    nodes, edges = W.remap_nodes(hits, edges)
     # A hit on several particles is one node.
-    nodes, edges = W.remap_nodes(first_rows(hits, [E, "hit_id"]), edges)
-    return nodes, pair_index(cut_lineage(edges), E, "track_edge_id")
+    return first_rows(nodes, [E, "hit_id"]), pair_index(cut_lineage(edges), E, "track_edge_id")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hitweave.operators import checks, truth, truth_edges
 from hitweave.operators import detector as D
+from hitweave.plans.ingest import IngestConfig, build_event_graph
 
 
 def particles(spark):
@@ -91,6 +92,56 @@ def test_truth_edges(spark, rows):
     assert rows(remapped, "event_id", "node_src", "node_dst") == [(1, 0, 1), (1, 1, 2)]
 
 
+@pytest.fixture
+def no_broadcasts(spark):
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k in names:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def in_plan(df, step):
+    return df._jdf.queryExecution().executedPlan().toString().count(step)
+
+
+def test_edges_of_particles_take_one_shuffle(spark, rows, no_broadcasts):
+    h = hits(spark).withColumn("big_r", F.col("x"))
+    edges = truth_edges.mark_redundant(truth_edges.build_truth_edges(h, ["module_id"], []))
+    assert in_plan(edges, "Exchange hashpartitioning") == 1
+    assert rows(edges, "event_id", "src", "dst", "redundant_split_edges") == [
+        (1, 0, 2, False), (1, 1, 2, True), (1, 2, 3, False), (2, 0, 1, False),
+    ]
+
+
+def test_points_are_matched_once(spark, rows, no_broadcasts):
+    c = spark.createDataFrame([(1, 0, 5), (1, 0, 6), (1, 1, 5)], "event_id long, cluster_id long, particle_id long")
+    s = spark.createDataFrame(
+        [(1, 0, 0, 0), (1, 0, 1, 0), (1, 1, 1, 9), (None, None, 3, 3), (1, None, 0, 0), (1, None, 9, 9)],
+        "event_id long, hit_id long, cluster_index_1 long, cluster_index_2 long",
+    )
+    cleaned = truth.clean_spacepoints(truth.match_spacepoints(s, c))
+    assert in_plan(cleaned, "SortMergeJoin") == 1
+    # Missing numbers are -1, which is one hit of an event.
+    assert rows(cleaned, "event_id", "hit_id", "cluster_index_1", "particle_id") == [
+        (-1, -1, 3, 0), (1, -1, 0, 5), (1, -1, 0, 6), (1, 0, 0, 5), (1, 0, 0, 6), (1, 0, 1, 5), (1, 1, 1, 0),
+    ]
+
+
+def test_missing_particles_are_noise_of_the_graph(spark, rows):
+    modules = {"barrel_endcap": 0, "hardware": "PIXEL", "layer_disk": 0, "eta_module": 0}
+    t = spark.createDataFrame(
+        [(1, 0, 5, 1.0, 0), (1, 1, 5, 2.0, 1), (1, 1, None, 2.0, 1), (1, 2, None, 3.0, 2), (1, 2, 0, 3.0, 2)],
+        "event_id long, hit_id long, particle_id long, x double, phi_module int",
+    ).withColumns({**{k: F.lit(v) for k, v in modules.items()}, "y": F.lit(0.0), "z": F.lit(0.0)})
+    p = spark.createDataFrame([(1, 5, 1.0, 0.0, 0.0, 0.0)], "event_id long, particle_id long, charge double, vx double, vy double, vz double")
+    nodes, edges = build_event_graph(t, p, IngestConfig(regions={}, track_features=("charge",)))
+    assert rows(nodes, "event_id", "hit_id", "particle_id", "nhits", "node_id") == [(1, 0, 5, 2, 0), (1, 1, 5, 2, 1), (1, 2, 0, -1, 2)]
+    assert rows(edges, "event_id", "src", "dst", "particle_id", "node_src", "node_dst") == [(1, 0, 1, 5, 0, 1)]
+
+
 def test_unique_edges_and_orientation(spark, rows):
     e = spark.createDataFrame([(1, 0, 1, 9), (1, 0, 1, 4), (2, 0, 1, 9)], "event_id long, src long, dst long, particle_id long")
     assert rows(truth_edges.unique_edges(e), "event_id", "src", "dst", "particle_id") == [(1, 0, 1, 4), (2, 0, 1, 9)]
