@@ -30,7 +30,7 @@ from .common import cut_lineage, join_many, join_small, row_key
 from .components import component_labels
 from .embedding_copies import join_roots
 from .simhash_ring import keep_rows, near_duplicates
-from .suffix_dedup import Hashed, Powers, WordHashes, _mixed
+from .suffix_dedup import Hashed, Powers, _mixed
 
 SHINGLE = 5
 #: Least similarity as a fraction, so that the comparison is exact.
@@ -61,11 +61,11 @@ def _described(docs: DataFrame) -> DataFrame:
     """(row, doc_id, name, name_2, size, keys) of the rows (row, doc_id, text); two words name a set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
             names, sizes, keys = ([], []), [], []
             for text in batch.column("text"):
-                shingles = shingle_set(Hashed(text.as_py(), cache, powers))
+                shingles = shingle_set(Hashed(text.as_py(), powers))
                 for salt, name in enumerate(names):
                     mixed = _mixed(shingles ^ (np.uint64(salt) * FACTORS[0]))
                     name.append(int((mixed.sum(dtype=np.uint64) + np.uint64(len(shingles))).view(np.int64)))
@@ -88,9 +88,9 @@ def _sets(docs: DataFrame) -> DataFrame:
     """(node, shingles) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
-            sets = [shingle_set(Hashed(t.as_py(), cache, powers)).view(np.int64) for t in batch.column("text")]
+            sets = [shingle_set(Hashed(t.as_py(), powers)).view(np.int64) for t in batch.column("text")]
             columns = [batch.column("node"), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
 

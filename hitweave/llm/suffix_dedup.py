@@ -35,22 +35,14 @@ from .common import cut_lineage, join_many, join_small, row_key
 PASSAGE = 50
 REACH = 20
 GRAM = 6
-CACHE = 150_000
+#: Rows of bare keys that are broadcast, and a seam that may be at any place.
+KEYS = 1_000_000
+ANYWHERE = -1
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-class WordHashes(dict):
-    """64-bit hash of a word; what was seen is kept, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def word_list(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased."""
     return (text or "").encode("utf-8", "replace").lower().split()
@@ -79,10 +71,10 @@ class Powers:
 class Hashed:
     """A text's word hashes, and hashes of its runs of words from prefix sums."""
 
-    def __init__(self, text: str | None, cache: WordHashes, powers: Powers):
+    def __init__(self, text: str | None, powers: Powers):
         tokens = word_list(text)
         self.n = len(tokens)
-        self.words = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=self.n)
+        self.words = np.frombuffer(b"".join(map(xxhash.xxh64_digest, tokens)), dtype=">u8").astype(np.uint64)
         self.powers = powers
         self.sums: dict[int, np.ndarray] = {}
 
@@ -124,11 +116,11 @@ def retained_suffixes(docs: DataFrame, gram: int, reach: int, block: int) -> Dat
     """(key, row, pos, nth) of the retained suffixes of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
             rows, parts = batch.column("row").to_numpy(), []
             for row, text in zip(rows, batch.column("text")):
-                hashed = Hashed(text.as_py(), cache, powers)
+                hashed = Hashed(text.as_py(), powers)
                 places = hashed.retained(gram, reach, block)
                 if len(places):
                     keys = hashed.runs(places, block).view(np.int64)
@@ -145,11 +137,11 @@ def _contexts(docs: DataFrame, places: DataFrame, reach: int, block: int) -> Dat
     """(row, pos, check, left, right): 4 bytes for each word beside the blocks at ``places`` (row, pos list), nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for row, text, at in zip(batch.column("row"), batch.column("text"), batch.column("at")):
-                hashed = Hashed(text.as_py(), cache, powers)
+                hashed = Hashed(text.as_py(), powers)
                 short = (hashed.words >> np.uint64(32)).astype(">u4")
                 place = np.array(at.as_py(), dtype=np.int64)
                 out[0] += [row.as_py()] * len(place)
@@ -215,10 +207,10 @@ def _windows(docs: DataFrame, places: DataFrame, passage: int, reach: int, gram:
     """(row, pos, key, check) of the ``passage`` words from each pos whose minimiser is in ``places`` (row, pos list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
             for row, text, at in zip(batch.column("row"), batch.column("text"), batch.column("at")):
-                hashed = Hashed(text.as_py(), cache, powers)
+                hashed = Hashed(text.as_py(), powers)
                 hashes, least = hashed.minima(gram, reach)
                 place = at.values.to_numpy()
                 starts = place[:, None] - np.arange(reach)
@@ -341,17 +333,26 @@ def find_repeats(
     block = passage - reach + 1
     if reach < 1 or gram > block:
         raise ValueError("a gram must fit the part of a passage that follows its first retained place")
-    listed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
+    listed = _listed(docs, doc_id, text)
     suffixes = cut_lineage(retained_suffixes(listed, gram, reach, block))
+    met = _shared(suffixes)
+    release(suffixes)
+    return Repeats(met, listed, passage, reach, gram, block)
+
+
+def _listed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
+
+
+def _shared(suffixes: DataFrame) -> DataFrame:
+    """The suffixes whose key another row has too, with the first row that has it, written."""
     shared = (
         suffixes.groupBy("key")
         .agg(F.min("row").alias("first_row"), F.max("row").alias("_last"))
         .where(F.col("first_row") != F.col("_last"))
         .select("key", "first_row")
     )
-    met = cut_lineage(join_many(suffixes, shared, ["key"]).distinct())
-    release(suffixes)
-    return Repeats(met, listed, passage, reach, gram, block)
+    return cut_lineage(join_many(suffixes, shared, ["key"]).distinct())
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -377,44 +378,100 @@ def without_repeats(docs: DataFrame, removable: DataFrame, doc_id: str = "doc_id
 
     Texts without such words, null and empty ones too, stay as they are.
     """
-    spans = cut_lineage(
-        removable.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
-    ).withColumnRenamed("row", "_row")
-    marked = docs.drop("_row", "_spans", "_text").withColumn("_row", row_key(F.col(doc_id), F.col(text)))
-    marked = join_small(marked, spans, ["_row"], "left")
     names = [f.name for f in docs.drop("_row", "_spans", "_text").schema.fields]
+    spans = _span_lists(removable).withColumnRenamed("row", "_row")
+    marked = docs.select(*names).withColumn("_row", row_key(F.col(doc_id), F.col(text)))
+    return _cut_texts(join_small(marked, spans, ["_row"], "left"), names, text).drop("_seams")
+
+
+def _span_lists(removable: DataFrame) -> DataFrame:
+    return cut_lineage(removable.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans")))
+
+
+def _cut_texts(marked: DataFrame, names: list[str], text: str) -> DataFrame:
+    """``marked`` without the words of its ``_spans``, and without the rows that had no other words; ``_seams`` are the
+    places of the words that the cuts gave another word before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                t.as_py() if s.as_py() is None else _cut_out(t.as_py(), [(x["begin"], x["end"]) for x in s.as_py()])
-                for t, s in zip(batch.column(text), batch.column("_spans"))
-            ]
+            texts, seams, keep = [], [], []
+            for t, s in zip(batch.column(text), batch.column("_spans")):
+                spans = None if s.as_py() is None else [(x["begin"], x["end"]) for x in s.as_py()]
+                texts.append(t.as_py() if spans is None else _cut_out(t.as_py(), spans))
+                seams.append(None if spans is None else _seams(t.as_py(), texts[-1], spans))
+                keep.append(spans is None or texts[-1] != "")
             columns = [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names]
-            keep = [t != "" or s.as_py() is None for t, s in zip(texts, batch.column("_spans"))]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(seams, pa.list_(pa.int32()))], [*names, "_seams"])
+            yield out.filter(pa.array(keep))
 
-    return marked.select(*names, "_spans").mapInArrow(run, docs.select(*names).schema)
+    schema = marked.select(*names, F.lit(None).cast("array<int>").alias("_seams")).schema
+    return marked.select(*names, "_spans").mapInArrow(run, schema)
 
 
 def one_of_each_passage(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE) -> DataFrame:
     """``docs`` with the removable words taken out until no ``passage`` words in a row are in two documents.
 
     A cut brings the words beside it together, which may make a passage that another document
-    has, so the search is repeated; every round but the last removes words.
+    has, so the search is repeated; every round but the last removes words. A round leaves no passage in
+    two documents but those over a seam of its cuts. The next therefore searches all documents, but only for
+    passages over those seams, and hashes only texts that were cut.
     """
-    written = None
+    reach, gram = REACH, GRAM
+    block = passage - reach + 1
+    names = [c for c in docs.columns if c not in ("_row", "_spans", "_seams")]
+    docs = docs.select(*names)
+    keyed = docs.withColumn("_row", row_key(F.col(doc_id), F.col(text)))
+    listed = _listed(docs, doc_id, text)
+    # Suffixes of the documents as they came; those of cut documents are replaced by the ones of what is left of them.
+    suffixes = cut_lineage(retained_suffixes(listed, gram, reach, block))
+    places, gone, cut, of_cut = _shared(suffixes), None, None, None
     while True:
-        repeats = find_repeats(docs, doc_id, text, passage)
-        spans = cut_lineage(repeats.removable())
-        release(repeats.places)
-        if spans.isEmpty():
-            return docs
-        docs = cut_lineage(without_repeats(docs, spans, doc_id, text))
-        release(spans)
-        if written is not None:
-            release(written)
-        written = docs
+        removable = cut_lineage(Repeats(places, listed, passage, reach, gram, block).removable())
+        release(places)
+        spans = _span_lists(removable).withColumnRenamed("row", "_row")
+        if removable.isEmpty():
+            for table in (suffixes, spans, removable, *([of_cut] if of_cut is not None else [])):
+                release(table)
+            return docs if cut is None else _now(keyed, gone, cut).select(*names)
+        whole = keyed if cut is None else _now(keyed, gone, cut)
+        fresh = _cut_texts(join_small(whole, spans, ["_row"], "inner"), names, text)
+        fresh = cut_lineage(fresh.withColumn("_row", row_key(F.col(doc_id), F.col(text))))
+        of_fresh = cut_lineage(retained_suffixes(fresh.select(F.col("_row").alias("row"), F.col(text).alias("text")), gram, reach, block))
+        new_keys = _over_seams(of_fresh, fresh.select(F.col("_row").alias("row"), "_seams"), passage, reach)
+        cut_now = cut_lineage(spans.select("_row"))
+        if cut is None:
+            gone, cut, of_cut = cut_now, fresh, of_fresh
+        else:
+            before = [gone, cut, of_cut, cut_now, fresh, of_fresh]
+            gone = cut_lineage(gone.unionByName(cut_now).distinct())
+            cut = cut_lineage(_without(cut, cut_now, "_row").unionByName(fresh))
+            of_cut = cut_lineage(_without(of_cut, cut_now, "row").unionByName(of_fresh))
+            for table in before:
+                release(table)
+        listed = _now(keyed, gone, cut).select(F.col("_row").alias("row"), F.col(text).alias("text"))
+        of_uncut = _without(join_small(suffixes, new_keys, ["key"], "left_semi"), gone, "row")
+        met = cut_lineage(of_uncut.unionByName(join_small(of_cut, new_keys, ["key"], "left_semi")))
+        places = _shared(met)
+        for table in (removable, met, new_keys):
+            release(table)
+
+
+def _without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    return join_small(rows, gone.withColumnRenamed("_row", name), [name], "left_anti", KEYS)
+
+
+def _now(keyed: DataFrame, gone: DataFrame, cut: DataFrame) -> DataFrame:
+    """The documents that were never cut, and what the cuts left of the others."""
+    return _without(keyed, gone, "_row").unionByName(cut.drop("_seams"))
+
+
+def _over_seams(suffixes: DataFrame, seams: DataFrame, passage: int, reach: int) -> DataFrame:
+    """The keys of the suffixes that may be at the minimiser of a passage over a seam, written.
+
+    A passage over a seam begins less than ``passage`` words before it, and its minimiser is among its first ``reach`` places.
+    """
+    near = F.exists("_seams", lambda c: (c == ANYWHERE) | F.col("pos").between(c - passage + 1, c + reach - 2))
+    return cut_lineage(join_many(suffixes, seams.distinct(), ["row"]).where(near).select("key").distinct())
 
 
 def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
@@ -426,3 +483,14 @@ def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
         at = starts[end]
     kept.append(text[at:])
     return "".join(kept).strip()
+
+
+def _seams(text: str, left: str, spans: list[tuple[int, int]]) -> list[int]:
+    """The places in ``left``, the text without the words of the spans, of the words that have another word before them than they had."""
+    words, kept, seams, at = word_list(text), [], [], 0
+    for begin, end in spans:
+        kept += words[at:begin]
+        seams.append(len(kept))
+        at = end
+    # White space of other scripts goes with the ends of a text, and it is part of words.
+    return seams if word_list(left) == kept + words[at:] else [ANYWHERE]
