@@ -10,7 +10,7 @@ than the greatest length among its next hits, and the last road among the longes
 goes through the last such next hit. That is a sweep over the hits.
 
 Two equal ways run it. Components with at most ``task_limit`` edges go whole into
-one task each (:func:`_walk_component`). Larger ones run in rounds of joins
+one task each, many small ones at once (:func:`walk_components`). Larger ones run in rounds of joins
 (:func:`walk_by_rounds`): in a round every starting hit is processed whose reachable
 hits cannot be touched by any earlier starting hit.
 """
@@ -18,9 +18,10 @@ hits cannot be touched by any earlier starting hit.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from ..session import cut_lineage, release
 from .joins import E, endpoints, join_per_key
 
 TASK_LIMIT = 200_000
+#: Edges that a task walks at once.
+BATCH = 1 << 16
 TRACK_SCHEMA = "event_id bigint, hit_id bigint, track_id bigint"
 
 
@@ -35,13 +38,22 @@ TRACK_SCHEMA = "event_id bigint, hit_id bigint, track_id bigint"
 def generations(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     """Longest path length from a source, for nodes 0..n-1 of an acyclic graph."""
     level = np.zeros(n, dtype=np.int64)
-    for _ in range(n + 1):
-        raised = level.copy()
-        np.maximum.at(raised, dst, level[src] + 1)
-        if np.array_equal(raised, level):
-            return level
-        level = raised
-    raise ValueError("graph has a directed cycle")
+    by_src = np.argsort(src, kind="stable")
+    ends, first = dst[by_src], np.searchsorted(src[by_src], np.arange(n + 1))
+    waits = np.bincount(dst, minlength=n)
+    free, done = np.flatnonzero(waits == 0), 0
+    while len(free):
+        done += len(free)
+        counts = first[free + 1] - first[free]
+        out = np.repeat(first[free] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        np.subtract.at(waits, ends[out], 1)
+        reached = np.unique(ends[out])
+        at = level[free[0]] + 1
+        free = reached[waits[reached] == 0]
+        level[free] = at
+    if done < n:
+        raise ValueError("graph has a directed cycle")
+    return level
 
 
 def walk_arrays(src: np.ndarray, dst: np.ndarray, score: np.ndarray, low: float, add: float) -> list[list[int]]:
@@ -53,26 +65,27 @@ def walk_arrays(src: np.ndarray, dst: np.ndarray, score: np.ndarray, low: float,
     order = np.lexsort((nodes, level))
     # Neighbours of a node, best score first, ties by hit id.
     by_choice = np.lexsort((d, -score, s))
-    first = np.searchsorted(s[by_choice], np.arange(n + 1))
-    used = np.zeros(n, dtype=bool)
-    length = np.ones(n, dtype=np.int64)
-    choice = np.full(n, -1, dtype=np.int64)
+    # Plain lists from here on: single elements of arrays are slow to read.
+    first = np.searchsorted(s[by_choice], np.arange(n + 1)).tolist()
+    ends, scores = d[by_choice].tolist(), score[by_choice].tolist()
+    order, level, names = order.tolist(), level.tolist(), nodes.tolist()
+    used, length, choice = [False] * n, [1] * n, [-1] * n
     parents: list[list[int]] = [[] for _ in range(n)]
-    for a, b in zip(s, d):
+    for a, b in zip(s.tolist(), d.tolist()):
         parents[b].append(a)
 
     def settle(v: int) -> bool:
         """Recompute the longest road from v; tells whether anything changed."""
         best, pick, taken = 0, -1, False
-        for e in by_choice[first[v] : first[v + 1]]:
-            w = d[e]
+        for e in range(first[v], first[v + 1]):
+            w = ends[e]
             if used[w]:
                 continue
             if not taken:
-                if score[e] <= low:
+                if scores[e] <= low:
                     break
                 taken = True
-            elif score[e] <= add:
+            elif scores[e] <= add:
                 break
             if length[w] >= best:
                 best, pick = length[w], w
@@ -90,8 +103,9 @@ def walk_arrays(src: np.ndarray, dst: np.ndarray, score: np.ndarray, low: float,
         while v >= 0:
             road.append(v)
             v = choice[v]
-        used[road] = True
-        roads.append([int(nodes[v]) for v in road])
+        for v in road:
+            used[v] = True
+        roads.append([names[v] for v in road])
         # Used hits change the choices of their unused ancestors, deepest first.
         touched = {p for v in road for p in parents[v] if not used[p]}
         queue = [(-level[p], p) for p in touched]
@@ -107,17 +121,42 @@ def walk_arrays(src: np.ndarray, dst: np.ndarray, score: np.ndarray, low: float,
     return roads
 
 
-def _walk_component(low: float, add: float):
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        roads = walk_arrays(
-            pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["score"].to_numpy(dtype=float), low, add
-        )
-        hits = [h for road in roads for h in road]
-        # A road is named by its first hit, which no other road holds.
-        names = [road[0] for road in roads for _ in road]
-        return pd.DataFrame({"event_id": pdf["event_id"].iloc[0], "hit_id": hits, "track_id": names})
+def walk_components(edges: DataFrame, low: float, add: float, batch_edges: int = BATCH) -> DataFrame:
+    """(event, hit_id, track_id) of components that go whole into a task; many small ones are walked at once."""
+    dealt = edges.select(E, "component", "src", "dst", "score").repartition(E, "component").sortWithinPartitions(E, "component")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= batch_edges:
+                table = pa.Table.from_batches(held)
+                keys = [table.column(c).to_numpy() for c in (E, "component")]
+                whole = int(((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1])).sum())
+                if whole:
+                    yield _walk_batch(table.slice(0, whole), low, add)
+                    table = table.slice(whole)
+                held, n = table.to_batches(), 0  # the last component may go on; it is looked at again after another batch
+        if held:
+            yield _walk_batch(pa.Table.from_batches(held), low, add)
+
+    return dealt.mapInArrow(run, TRACK_SCHEMA)
+
 
-    return walk
+def _walk_batch(edges: pa.Table, low: float, add: float) -> pa.RecordBatch:
+    event, src, dst = (edges.column(c).to_numpy() for c in (E, "src", "dst"))
+    events, of_event = np.unique(event, return_inverse=True)
+    hits, of_hit = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    # Hits are numbered by event, then id, so that ties go to the least id as within one event.
+    a, b = of_event * len(hits) + of_hit[: len(src)], of_event * len(hits) + of_hit[len(src) :]
+    roads = walk_arrays(a, b, edges.column("score").to_numpy().astype(float), low, add)
+    walked = np.array([h for road in roads for h in road], dtype=np.int64)
+    # A road is named by its first hit, which no other road holds.
+    names = np.repeat(np.array([road[0] for road in roads], dtype=np.int64), [len(road) for road in roads])
+    m = max(1, len(hits))
+    columns = [events[walked // m], hits[walked % m], hits[names % m]]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [E, "hit_id", "track_id"])
 
 
 # ---- large components in rounds of joins ---------------------------------------
@@ -216,7 +255,7 @@ def walkthrough(edges: DataFrame, low: float, add: float, task_limit: int = TASK
     large = edges.groupBy(E, "component").count().where(F.col("count") > task_limit).select(E, "component")
     large = cut_lineage(large)
     if not large.head(1):
-        return edges.groupBy(E, "component").applyInPandas(_walk_component(low, add), TRACK_SCHEMA)
+        return walk_components(edges, low, add)
     small = join_per_key(edges, large, [E, "component"], "left_anti")
-    walked = small.groupBy(E, "component").applyInPandas(_walk_component(low, add), TRACK_SCHEMA)
+    walked = walk_components(small, low, add)
     return walked.unionByName(walk_by_rounds(join_per_key(edges, large, [E, "component"], "left_semi"), low, add))

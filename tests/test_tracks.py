@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,33 @@ def test_edges_without_a_score(spark, rows, task_limit):
     assert rows(WK.walkthrough(e, 0.1, 0.95, task_limit=task_limit)) == want
 
 
+@pytest.mark.parametrize("batch", [1, 7, 1 << 16])
+def test_components_are_walked_together(spark, rows, monkeypatch, batch):
+    rng = np.random.default_rng(3)
+    data, want = [], []
+    for event in range(4):
+        for component in range(0, 60, 10):
+            pairs = {(component + a, component + b) for a in range(9) for b in range(a + 1, 10) if rng.random() < 0.4}
+            some = [(s, d, float(rng.integers(1, 8)) / 8) for s, d in sorted(pairs)]
+            data += [(event, component, *e) for e in some]
+            arrays = [np.array(c) for c in zip(*some)]
+            want += [(event, h, road[0]) for road in WK.walk_arrays(*arrays, 0.2, 0.6) for h in road]
+    edges = spark.createDataFrame(data, "event_id long, component long, src long, dst long, score double")
+    assert rows(WK.walk_components(edges.repartition(3), 0.2, 0.6, batch)) == sorted(want)
+    calls, whole = [], WK.walk_arrays
+    monkeypatch.setattr(WK, "walk_arrays", lambda *a: (calls.append(1), whole(*a))[1])
+    WK._walk_batch(pa.table({c: [r[i] for r in data] for i, c in enumerate(("event_id", "component", "src", "dst", "score"))}), 0.2, 0.6)
+    assert len(calls) == 1  # not once for each component
+
+
+def test_generations_of_a_long_cycle_end_at_once():
+    n = 20_000
+    at = np.arange(n)
+    assert WK.generations(at[:-1], at[1:], n)[-1] == n - 1
+    with pytest.raises(ValueError):
+        WK.generations(at, (at + 1) % n, n)
+
+
 @pytest.mark.parametrize("task_limit", [1, 10**6])
 def test_cycles_are_refused_either_way(spark, task_limit):
     data = [(1, 0, 1, 0.5, 0), (1, 1, 2, 0.5, 0), (1, 2, 0, 0.5, 0)]
